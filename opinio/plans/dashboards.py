@@ -63,15 +63,16 @@ def _articles(m: NewsModel, p: DashboardParams) -> DataFrame:
     return ah.join(sh, "source_id", "inner")
 
 
-def _model_results(m: NewsModel, p: DashboardParams) -> DataFrame:
+def _model_results(m: NewsModel, p: DashboardParams, extra=()) -> DataFrame:
     """analyzer1_result joined to the literal model relation."""
     nlp = F.broadcast(m.nlp_models.filter(F.col("nlp_model") == p.nlp_model)
                       .select(F.col("id").alias("sub_id")))
-    r = m.analyzer1_result.select("comment_id", "sub_id", "sentiment_value")
+    r = m.analyzer1_result.select("comment_id", "sub_id", "sentiment_value", *extra)
     return r.join(nlp, "sub_id", "inner")
 
 
-def _scored_comments(m: NewsModel, p: DashboardParams, *, by_keyword: bool) -> DataFrame:
+def _scored_comments(m: NewsModel, p: DashboardParams, *, by_keyword: bool,
+                     extra=()) -> DataFrame:
     ct = m.comment
     ab = m.article_body
     if by_keyword:
@@ -80,7 +81,7 @@ def _scored_comments(m: NewsModel, p: DashboardParams, *, by_keyword: bool) -> D
         ab = ab.filter(article_text_match(F.col("body"), p.article_text))
     ct = ct.select(F.col("id").alias("comment_id"), "article_body_id")
     ab = ab.select(F.col("id").alias("article_body_id"), "article_id")
-    return (_model_results(m, p)
+    return (_model_results(m, p, extra)
             .join(ct, "comment_id", "inner")
             .join(ab, "article_body_id", "inner")
             .join(_articles(m, p), "article_id", "inner"))
@@ -166,3 +167,14 @@ def outlet_choices(m: NewsModel) -> DataFrame:
 def model_choices(m: NewsModel) -> DataFrame:
     """The literal model relation, as offered to the user."""
     return m.nlp_models.select("nlp_model")
+
+
+def daily_sentiment_weighted(m: NewsModel, p: DashboardParams) -> DataFrame:
+    """The flagship series with the inverse-variance weighted mean
+    (the reference keeps this column commented out in the panel)."""
+    from opinio.plans.marts import weighted_mean
+    j = _scored_comments(m, p, by_keyword=True, extra=("error_value",))
+    return (j.groupBy(F.col("source_date").alias("time"))
+            .agg(fround(weighted_mean(F.col("sentiment_value"), F.col("error_value")))
+                 .alias("sentiment_error_weighted"))
+            .orderBy("time"))

@@ -89,3 +89,194 @@ def q_article_count(spark, sf):
        f"GROUP BY 1 ORDER BY 1")
 def q_articles_per_day(spark, sf):
     return D.articles_per_day(NewsModel(spark, sf), P)
+
+
+# ---- M9-M16, G5-G8, O2, F1, T1 ------------------------------------------------
+from opinio.functions.dates import calendar_sql  # noqa: E402
+from opinio.plans import marts as MT  # noqa: E402
+from opinio.plans import quality as QL  # noqa: E402
+
+_STATS = """
+WITH article_headers AS (SELECT 0 AS id, COUNT(ah.id) AS n_article_headers FROM article_header ah),
+article_bodies AS (SELECT 0 AS id, COUNT(ab.id) AS n_article_bodies FROM article_body ab),
+comments AS (SELECT 0 AS id, COUNT(c.id) AS n_comments FROM comment c),
+analyzer AS (SELECT 0 AS id, COUNT(a1r.id) AS n_analyzed_comments FROM analyzer1_result a1r WHERE sub_id = 1)
+SELECT {cols}
+FROM article_headers ah LEFT JOIN article_bodies ab ON ah.id = ab.id
+LEFT JOIN comments c ON ah.id = c.id LEFT JOIN analyzer a1 ON ah.id = a1.id
+"""
+
+
+@query("database_statistics", _STATS.format(
+    cols="ah.n_article_headers, ab.n_article_bodies, c.n_comments, a1.n_analyzed_comments"))
+def q_database_statistics(spark, sf):
+    return MT.database_statistics(NewsModel(spark, sf))
+
+
+@query("pct_comments_analysed", _STATS.format(
+    cols="round(a1.n_analyzed_comments / c.n_comments * 100, 2) AS pct_comments_analyzed"))
+def q_pct_comments_analysed(spark, sf):
+    return MT.pct_comments_analysed(NewsModel(spark, sf))
+
+
+@query("comments_per_date", """
+SELECT hdr.source_date AS article_date, count(cmt.id) AS n_comments
+FROM article_header hdr, article_body bdy, comment cmt
+WHERE hdr.id = bdy.article_id AND bdy.id = cmt.article_body_id
+GROUP BY hdr.source_date ORDER BY hdr.source_date""")
+def q_comments_per_date(spark, sf):
+    return MT.comments_per_date(NewsModel(spark, sf))
+
+
+@query("data_by_source", """
+SELECT count(DISTINCT cmt.id) AS count_comments, count(DISTINCT hdr.id) AS count_articles, source_id
+FROM comment cmt, article_body bdy, article_header hdr
+WHERE cmt.article_body_id = bdy.id AND bdy.article_id = hdr.id GROUP BY hdr.source_id""")
+def q_data_by_source(spark, sf):
+    return MT.data_by_source(NewsModel(spark, sf))
+
+
+@query("sentiment_by_created_date", f"""
+SELECT cmt.date_created AS date,
+  round(SUM(sentiment_value / nullif(error_value * error_value, 0)) / SUM(1 / nullif(error_value * error_value, 0)), 9)
+    AS sentiment_error_weighted,
+  round(AVG(sentiment_value), 9) AS sentiment_simple_average,
+  count(cmt.id) AS count_comments
+FROM analyzer1_result rslt, comment cmt
+WHERE rslt.comment_id = cmt.id AND cmt.body ILIKE '% {P.keyword}%'
+GROUP BY cmt.date_created ORDER BY date DESC""")
+def q_sentiment_by_created_date(spark, sf):
+    return MT.sentiment_by_created_date(NewsModel(spark, sf), P.keyword)
+
+
+@query("daily_sentiment_weighted",
+       "SELECT ah.source_date AS time, round(SUM(a1r.sentiment_value / nullif(a1r.error_value * a1r.error_value, 0)) "
+       "/ SUM(1 / nullif(a1r.error_value * a1r.error_value, 0)), 9) AS sentiment_error_weighted "
+       f"{_M_FROM} {_KW} GROUP BY ah.source_date ORDER BY 1")
+def q_daily_sentiment_weighted(spark, sf):
+    return D.daily_sentiment_weighted(NewsModel(spark, sf), P)
+
+
+@query("obsolete_share", """
+SELECT round(SUM(CASE WHEN obsolete THEN 1 ELSE 0 END) / COUNT(obsolete), 9) AS share_obsolete
+FROM article_header WHERE source_id = 3""")
+def q_obsolete_share(spark, sf):
+    return MT.obsolete_share(NewsModel(spark, sf), 3)
+
+
+@query("comment_duplicates", """
+SELECT hdr.url, cmt.body, count(DISTINCT cmt.id) AS comment_count, count(DISTINCT hdr.id) AS hdr_count
+FROM comment cmt, article_header hdr, article_body bdy
+WHERE bdy.article_id = hdr.id AND bdy.id = cmt.article_body_id
+GROUP BY cmt.body, hdr.url HAVING count(DISTINCT cmt.id) > 1 ORDER BY comment_count DESC""")
+def q_comment_duplicates(spark, sf):
+    return MT.comment_duplicates(NewsModel(spark, sf))
+
+
+@query("unanimous_positive", """
+SELECT ar.comment_id, round(ar.avg_sent, 9) AS avg_sent, cmt.body
+FROM (SELECT comment_id, avg(sentiment_value) AS avg_sent, min(sentiment_value) AS min_sent
+      FROM analyzer1_result WHERE sub_id < 4 GROUP BY comment_id) ar, comment cmt
+WHERE ar.min_sent > 0.5 AND ar.comment_id = cmt.id ORDER BY ar.avg_sent DESC""")
+def q_unanimous_positive(spark, sf):
+    return MT.unanimous_positive(NewsModel(spark, sf))
+
+
+@query("earliest_article_date",
+       "SELECT strftime(min(source_date), '%d-%m-%Y') AS earliest_date FROM article_header")
+def q_earliest_article_date(spark, sf):
+    return MT.article_date_bound(NewsModel(spark, sf), latest=False)
+
+
+@query("latest_article_date",
+       "SELECT strftime(max(source_date), '%d-%m-%Y') AS latest_date FROM article_header")
+def q_latest_article_date(spark, sf):
+    return MT.article_date_bound(NewsModel(spark, sf), latest=True)
+
+
+@query("article_header_current", """
+SELECT sth.type AS src_type, sh.source AS src_name, sh.id AS src_id, ah.id AS article_id,
+       ah.url, ah.source_date, ah.obsolete
+FROM source_header sh, source_type_header sth, article_header ah
+WHERE sth.id = sh.type AND sh.id = ah.source_id AND ah.obsolete = false""")
+def q_article_header_current(spark, sf):
+    return MT.article_header_current(NewsModel(spark, sf))
+
+
+@query("article_body_last_id", "SELECT last_article_body_id, article_id FROM article_body_last_id")
+def q_article_body_last_id(spark, sf):
+    return NewsModel(spark, sf).article_body_last_id
+
+
+@query("article_body_last", """
+SELECT ab.* FROM article_body_last_id vabli, article_body ab WHERE ab.id = vabli.last_article_body_id""")
+def q_article_body_last(spark, sf):
+    return MT.article_body_last(NewsModel(spark, sf))
+
+
+_FACT_DATES = """
+fact_dates AS (SELECT source_date AS d FROM article_header UNION ALL SELECT date_created FROM comment
+               UNION ALL SELECT CAST(proc_timestamp AS DATE) FROM article_body),
+span AS (SELECT min(d) AS lo, max(d) AS hi FROM fact_dates WHERE d IS NOT NULL),
+days AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS dd
+         FROM span)"""
+
+
+@query("date_dimension", f"WITH {_FACT_DATES} SELECT {calendar_sql('dd')} FROM days")
+def q_date_dimension(spark, sf):
+    return MT.calendar_for_facts(NewsModel(spark, sf))
+
+
+@query("date_range_lookup",
+       f"WITH {_FACT_DATES} SELECT dd AS date FROM days WHERE dd BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'")
+def q_date_range_lookup(spark, sf):
+    return MT.date_range_lookup(NewsModel(spark, sf), "2024-01-10", "2024-01-20")
+
+
+# ---- Q1-Q5 data-quality reports ------------------------------------------------
+@query("headers_without_body", """
+SELECT ah.id, ah.url, ah.source_id, ah.source_date FROM article_header ah
+LEFT JOIN article_body ab ON ah.id = ab.article_id WHERE ab.article_id IS NULL AND ah.obsolete = false""")
+def q_headers_without_body(spark, sf):
+    return QL.headers_without_body(NewsModel(spark, sf))
+
+
+@query("bodies_without_comments", """
+SELECT ah.id, ah.url, ah.source_id, ah.source_date, ab.proc_timestamp, ab.proc_counter
+FROM article_header ah JOIN article_body ab ON ah.id = ab.article_id
+LEFT JOIN comment co ON ab.id = co.article_body_id
+WHERE ah.obsolete = false AND co.article_body_id IS NULL""")
+def q_bodies_without_comments(spark, sf):
+    return QL.bodies_without_comments(NewsModel(spark, sf))
+
+
+@query("orphan_udf_values", """
+SELECT uv.udf_id, 'udf without article_body attached' AS err_msg, uv.object_id, uv.udf_value
+FROM udf_values uv LEFT JOIN article_body ab ON uv.object_id = ab.id WHERE uv.object_type = 1 AND ab.id IS NULL
+UNION
+SELECT uv.udf_id, 'udf without comment attached' AS err_msg, uv.object_id, uv.udf_value
+FROM udf_values uv LEFT JOIN comment co ON uv.object_id = co.id WHERE uv.object_type = 2 AND co.id IS NULL""")
+def q_orphan_udf_values(spark, sf):
+    return QL.orphan_udf_values(NewsModel(spark, sf))
+
+
+@query("comments_without_date", """
+SELECT ah.id AS ah_id, ab.id AS ab_id, co.id AS co_id FROM comment co, article_body ab, article_header ah
+WHERE ah.id = ab.article_id AND ab.id = co.article_body_id AND co.date_created IS NULL
+  AND co.proc_timestamp < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 3 HOUR""")
+def q_comments_without_date(spark, sf):
+    return QL.comments_without_date(NewsModel(spark, sf))
+
+
+_TYPED_SQL = """
+SELECT vabli.article_id, vabli.last_article_body_id AS article_body_id, uh.id AS udf_id, uh.udf_name,
+       uv.object_type, {conv} AS udf_value_format
+FROM udf_header uh, article_body_last_id vabli JOIN udf_values uv ON vabli.last_article_body_id = uv.object_id
+WHERE uv.object_type = 1 AND uh.udf_type = '{t}' AND uh.id = uv.udf_id"""
+_DATE_CONV = "CAST(try_strptime(substring(uv.udf_value, 1, 10), '%Y-%m-%d') AS DATE)"
+for _key, _t, _conv in [("udf_date", "date", _DATE_CONV), ("udf_datetime", "datetime", _DATE_CONV),
+                        ("udf_string", "string", "uv.udf_value"),
+                        ("udf_integer", "integer", "TRY_CAST(uv.udf_value AS INTEGER)"),
+                        ("udf_double", "double", "TRY_CAST(uv.udf_value AS DOUBLE)")]:
+    query(_key, _TYPED_SQL.format(conv=_conv, t=_t))(
+        lambda spark, sf, _k=_key: QL.typed_udf_view(NewsModel(spark, sf), _k))
