@@ -173,3 +173,27 @@ def date_range_lookup(m: NewsModel, start: str, end: str) -> DataFrame:
     """Dates of the calendar between two dates (inclusive)."""
     cal = calendar_for_facts(m)
     return cal.filter(F.col("date").between(date_lit(start), date_lit(end))).select("date")
+
+
+def topics_by_source(m: NewsModel, topic_results: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Distinct (source, detector, lemma) triples over five relations;
+    the three dimensions are small and joined after the fact join."""
+    ah = m.article_header.select(F.col("id").alias("article_header_id"), F.col("source_id").alias("article_source_id"))
+    sh = F.broadcast(m.source_header.select(F.col("id").alias("article_source_id"),
+                                            F.col("source").alias("article_source")))
+    tdh = F.broadcast(m.topic_detector_header.select(F.col("id").alias("topic_detector_id"), "topic_detector"))
+    lh = lemmas.select(F.col("id").alias("lemma_id"), "lemma")
+    j = (topic_results.select("article_header_id", "topic_detector_id", "lemma_id")
+         .join(ah, "article_header_id", "inner").join(lh, "lemma_id", "inner")
+         .join(sh, "article_source_id", "inner").join(tdh, "topic_detector_id", "inner"))
+    return j.select("article_source_id", "article_source", "topic_detector_id", "topic_detector",
+                    "lemma_id", "lemma").distinct()
+
+
+def lemma_month_doc_count(m: NewsModel, topic_results: DataFrame) -> DataFrame:
+    """Documents per lemma and publication month (the doc_count table
+    the reference declares with UNIQUE(lemma, month) but never fills)."""
+    ah = m.article_header.select(F.col("id").alias("article_header_id"), "source_date")
+    j = topic_results.join(ah, "article_header_id", "inner").filter(F.col("source_date").isNotNull())
+    return (j.groupBy("lemma_id", F.trunc("source_date", "month").alias("mth_published"))
+            .agg(F.count_distinct("article_header_id").alias("doc_count")))

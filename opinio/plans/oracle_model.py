@@ -100,6 +100,8 @@ def with_model(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({_BODY[n]})" for n in _NAMES if n in needed)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
