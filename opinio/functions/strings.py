@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters kept by the reference's word cleaning (letters with
 # German umlauts and sharp s; the digit variant adds 0-9).
@@ -34,7 +35,7 @@ def normalise_blanks(s: Column, strip: bool = True) -> Column:
     return strip_ws(t) if strip else t
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """W12 (unicode part): NFKD normalisation; no Spark builtin exists, so an
     Arrow-batched pandas UDF (vectorised ``str.normalize``)."""
