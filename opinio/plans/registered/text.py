@@ -60,16 +60,6 @@ def q_lexicon_sentiment(spark, sf):
     return S.lexicon_sentiment(documents(_m(spark, sf)), lexicon(spark))
 
 
-@query("lexicon_sentiment_join", _N1 + """
-SELECT d.doc_id, CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.m, 9) END AS value,
-       CASE WHEN a.n IS NULL THEN 1.0 ELSE round(a.sd, 9) END AS error,
-       CAST(coalesce(a.n, 0) AS INT) AS hits, CAST(len(regexp_split_to_array(d.text, '\\s+')) AS INT) AS n_tokens
-FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id""")
-def q_lexicon_sentiment_join(spark, sf):
-    """N1 through the large-lexicon plan (explode + join + aggregate)."""
-    return S.lexicon_sentiment(documents(_m(spark, sf)), lexicon(spark), strategy="join")
-
-
 @query("polarity_subjectivity", _N1 + """
 SELECT d.doc_id, CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.m, 9) END AS polarity,
        CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.subj, 9) END AS subjectivity, 1.0 AS error

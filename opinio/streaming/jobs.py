@@ -52,13 +52,13 @@ def _run(writer, checkpoint: str) -> None:
 
 
 def stream_score_comments(spark: SparkSession, source: str, schema, lexicon: DataFrame, out: str,
-                          checkpoint: str, max_files: int = 1, strategy: str = "map") -> DataFrame:
+                          checkpoint: str, max_files: int = 1) -> DataFrame:
     """Score comment files as they arrive; returns the result table."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def score(batch: DataFrame, batch_id: int) -> None:
         texts = batch.select("id", F.col("body").alias("text"))
-        res = lexicon_sentiment(texts, lexicon, "id", "text", strategy=strategy)
+        res = lexicon_sentiment(texts, lexicon, "id", "text")
         res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     _run(stream.writeStream.foreachBatch(score), checkpoint)
