@@ -200,3 +200,25 @@ def fk_violations(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> D
                .select(F.lit(name).alias("fk_constraint"), "n_violations"))
         out = bad if out is None else out.unionByName(bad)
     return out
+
+
+def ingest_batch(headers: DataFrame, bodies: DataFrame, latest_bodies: DataFrame, stored_headers: DataFrame,
+                 sources: DataFrame, udf_header: DataFrame, article_udfs: DataFrame) -> dict[str, DataFrame]:
+    """One ingest run in the reference's order -- articles whose body is
+    invalid are marked obsolete, new headers are inserted (insert-ignore on
+    url), bodies are version-diffed (insert or counter bump), and attribute
+    values are written only for articles that got a new body version.
+    ``article_udfs`` holds (article_id, key, value). Returns the row sets
+    to write, keyed by stage."""
+    vb = validate_bodies(bodies)
+    obsolete = vb.filter(~F.col("is_valid")).select(F.col("article_id").alias("id")).distinct()
+    vh = validate_headers(headers, sources).filter("is_valid").drop("reasons", "is_valid")
+    new_headers = insert_ignore(vh, stored_headers, ["url"], order_col="pos")
+    diff = body_version_diff(vb.filter("is_valid"), latest_bodies)
+    new_versions = diff.filter(F.col("insert")).select("article_id")
+    udfs = (validate_udfs(article_udfs.withColumnRenamed("article_id", "object_id")
+                          .withColumn("object_type", F.lit(1)), udf_header)
+            .join(new_versions.withColumnRenamed("article_id", "object_id"), "object_id", "left_semi"))
+    return {"obsolete_marked": obsolete, "new_headers": new_headers,
+            "new_bodies": diff.filter(F.col("insert")), "bumped_bodies": diff.filter(~F.col("insert")),
+            "new_udfs": udfs}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from opinio.operators import control as C
 from opinio.plans.oracle_model import register_cte
 from opinio.plans.registry import query
+from pyspark.sql import functions as F
 from opinio.sources.news_model import NewsModel
 
 AS_OF = f"TIMESTAMP '{C.AS_OF}'"
@@ -272,3 +273,35 @@ WHERE ah.source_date IS NOT NULL GROUP BY 1, 2""")
 def q_lemma_month_doc_count(spark, sf):
     m = _m(spark, sf)
     return MT.lemma_month_doc_count(m, C.topic_detector_result(m))
+
+
+# ---- T5 / T13 -----------------------------------------------------------------------
+@query("analyzer_batch_end", f"""
+WITH started AS ({_START})
+SELECT s.id, s.comment_id, s.analyzer_id, s.start_timestamp,
+       CASE WHEN c.id IS NOT NULL THEN {AS_OF} END AS end_timestamp, c.id IS NOT NULL AS success
+FROM started s LEFT JOIN comment c ON c.id = s.comment_id""")
+def q_analyzer_batch_end(spark, sf):
+    """T5: the started batch is scored (lexicon model, ensemble slot), result
+    rows carrying every result column are kept and the log rows closed."""
+    from opinio.operators.sentiment import lexicon_sentiment
+    from opinio.plans.registered.text import lexicon
+    m = _m(spark, sf)
+    started = C.analyzer_batch_start(m)
+    texts = (m.comment.join(started.select(F.col("comment_id").alias("id")), "id", "left_semi")
+             .select("id", F.col("body").alias("text")))
+    scores = lexicon_sentiment(texts, lexicon(spark), "id", "text").select(
+        F.col("id").alias("comment_id"), F.lit(1).alias("sub_id"),
+        F.col("value").alias("sentiment_value"), F.col("error").alias("error_value"))
+    _, closed = C.analyzer_batch_end(started, scores, ["sentiment_value", "error_value"])
+    return closed
+
+
+@query("crawl_log_start", """
+WITH g AS (""" + _GUARD.format(kind="scraper", key="source_id", tbl="crawl_log", as_of=AS_OF,
+                               sec=C.SCRAPER_GUARD_MIN * 60) + f""")
+SELECT (SELECT coalesce(max(id), 0) FROM crawl_log) + row_number() OVER (ORDER BY key_id) AS id,
+       key_id AS source_id, {AS_OF} AS start_timestamp, CAST(NULL AS TIMESTAMP) AS end_timestamp, false AS success
+FROM g WHERE NOT skip_run""")
+def q_crawl_log_start(spark, sf):
+    return C.crawl_log_start(_m(spark, sf))

@@ -468,3 +468,88 @@ def q_comment_date_window(spark, sf):
 @query("top_level_comments", "SELECT id, article_body_id, body FROM comment WHERE parent_id IS NULL")
 def q_top_level_comments(spark, sf):
     return CT.top_level_comments(_m(spark, sf).comment).select("id", "article_body_id", "body")
+
+
+# ---- W13 / S4 ---------------------------------------------------------------------
+def article_udfs(m: NewsModel) -> DataFrame:
+    """Stand-in attribute values keyed by article (as a crawler holds them
+    before the body id exists)."""
+    d = m.table("documents").select("doc_id", "text")
+    doc = F.col("doc_id")
+    keys = F.array(*[F.lit(k) for k in UDF_KEYS])
+    return d.select((doc + 1).alias("article_id"),
+                    F.element_at(keys, (doc % len(UDF_KEYS) + 1).cast("int")).alias("key"),
+                    F.split_part("text", F.lit("\n"), F.lit(1)).alias("value"))
+
+
+@query("ingest_batch", f"""
+WITH vb AS ({_VALID_BODIES}), d AS ({_DIFF}), nh AS ({_NEW_HEADERS}),
+au AS (SELECT doc_id + 1 AS article_id,
+              (['headline','label','author','replies','date_created'])[CAST(doc_id % 5 + 1 AS INT)] AS key,
+              split_part(text, chr(10), 1) AS value FROM documents),
+nu AS (SELECT DISTINCT uh.id AS udf_id, au.article_id, au.value FROM au JOIN udf_header uh ON uh.udf_name = au.key
+       WHERE au.value IS NOT NULL AND length(au.value) <= 80
+         AND au.article_id IN (SELECT article_id FROM d WHERE "insert"))
+SELECT 'obsolete_marked' AS stage, count(DISTINCT article_id) AS n_rows FROM vb WHERE len(reasons) > 0
+UNION ALL SELECT 'new_headers', count(*) FROM nh
+UNION ALL SELECT 'new_bodies', count(*) FROM d WHERE "insert"
+UNION ALL SELECT 'bumped_bodies', count(*) FROM d WHERE NOT "insert"
+UNION ALL SELECT 'new_udfs', count(*) FROM nu""")
+def q_ingest_batch(spark, sf):
+    """Stage row counts of one ingest run (obsolete -> headers ->
+    bodies -> attributes of new versions)."""
+    m = _m(spark, sf)
+    out = I.ingest_batch(incoming_headers(m), incoming_bodies(m), article_body_last(m), m.article_header,
+                         m.source_header, m.udf_header, article_udfs(m))
+    res = None
+    for stage, df in out.items():
+        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(stage).alias("stage"), "n_rows")
+        res = r if res is None else res.unionByName(r)
+    return res
+
+
+def article_documents(m: NewsModel) -> DataFrame:
+    """Stand-in article JSON documents (one per document row)."""
+    from opinio.sources.article_json import ARTICLE_SCHEMA  # noqa: F401  (shape reference)
+    d = m.table("documents").select("doc_id", "text", "lang", "source")
+    doc = F.col("doc_id")
+    day = F.lpad((doc % 28 + 1).cast("string"), 2, "0")
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    doc_struct = F.struct(
+        F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), doc.cast("string")).alias("url"),
+        doc.cast("string").alias("id"), F.col("lang").alias("channel"), F.lit(None).cast("string").alias("subchannel"),
+        F.struct(first.alias("main"), F.when(doc % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("S: "), first))
+                 .alias("social")).alias("headline"),
+        F.lit("").alias("intro"), F.col("text").alias("text"),
+        F.array(F.col("source"), F.col("lang")).alias("topics"),
+        F.struct(F.lit("ab").alias("abbreviation"), F.array().cast("array<string>").alias("departments"),
+                 F.array(F.concat(F.lit("author-"), (doc % 17).cast("string"))).alias("names")).alias("author"),
+        (doc % 2 == 0).alias("comments_enabled"),
+        F.concat(F.lit("2024-01-"), day, F.lit("T08:00:00+01:00")).alias("date_created"),
+        F.when(doc % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("2024-01-"), day, F.lit("T09:30:00+01:00")))
+        .alias("date_modified"),
+        F.concat(F.lit("2024-01-"), day, F.lit("T08:00:00+01:00")).alias("date_published"),
+        F.array(F.lit("news"), F.col("lang")).alias("breadcrumbs"))
+    return d.select(F.to_json(doc_struct).alias("value"))
+
+
+@query("article_json_flatten", """
+WITH a AS (SELECT concat('https://news.example/', source, '/', CAST(doc_id AS VARCHAR)) AS url, doc_id, source, lang,
+                  split_part(text, chr(10), 1) AS first,
+                  concat('2024-01-', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')) AS day FROM documents)
+SELECT url, 'label' AS key, source AS value FROM a
+UNION ALL SELECT url, 'label', lang FROM a
+UNION ALL SELECT url, 'author', concat('author-', CAST(doc_id % 17 AS VARCHAR)) FROM a
+UNION ALL SELECT url, 'headline', concat('S: ', first) FROM a WHERE doc_id % 3 <> 0
+UNION ALL SELECT url, 'date_created', concat(day, 'T08:00:00+01:00') FROM a
+UNION ALL SELECT url, 'date_modified', concat(day, 'T09:30:00+01:00') FROM a WHERE doc_id % 2 <> 0
+UNION ALL SELECT url, 'date_published', concat(day, 'T08:00:00+01:00') FROM a""")
+def q_article_json_flatten(spark, sf):
+    """Nested article JSON written as JSON lines, read back with the
+    declared schema and flattened to attribute rows."""
+    import uuid
+    from opinio.session import scratch_path
+    from opinio.sources.article_json import article_attributes, read_articles
+    path = scratch_path(spark, f"articles-{uuid.uuid4().hex}")
+    article_documents(_m(spark, sf)).write.text(path)
+    return article_attributes(read_articles(spark, path))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from opinio.plans import dashboards as D
 from opinio.plans.registry import query
+from pyspark.sql import functions as F
 from opinio.sources.news_model import NewsModel
 
 P = D.DashboardParams()
@@ -280,3 +281,88 @@ for _key, _t, _conv in [("udf_date", "date", _DATE_CONV), ("udf_datetime", "date
                         ("udf_double", "double", "TRY_CAST(uv.udf_value AS DOUBLE)")]:
     query(_key, _TYPED_SQL.format(conv=_conv, t=_t))(
         lambda spark, sf, _k=_key: QL.typed_udf_view(NewsModel(spark, sf), _k))
+
+
+# ---- F4 / F5 searches, G12, scalar function families -------------------------------
+@query("article_text_search", f"SELECT id, article_id FROM article_body WHERE body ILIKE '%{P.article_text}%'")
+def q_article_text_search(spark, sf):
+    ab = NewsModel(spark, sf).article_body
+    return ab.filter(D.article_text_match(F.col("body"), P.article_text)).select("id", "article_id")
+
+
+@query("comment_keyword_search", f"SELECT id, article_body_id FROM comment WHERE body ILIKE '% {P.keyword}%'")
+def q_comment_keyword_search(spark, sf):
+    c = NewsModel(spark, sf).comment
+    return c.filter(D.comment_keyword_match(F.col("body"), P.keyword)).select("id", "article_body_id")
+
+
+@query("topics_per_article", """
+SELECT object_id AS article_body_id, list_sort(list(udf_value)) AS topics FROM udf_values
+WHERE object_type = 1 AND udf_id = 2 GROUP BY object_id""")
+def q_topics_per_article(spark, sf):
+    """The label attributes of each body as one sorted list."""
+    uv = NewsModel(spark, sf).udf_values.filter((F.col("object_type") == 1) & (F.col("udf_id") == 2))
+    return uv.groupBy(F.col("object_id").alias("article_body_id")).agg(
+        F.sort_array(F.collect_list("udf_value")).alias("topics"))
+
+
+@query("scalar_strings", """
+SELECT doc_id, substring(lower(text), 1, 30) AS lower30, substring(text, 1, 10) AS first10,
+       CAST(length(text) AS INT) AS n_chars, replace(substring(text, 1, 40), 'e', 'E') AS replaced,
+       split_part(text, '.', 1) AS first_sentence, contains(lower(text), ' the ') AS has_the,
+       concat(source, '/', lang) AS source_lang FROM documents""")
+def q_scalar_strings(spark, sf):
+    """Section 2.7 string family: substring/lower, length, replace, split
+    index, contains, concat."""
+    d = NewsModel(spark, sf).table("documents")
+    return d.select("doc_id", F.substring(F.lower("text"), 1, 30).alias("lower30"),
+                    F.substring("text", 1, 10).alias("first10"), F.length("text").alias("n_chars"),
+                    F.replace(F.substring("text", 1, 40), F.lit("e"), F.lit("E")).alias("replaced"),
+                    F.split_part("text", F.lit("."), F.lit(1)).alias("first_sentence"),
+                    F.lower("text").contains(" the ").alias("has_the"),
+                    F.concat("source", F.lit("/"), "lang").alias("source_lang"))
+
+
+@query("scalar_dates", """
+SELECT event_id, CAST(ts AS DATE) AS d, strftime(CAST(ts AS DATE), '%d-%m-%Y') AS dmy,
+       CAST(isodow(ts) AS INT) AS iso_dow, CAST(weekofyear(ts) AS INT) AS week, last_day(CAST(ts AS DATE)) AS month_end,
+       CAST(date_trunc('month', ts) AS DATE) AS month_start, ts + INTERVAL 3 HOUR AS plus_3h,
+       date_trunc('hour', ts) AS hour_start, CAST(dayofyear(ts) AS INT) AS doy FROM events""")
+def q_scalar_dates(spark, sf):
+    """Section 2.7 date family: TO_CHAR, ISO day of week, week, month end and
+    start, interval arithmetic, truncation, day of year."""
+    from opinio.functions.dates import iso_dow
+    e = NewsModel(spark, sf).table("events")
+    d = F.col("ts").cast("date")
+    return e.select("event_id", d.alias("d"), F.date_format(d, "dd-MM-yyyy").alias("dmy"),
+                    iso_dow(d).alias("iso_dow"), F.weekofyear(d).alias("week"), F.last_day(d).alias("month_end"),
+                    F.trunc(d, "month").alias("month_start"),
+                    F.timestamp_add("HOUR", F.lit(3), F.col("ts")).alias("plus_3h"),
+                    F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour_start"),
+                    F.dayofyear(d).alias("doy"))
+
+
+@query("scalar_math", """
+SELECT event_id, power(2, event_id % 10) AS pow2, round(value * 100, 2) AS pct,
+       round(log2(value + 1), 9) AS log2v, CAST(floor(value) AS BIGINT) AS fl, round(sqrt(value), 9) AS sq,
+       event_id % 7 AS m7 FROM events""")
+def q_scalar_math(spark, sf):
+    """Section 2.7 math family: power (PostgreSQL ^), round, log2, floor,
+    sqrt, modulo."""
+    from opinio.functions.numeric import power2
+    e = NewsModel(spark, sf).table("events")
+    return e.select("event_id", power2(F.col("event_id") % 10).alias("pow2"),
+                    F.round(F.col("value") * 100, 2).alias("pct"),
+                    F.round(F.log2(F.col("value") + 1), 9).alias("log2v"), F.floor("value").alias("fl"),
+                    F.round(F.sqrt("value"), 9).alias("sq"), (F.col("event_id") % 7).alias("m7"))
+
+
+@query("scalar_arrays", """
+SELECT vec_id, CAST(len(embedding) AS INT) AS n, embedding[1:3] AS first3, list_max(embedding) AS mx,
+       CAST(list_position(embedding, list_max(embedding)) AS INT) AS argmax FROM embeddings""")
+def q_scalar_arrays(spark, sf):
+    """Section 2.7 array family: size, slice, max, argmax (array_position)."""
+    e = NewsModel(spark, sf).table("embeddings")
+    return e.select("vec_id", F.size("embedding").alias("n"), F.slice("embedding", 1, 3).alias("first3"),
+                    F.array_max("embedding").alias("mx"),
+                    F.array_position("embedding", F.array_max("embedding")).cast("int").alias("argmax"))
