@@ -48,6 +48,21 @@ def clean_word(token: Column, digits: bool = False) -> Column:
     return F.lower(F.regexp_replace(token, f"[^{keep}]+", ""))
 
 
+def clean_text(text: Column, digits: bool = False) -> Column:
+    """Whole-text form of ``clean_word``: characters outside the word set are
+    removed except whitespace, then lower-cased, in one pass per text.
+    Splitting the result on whitespace yields the cleaned tokens at the same
+    boundaries; tokens made only of removed characters disappear instead of
+    becoming empty strings."""
+    keep = WORD_CHARS_DIGITS if digits else WORD_CHARS
+    return F.lower(F.regexp_replace(text, f"[^{keep}\\s]+", ""))
+
+
+def clean_tokens(text: Column, digits: bool = False) -> Column:
+    """Non-empty cleaned tokens of a text (see ``clean_text``)."""
+    return F.filter(F.split(clean_text(text, digits), r"\s+"), lambda t: t != "")
+
+
 def umlaut_digraphs(s: Column) -> Column:
     out = s
     for a, b in UMLAUT_DIGRAPHS:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions.strings import umlaut_digraphs
 from opinio.operators.ids import dense_ids, running_total
-from opinio.session import scratch_path
+from opinio.session import ensure_parallelism, scratch_path
 
 # Punctuation tokens removed by the preprocessing, and the
 # characters stripped from the remaining tokens.
@@ -56,6 +56,7 @@ def corpus_preprocess(lines: DataFrame, key_cols: list[str], text_col: str = "te
     """One output row per kept sentence: key cols, sentence_no, sentence.
     ``first_only`` reproduces the reference's early ``return`` (only the
     first qualifying sentence of each line)."""
+    lines = ensure_parallelism(lines, *key_cols)
     s = lines.select(*key_cols, F.posexplode(sentences(F.col(text_col))).alias("sentence_no", "s"))
     if umlauts:
         s = s.withColumn("s", umlaut_digraphs(F.col("s")))

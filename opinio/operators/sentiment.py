@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinio.functions.numeric import fround
-from opinio.functions.strings import clean_word
+from opinio.functions.strings import clean_tokens
 from opinio.operators.ids import dense_ids
+from opinio.session import ensure_parallelism
 
 BROADCAST_MAX_ROWS = 2_000_000     # lexicon rows broadcast to every task
 NN_BLOCK_BYTES = 64 * 1024 * 1024   # per broadcast block of lexicon vectors
@@ -77,12 +78,14 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
     token is found. Plan: tokens exploded (whole-stage codegen), left join
     to the lexicon, one aggregation per text whose partial step runs in the
     scan task (a text's tokens are produced together), so only one row per
-    text and task is shuffled."""
-    words = docs.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("w"))
-    words = words.select(id_col, clean_word(F.col("w")).alias("word"))
+    text and task is shuffled. Words are cleaned once per text, not once per
+    token (``clean_tokens``)."""
+    docs = ensure_parallelism(docs, id_col)
+    words = docs.select(F.col(id_col), F.size(tokens(F.col(text_col))).alias("_n"),
+                        F.explode_outer(clean_tokens(F.col(text_col))).alias("word"))
     j = lexicon_join(words, lexicon, [F.col(value_col).alias("_s")])
     agg = j.groupBy(id_col).agg(F.avg("_s").alias("_m"), F.stddev_pop("_s").alias("_sd"),
-                                F.count("_s").alias("hits"), F.count(F.lit(1)).alias("n_tokens"))
+                                F.count("_s").alias("hits"), F.max("_n").alias("n_tokens"))
     return agg.select(id_col,
                       F.coalesce(fround(F.col("_m")), F.lit(0.0)).alias("value"),
                       F.coalesce(fround(F.col("_sd")), F.lit(1.0)).alias("error"),
@@ -94,8 +97,8 @@ def polarity_subjectivity(docs: DataFrame, lexicon: DataFrame, id_col: str = "do
     """N9 (re-aimed): lexical polarity and subjectivity as the mean over the
     lexicon hits of a polarity and a subjectivity column; the error is
     fixed at 1 as in the reference; no hit -> (0, 0)."""
-    words = docs.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("w"))
-    words = words.select(id_col, clean_word(F.col("w")).alias("word"))
+    docs = ensure_parallelism(docs, id_col)
+    words = docs.select(F.col(id_col), F.explode_outer(clean_tokens(F.col(text_col))).alias("word"))
     j = lexicon_join(words, lexicon, [F.col("score").alias("_p"), F.col("subjectivity").alias("_q")])
     agg = j.groupBy(id_col).agg(F.avg("_p").alias("_p"), F.avg("_q").alias("_q"))
     return agg.select(id_col, F.coalesce(fround(F.col("_p")), F.lit(0.0)).alias("polarity"),
@@ -109,6 +112,7 @@ def token_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Consecutive, non-overlapping pieces of ``size`` tokens covering the
     whole text (``truncate`` keeps only the first piece, as the reference's
     flag does). One output row per piece: (id, chunk, n_tokens, tokens)."""
+    docs = ensure_parallelism(docs, id_col)
     toks = tokens(F.col(text_col))
     n_chunks = F.greatest(F.lit(1), F.ceil(F.size(toks) / F.lit(float(size))).cast("int"))
     if truncate:

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions.numeric import fround
-from opinio.functions.strings import WORD_CHARS, clean_word
+from opinio.functions.strings import WORD_CHARS, clean_tokens, clean_word
+from opinio.session import ensure_parallelism
 
 TOP_TOPICS = 5
 MIN_COUNT_EXCLUSIVE = 2     # a topic must occur more than twice
@@ -43,10 +44,9 @@ def common_words(texts: DataFrame, id_col: str = "id", text_col: str = "text",
                  top_n: int = COMMON_WORDS) -> DataFrame:
     """Corpus-derived common words: the ``top_n`` words by document frequency
     (ties by word), plus the empty word. A top-k report: bounded output."""
-    words = (texts.select(F.col(id_col).alias("_d"),
-                          F.explode(F.split(F.col(text_col), r"\s+")).alias("w"))
-             .select("_d", clean_word(F.col("w"), digits=True).alias("word"))
-             .filter(F.col("word") != "").distinct())
+    texts = ensure_parallelism(texts, id_col)
+    words = texts.select(F.col(id_col).alias("_d"),
+                         F.explode(F.array_distinct(clean_tokens(F.col(text_col), digits=True))).alias("word"))
     df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     top = df.orderBy(F.col("df").desc(), F.col("word").asc()).limit(top_n).select("word")
     return top.unionByName(texts.sparkSession.createDataFrame([("",)], "word string"))
@@ -54,6 +54,7 @@ def common_words(texts: DataFrame, id_col: str = "id", text_col: str = "text",
 
 def word_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, word, cnt, first_pos) of whitespace-split, cleaned words."""
+    texts = ensure_parallelism(texts, id_col)
     w = texts.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), r"\s+")).alias("pos", "w"))
     w = w.select(id_col, "pos", clean_word(F.col("w"), digits=True).alias("word"))
     return w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
@@ -62,8 +63,8 @@ def word_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def topics_top5(texts: DataFrame, stopwords: DataFrame, id_col: str = "id", text_col: str = "text",
                 top: int = TOP_TOPICS) -> DataFrame:
     """(id, rank, topic, cnt) -- up to five words per text."""
-    w = texts.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), r"\s+")).alias("pos", "w"))
-    w = w.select(id_col, "pos", clean_word(F.col("w"), digits=True).alias("word"))
+    texts = ensure_parallelism(texts, id_col)
+    w = texts.select(F.col(id_col), F.posexplode(clean_tokens(F.col(text_col), digits=True)).alias("pos", "word"))
     w = w.join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti")
     freq = (w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
             .filter(F.col("cnt") > MIN_COUNT_EXCLUSIVE))
@@ -105,6 +106,7 @@ def centroid_distance(texts: DataFrame, vectors: DataFrame, id_col: str = "id",
     """Per text, the centroid of its words' vectors (all occurrences) and
     the cosine distance of each distinct word to it (ascending order; the
     farthest word is the last)."""
+    texts = ensure_parallelism(texts, id_col)
     w = texts.select(F.col(id_col), F.explode(F.split(F.col(text_col), r"\s+")).alias("w"))
     w = w.select(id_col, F.regexp_replace(F.col("w"), f"[^{WORD_CHARS}]+", "").alias("word"))
     wv = hashed_vector_lookup(w, vectors)

@@ -70,3 +70,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint directory for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ensure_parallelism(df, *key_cols: str):
+    """Spread an under-partitioned input before CPU-heavy per-row work.
+
+    A large scan already has many splits and is returned unchanged (no extra
+    shuffle at scale). A small input read as one split (a single row group)
+    is hash-partitioned by ``key_cols`` to the cluster's default
+    parallelism; a later aggregation or window on the same key then reuses
+    that partitioning instead of adding its own exchange."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *key_cols) if key_cols else df.repartition(target)

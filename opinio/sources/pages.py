@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinio.session import ensure_parallelism
+
 # URL markers of paid articles per outlet (2 = Welt, 3 = FAZ);
 # outlet 1 sends an explicit flag.
 PAID_MARKERS = {2: "/plus", 3: "/premiumContent"}
@@ -24,6 +26,7 @@ LINK_PATTERN = r"""<a\s[^>]*href="([^"]*)\""""
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Article links of a listing page, de-duplicated keeping the first
     occurrence: (page_id, pos, link)."""
+    pages = ensure_parallelism(pages, id_col)
     links = pages.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(LINK_PATTERN), 1))
                          .alias("pos", "link"))
     return links.groupBy(id_col, "link").agg(F.min("pos").alias("pos")).select(id_col, "pos", "link")
@@ -55,6 +58,7 @@ def page_article_extract(pages: DataFrame, id_col: str = "page_id", html_col: st
     Script and style blocks are removed first (they may contain markup-like
     text); the body is the text of the <p> blocks inside <article>, trailing
     <em> blocks removed, joined by newlines."""
+    pages = ensure_parallelism(pages, id_col)
     clean = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?s)<script[^>]*>.*?</script>", ""),
                              r"(?s)<style[^>]*>.*?</style>", "")
     article = F.regexp_extract(clean, r"(?s)<article[^>]*>(.*)</article>", 1)
