@@ -81,8 +81,11 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id
     text and task is shuffled. Words are cleaned once per text, not once per
     token (``clean_tokens``)."""
     docs = ensure_parallelism(docs, id_col)
-    words = docs.select(F.col(id_col), F.size(tokens(F.col(text_col))).alias("_n"),
-                        F.explode_outer(clean_tokens(F.col(text_col))).alias("word"))
+    # token count and cleaned tokens are computed once per text, below the
+    # explode (an expression next to the generator would run once per token)
+    per_text = docs.select(F.col(id_col), F.size(tokens(F.col(text_col))).alias("_n"),
+                           clean_tokens(F.col(text_col)).alias("_t"))
+    words = per_text.select(id_col, "_n", F.explode_outer("_t").alias("word"))
     j = lexicon_join(words, lexicon, [F.col(value_col).alias("_s")])
     agg = j.groupBy(id_col).agg(F.avg("_s").alias("_m"), F.stddev_pop("_s").alias("_sd"),
                                 F.count("_s").alias("hits"), F.max("_n").alias("n_tokens"))
