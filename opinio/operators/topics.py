@@ -60,13 +60,19 @@ def word_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
 
 
-def topics_top5(texts: DataFrame, stopwords: DataFrame, id_col: str = "id", text_col: str = "text",
-                top: int = TOP_TOPICS) -> DataFrame:
-    """(id, rank, topic, cnt) -- up to five words per text."""
+def topics_top5(texts: DataFrame, stopwords: DataFrame | None = None, id_col: str = "id",
+                text_col: str = "text", top: int = TOP_TOPICS, common_n: int = COMMON_WORDS) -> DataFrame:
+    """(id, rank, topic, cnt) -- up to five words per text. Without a
+    ``stopwords`` table the common words are the corpus's ``common_n`` most
+    frequent words by document frequency, derived from the same per-(text,
+    word) count table (its exchange is reused; tokens are exploded once)."""
     texts = ensure_parallelism(texts, id_col)
     w = texts.select(F.col(id_col), F.posexplode(clean_tokens(F.col(text_col), digits=True)).alias("pos", "word"))
-    w = w.join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti")
-    freq = (w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    freq = w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    if stopwords is None:
+        dfreq = freq.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        stopwords = dfreq.orderBy(F.col("df").desc(), F.col("word").asc()).limit(common_n).select("word")
+    freq = (freq.join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti")
             .filter(F.col("cnt") > MIN_COUNT_EXCLUSIVE))
     rk = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("cnt").desc(), F.col("first_pos").asc()))
     return (freq.withColumn("rank", rk).filter(F.col("rank") <= top)

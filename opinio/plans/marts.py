@@ -143,12 +143,13 @@ def article_header_current(m: NewsModel) -> DataFrame:
 
 
 def article_body_last(m: NewsModel) -> DataFrame:
-    """The latest body version per article (highest id). ``max_by`` on
-    a struct keeps one row per article per map task before the shuffle."""
+    """The latest body version per article (highest id): ``max(id)``
+    per article (hash aggregation over ids only) and a semi-join of the
+    bodies on that id. (``max_by`` over a struct holding the text would fall
+    back to a sort aggregation of whole bodies.)"""
     ab = m.article_body
-    cols = ab.columns
-    return (ab.groupBy("article_id").agg(F.max_by(F.struct(*cols), F.col("id")).alias("b"))
-            .select(*[F.col(f"b.{c}").alias(c) for c in cols]))
+    last = m.article_body_last_id.select(F.col("last_article_body_id").alias("_last"))
+    return ab.join(last, ab.id == last._last, "left_semi")
 
 
 def fact_dates(m: NewsModel) -> DataFrame:

@@ -199,8 +199,7 @@ topics AS (SELECT * FROM r WHERE rank <= 5)"""
 
 
 def _topics(m: NewsModel) -> DataFrame:
-    texts = topic_texts(m)
-    return TP.topics_top5(texts, TP.common_words(texts, "id", "text"), "id", "text")
+    return TP.topics_top5(topic_texts(m), None, "id", "text")
 
 
 @query("topics_top5", _TOPICS_SQL + " SELECT * FROM topics")
