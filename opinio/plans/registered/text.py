@@ -588,3 +588,61 @@ def q_annotated_csv_filter(spark, sf):
                     "text", F.when(F.col("label") == 1, "1").otherwise("0").alias("flag"),
                     F.when(F.col("sample_no") == 0, F.lit(None)).otherwise(F.lit("x")).alias("extra"))
     return K.annotated_csv_filter(rows)
+
+
+# ---- S2 / S3 readers over files derived from the tables ------------------------------
+def benchmark_vocabulary(m: NewsModel) -> DataFrame:
+    from opinio.functions.strings import clean_tokens
+    b = m.table("benchmark").select(F.explode(clean_tokens(F.col("text"))).alias("word"))
+    return b.filter(F.length("word") >= 2).distinct()
+
+
+_VOCAB_SQL = ("vocab AS (SELECT DISTINCT w AS word FROM (SELECT unnest(list_filter(regexp_split_to_array("
+              f"{clean_sql('text').replace('[^A-Za-züäößÄÖÜ]+', '[^A-Za-züäößÄÖÜ\\s]+')}, '\\s+'), lambda t: t <> '')) AS w "
+              "FROM benchmark) x WHERE length(w) >= 2)")
+
+
+@query("lexicon_parse", f"""
+WITH {_VOCAB_SQL},
+e AS (SELECT length(word) % 2 AS file_no, word, CASE WHEN length(word) % 2 = 0 THEN -1 ELSE 1 END
+             * ((length(word) % 5) + 1) / 10.0e0 AS score FROM vocab),
+allw AS (SELECT file_no, word, score FROM e UNION ALL SELECT file_no, word || 'x', score FROM e)
+SELECT word, arg_max(score, file_no) AS score FROM allw GROUP BY word""")
+def q_lexicon_parse(spark, sf):
+    """S3: two lexicon files in the 'word|POS<TAB>score<TAB>inflections'
+    format (negative file: even-length words, positive file: odd-length
+    words of the benchmark texts; one inflection each) parsed with
+    later-file-wins."""
+    import uuid
+    from opinio.session import scratch_path
+    from opinio.sources.lexicon import parse_lexicon, read_lexicon_files
+    v = benchmark_vocabulary(_m(spark, sf))
+    base = scratch_path(spark, f"lexicon-{uuid.uuid4().hex}")
+    paths = []
+    for f_no in (0, 1):
+        sign = -1 if f_no == 0 else 1
+        score = (F.length("word") % 5 + 1) / F.lit(10.0) * sign
+        line = F.concat(F.col("word"), F.lit("|NN\t"), score.cast("string"), F.lit("\t"),
+                        F.concat(F.col("word"), F.lit("x")))
+        path = f"{base}/file{f_no}"
+        v.filter(F.length("word") % 2 == f_no).select(line.alias("value")).write.text(path)
+        paths.append(path)
+    return parse_lexicon(read_lexicon_files(spark, paths))
+
+
+@query("stopword_scan")
+def q_stopword_scan(spark, sf):
+    """A common-words CSV (two comment lines, 'number,word,translation'
+    rows, an empty word, lines with '.' instead of the first comma) built
+    from the corpus's most common words, read back (rows-only)."""
+    import uuid
+    from opinio.session import scratch_path
+    texts = documents(_m(spark, sf)).withColumnRenamed("doc_id", "id")
+    cw = TP.common_words(texts, "id", "text", top_n=TP.COMMON_WORDS).filter(F.col("word") != "")
+    rows = cw.select(F.when(F.length("word") % 7 == 0, F.concat(F.lit("0."), F.col("word"), F.lit(","), F.upper("word")))
+                     .otherwise(F.concat(F.lit("0,"), F.col("word"), F.lit(","), F.upper("word"))).alias("value"))
+    head = spark.createDataFrame([("#Source: corpus common words",), ("#Number,German,in English",),
+                                  ('0,,"empty"',)], "value string")
+    path = scratch_path(spark, f"stopwords-{uuid.uuid4().hex}")
+    head.unionByName(rows).write.text(path)
+    return TP.read_stopword_csv(spark, path)
