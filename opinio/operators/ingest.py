@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from opinio.functions.hashing import content_hash
 from opinio.functions.strings import remove_nul
 from opinio.operators.ids import dense_ids
+from opinio.session import broadcast_if_small
 
 # The reference's length limits.
 MAX_URL_LENGTH = 2048      # url must be strictly shorter
@@ -47,7 +48,7 @@ def with_validation(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def validate_headers(incoming: DataFrame, sources: DataFrame) -> DataFrame:
     """Url valid and shorter than 2048; source id positive and known;
     mandatory url / obsolete / source_id (obsolete defaults to false)."""
-    known = F.broadcast(sources.select(F.col("id").alias("_known_source")))
+    known = broadcast_if_small(sources.select(F.col("id").alias("_known_source")))
     df = (incoming.withColumn("obsolete", F.coalesce(F.col("obsolete"), F.lit(False)))
           .join(known, F.col("source_id") == F.col("_known_source"), "left"))
     rules = {
@@ -99,7 +100,7 @@ def validate_udfs(incoming: DataFrame, udf_header: DataFrame) -> DataFrame:
     """Attribute key must name a known field (unknown keys such as
     'replies' are dropped silently), value at most 80 characters; the key
     is mapped to its id; duplicates collapse (set semantics)."""
-    uh = F.broadcast(udf_header.select(F.col("id").alias("udf_id"), F.col("udf_name").alias("key")))
+    uh = broadcast_if_small(udf_header.select(F.col("id").alias("udf_id"), F.col("udf_name").alias("key")))
     ok = (incoming.join(uh, "key", "inner")
           .filter(F.col("value").isNotNull() & (F.length("value") <= MAX_UDF_LENGTH)))
     return ok.select("udf_id", "object_type", "object_id", F.col("value").alias("udf_value")).distinct()
@@ -153,7 +154,7 @@ def insert_ignore(incoming: DataFrame, existing: DataFrame, key: list[str],
     """W8 (``ON CONFLICT DO NOTHING``): rows to append -- first in batch
     wins, stored rows win over new ones."""
     batch = first_wins(incoming, key, order_col) if order_col else incoming.dropDuplicates(key)
-    return batch.join(existing.select(*key).distinct(), key, "left_anti")
+    return batch.join(existing.select(*key), key, "left_anti")
 
 
 def mark_obsolete(headers: DataFrame, ids: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions.numeric import fround
 from opinio.functions.strings import WORD_CHARS, clean_tokens, clean_word
-from opinio.session import ensure_parallelism
+from opinio.session import broadcast_if_small, ensure_parallelism
 
 TOP_TOPICS = 5
 MIN_COUNT_EXCLUSIVE = 2     # a topic must occur more than twice
@@ -71,8 +71,11 @@ def topics_top5(texts: DataFrame, stopwords: DataFrame | None = None, id_col: st
     freq = w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
     if stopwords is None:
         dfreq = freq.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-        stopwords = dfreq.orderBy(F.col("df").desc(), F.col("word").asc()).limit(common_n).select("word")
-    freq = (freq.join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti")
+        top_words = dfreq.orderBy(F.col("df").desc(), F.col("word").asc()).limit(common_n).select("word")
+        stop = F.broadcast(top_words)          # bounded by common_n rows
+    else:
+        stop = broadcast_if_small(stopwords.select("word").distinct())
+    freq = (freq.join(stop, "word", "left_anti")
             .filter(F.col("cnt") > MIN_COUNT_EXCLUSIVE))
     rk = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("cnt").desc(), F.col("first_pos").asc()))
     return (freq.withColumn("rank", rk).filter(F.col("rank") <= top)

@@ -131,7 +131,8 @@ def article_date_bound(m: NewsModel, latest: bool) -> DataFrame:
 
 
 def article_header_current(m: NewsModel) -> DataFrame:
-    """non-obsolete articles with their source and source type."""
+    """non-obsolete articles with their source and source type (the two
+    dimensions are fixed literal relations, so their broadcast is bounded)."""
     sth = F.broadcast(m.source_type_header.select(F.col("id").alias("type_id"),
                                                   F.col("type").alias("src_type")))
     sh = F.broadcast(m.source_header.select(F.col("id").alias("src_id"), F.col("type").alias("type_id"),
@@ -178,7 +179,8 @@ def date_range_lookup(m: NewsModel, start: str, end: str) -> DataFrame:
 
 def topics_by_source(m: NewsModel, topic_results: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Distinct (source, detector, lemma) triples over five relations;
-    the three dimensions are small and joined after the fact join."""
+    source and detector are fixed literal relations (bounded broadcasts), the
+    lemma table joins like a fact."""
     ah = m.article_header.select(F.col("id").alias("article_header_id"), F.col("source_id").alias("article_source_id"))
     sh = F.broadcast(m.source_header.select(F.col("id").alias("article_source_id"),
                                             F.col("source").alias("article_source")))

@@ -18,6 +18,7 @@ from opinio.operators import sentiment as S
 from opinio.operators import topics as TP
 from opinio.plans.marts import article_body_last
 from opinio.plans.registry import query
+from opinio.session import broadcast_if_small
 from opinio.sources.news_model import NewsModel
 
 LEX_SQL = "(SELECT * FROM (VALUES " + ", ".join(
@@ -303,7 +304,7 @@ def vector_lexicon_sentiment(texts: DataFrame, vecs: DataFrame, lex: DataFrame,
     (0, 1) without a match. ``n_words`` counts the non-stop tokens."""
     tok = (texts.select("id", F.explode(S.tokens(F.col("text"))).alias("w"))
            .select("id", F.lower(F.regexp_replace("w", f"[^{WORD_CHARS}]+", "")).alias("word"))
-           .join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti"))
+           .join(broadcast_if_small(stopwords.select("word").distinct()), "word", "left_anti"))
     n_words = tok.groupBy("id").agg(F.count(F.lit(1)).alias("n_words"))
     n = vecs.agg(F.count(F.lit(1))).scalar()
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("word")), 1, 15), 16, 10).cast("bigint"), n)

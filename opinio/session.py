@@ -85,3 +85,14 @@ def ensure_parallelism(df, *key_cols: str):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast hint only for a side whose row count is checked to be small
+    (one count job on a dimension-sized input); larger inputs are left to
+    the planner (shuffle join, AQE may still convert at run time)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
