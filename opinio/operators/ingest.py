@@ -66,8 +66,11 @@ def validate_bodies(incoming: DataFrame) -> DataFrame:
     """Headline at most 200 characters, article id positive, counter
     non-negative (0 only as the default), timestamps truncated to seconds;
     every mandatory field present."""
+    ts = F.date_trunc("second", F.col("proc_timestamp"))
+    if dict(incoming.dtypes).get("proc_timestamp") == "timestamp_ntz":
+        ts = ts.cast("timestamp_ntz")  # date_trunc yields TIMESTAMP; keep the input's type
     df = (incoming.withColumn("proc_counter", F.coalesce(F.col("proc_counter"), F.lit(0)))
-          .withColumn("proc_timestamp", F.date_trunc("second", F.col("proc_timestamp"))))
+          .withColumn("proc_timestamp", ts))
     rules = {
         "article_missing": F.col("article_id").isNotNull(),
         "article_not_positive": F.col("article_id") > 0,
