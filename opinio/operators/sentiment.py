@@ -174,16 +174,22 @@ def combine_chunks(scored: DataFrame, key: str, value_col: str = "value", error_
     return scored.groupBy(key).agg(fround(v).alias("value"), fround(e).alias("error"))
 
 
-def hashed_feature_logits(tok: Column, n_classes: int, seed: int) -> Column:
-    """Deterministic stand-in scorer (no model files are available): logit k
-    is the mean over the chunk's tokens of a hash-derived weight in [-1, 1].
-    Real models plug in through ``pandas_scorer``."""
-    n = F.greatest(F.size(tok), F.lit(1))
-
-    def weight_sum(k: int) -> Column:
-        return F.aggregate(tok, F.lit(0.0),
-                           lambda a, t: a + (F.abs(F.xxhash64(t, F.lit(seed + k))) % 2001 - 1000) / 1000.0)
-    return F.array(*[weight_sum(k) / n for k in range(n_classes)])
+def hashed_feature_logits(chunks: DataFrame, key: str, heads: dict[str, tuple[int, int]]) -> DataFrame:
+    """Deterministic stand-in scorer (no model files are available): for each
+    head ``name -> (n_classes, seed)``, logit k of a chunk is the mean over
+    its tokens of a hash-derived weight in [-1, 1]. Tokens are exploded and
+    summed per chunk (whole-stage codegen, partial aggregation in the scan
+    task). Real models plug in through ``pandas_scorer``."""
+    t = chunks.select(key, "chunk", F.size("tokens").alias("_n"), F.explode_outer("tokens").alias("_tok"))
+
+    def weight(seed: int) -> Column:
+        return (F.pmod(F.xxhash64(F.col("_tok"), F.lit(seed)), F.lit(2001)) - 1000) / 1000.0
+    sums = [F.coalesce(F.sum(weight(seed + k)), F.lit(0.0)).alias(f"_{name}_{k}")
+            for name, (n, seed) in heads.items() for k in range(n)]
+    agg = t.groupBy(key, "chunk").agg(F.max("_n").alias("_n"), *sums)
+    den = F.greatest(F.col("_n"), F.lit(1))
+    return agg.select(key, "chunk", *[F.array(*[F.col(f"_{name}_{k}") / den for k in range(n)]).alias(name)
+                                      for name, (n, seed) in heads.items()])
 
 
 def pandas_scorer(fn, n_classes: int):
@@ -203,11 +209,10 @@ def model_scores(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """N3-N5 end to end: per chunk two model heads (5-star, 3-class) ->
     (value, error) per head -> combined per text over chunks -> ensemble of
     the two heads: (key, ens_value, ens_error, m1_value, m1_error, m2_value, m2_error)."""
-    l5 = hashed_feature_logits(F.col("tokens"), 5, 11)
-    l3 = hashed_feature_logits(F.col("tokens"), 3, 29)
-    v1, e1 = logits_to_sentiment(l5, "stars5")
-    v2, e2 = logits_to_sentiment(l3, "pos_neg_neu3")
-    per = chunks.select(key, v1.alias("v1"), e1.alias("e1"), v2.alias("v2"), e2.alias("e2"))
+    logits = hashed_feature_logits(chunks, key, {"l5": (5, 11), "l3": (3, 29)})
+    v1, e1 = logits_to_sentiment(F.col("l5"), "stars5")
+    v2, e2 = logits_to_sentiment(F.col("l3"), "pos_neg_neu3")
+    per = logits.select(key, v1.alias("v1"), e1.alias("e1"), v2.alias("v2"), e2.alias("e2"))
     a1, b1 = inverse_variance(F.col("v1"), F.col("e1"))
     a2, b2 = inverse_variance(F.col("v2"), F.col("e2"))
     comb = per.groupBy(key).agg(a1.alias("m1_value"), b1.alias("m1_error"),

@@ -302,8 +302,8 @@ def vector_lexicon_sentiment(texts: DataFrame, vecs: DataFrame, lex: DataFrame,
     lookup) -> nearest lexicon vector (J10, once per distinct vector) ->
     scores of matches within 0.25 -> mean / population std per text;
     (0, 1) without a match. ``n_words`` counts the non-stop tokens."""
-    tok = (texts.select("id", F.explode(S.tokens(F.col("text"))).alias("w"))
-           .select("id", F.lower(F.regexp_replace("w", f"[^{WORD_CHARS}]+", "")).alias("word"))
+    from opinio.functions.strings import clean_tokens
+    tok = (texts.select("id", F.explode(clean_tokens(F.col("text"))).alias("word"))
            .join(broadcast_if_small(stopwords.select("word").distinct()), "word", "left_anti"))
     n_words = tok.groupBy("id").agg(F.count(F.lit(1)).alias("n_words"))
     n = vecs.agg(F.count(F.lit(1))).scalar()
