@@ -13,8 +13,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from opinio.session import get_spark
     ckpt = tempfile.mkdtemp(prefix="opinio-test-ckpt-")
+    wh = tempfile.mkdtemp(prefix="opinio-test-warehouse-")
     s = get_spark(master="local[4]", app="opinio-tests", shuffle_partitions=8,
-                  extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
+                  extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g",
+                         "spark.sql.warehouse.dir": wh})
     s.sparkContext.setCheckpointDir(ckpt)
     yield s
     s.stop()
