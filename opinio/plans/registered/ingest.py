@@ -343,7 +343,7 @@ def q_normalise_text_nfkd(spark, sf):
 
 
 @query("initial_backoff", """
-SELECT id, date_diff('day', source_date, DATE '2024-02-01') AS age_days,
+SELECT id, CAST(date_diff('day', source_date, DATE '2024-02-01') AS INT) AS age_days,
        CAST(CASE WHEN date_diff('day', source_date, DATE '2024-02-01') > 0
             THEN greatest(floor(log2(date_diff('day', source_date, DATE '2024-02-01') * 24)) - 1, 0) ELSE 0 END AS INT)
          AS backoff,

@@ -63,7 +63,7 @@ def q_lexicon_sentiment(spark, sf):
 
 @query("polarity_subjectivity", _N1 + """
 SELECT d.doc_id, CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.m, 9) END AS polarity,
-       CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.subj, 9) END AS subjectivity, 1.0 AS error
+       CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.subj, 9) END AS subjectivity, 1.0e0 AS error
 FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id""")
 def q_polarity_subjectivity(spark, sf):
     return S.polarity_subjectivity(documents(_m(spark, sf)), lexicon(spark))
@@ -505,8 +505,8 @@ def q_class_balance(spark, sf):
 
 @query("one_hot_split", f"""WITH {_BALANCE_SQL}
 SELECT key, label, text,
-       [CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END,
-        CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END] AS labels,
+       [CASE WHEN label = -1 THEN 1.0e0 ELSE 0.0e0 END, CASE WHEN label = 0 THEN 1.0e0 ELSE 0.0e0 END,
+        CASE WHEN label = 1 THEN 1.0e0 ELSE 0.0e0 END] AS labels,
        row_number() OVER (ORDER BY md5(text), key) - 1 AS position,
        CASE WHEN (row_number() OVER (ORDER BY md5(text), key) - 1) % 10 = 0 THEN 'test'
             WHEN (row_number() OVER (ORDER BY md5(text), key) - 1) % 10 = 1 THEN 'val' ELSE 'train' END AS split
@@ -558,7 +558,8 @@ cnt AS (SELECT m.model, cl.c AS class,
         FROM cls m CROSS JOIN cl GROUP BY m.model, cl.c),
 pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN NULL ELSE tp / CAST(tp + fp AS DOUBLE) END AS p,
               CASE WHEN tp + fn = 0 THEN NULL ELSE tp / CAST(tp + fn AS DOUBLE) END AS r FROM cnt)
-SELECT model, CAST(class AS INT) AS class, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall,
+SELECT model, CAST(class AS INT) AS class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(fn AS BIGINT) AS fn, round(p, 9) AS precision, round(r, 9) AS recall,
        round(CASE WHEN p + r = 0 THEN NULL ELSE 2 * p * r / (p + r) END, 9) AS f1,
        round(correct / CAST(total AS DOUBLE), 9) AS accuracy FROM pr""")
 def q_precision_recall_f1(spark, sf):

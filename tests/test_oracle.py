@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, canon
+from tools.oracle_check import TABLES, canon, type_diff
 
 from conftest import SF_SMALL
 
@@ -33,6 +33,8 @@ def test_query_matches_oracle(spark, con, key):
     srows = sdf.collect()
     cur = con.execute(ORACLES[key])
     ocols = [d[0] for d in cur.description]
+    rel = con.sql(ORACLES[key])
+    assert type_diff(sdf, rel.columns, rel.types) == {}
     sc, sv = canon(sdf.columns, srows)
     oc, ov = canon(ocols, cur.fetchall())
     assert sc == oc
