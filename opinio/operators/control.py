@@ -140,6 +140,19 @@ def todo_analyzer_next(m: NewsModel, limit: int = BATCH_SIZE) -> DataFrame:
                      F.col("comment_id").asc()).limit(limit)
 
 
+# The reference joins on a view / table name taken from analyzer_header;
+# here the registry maps that name to a DataFrame builder (no dynamic SQL).
+ANALYZER_VIEWS = {"v_todo_analyzer1_next": todo_analyzer_next}
+
+
+def analyzer_todo(m: NewsModel, analyzer_id: int = 1, limit: int = BATCH_SIZE) -> DataFrame:
+    """The next to-do batch of an analyzer, resolved through the registry
+    (fixed rows of analyzer_header: id -> view name -> builder)."""
+    from opinio.sources.news_model import ANALYZERS
+    view = {a[0]: a[3] for a in ANALYZERS}[analyzer_id]
+    return ANALYZER_VIEWS[view](m, limit)
+
+
 def max_id(df: DataFrame, col: str = "id") -> Column:
     """``coalesce(max(id), 0)`` as an uncorrelated scalar subquery."""
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()
@@ -150,7 +163,7 @@ def analyzer_batch_start(m: NewsModel, analyzer_id: int = 1, as_of: str = AS_OF,
     """T4: the batch as a set of (comment id, body), logged as started: the
     log rows to append, ids continuing after the current max id. The batch
     is bounded by ``limit``, so numbering it in one window is bounded too."""
-    batch = todo_analyzer_next(m, limit).select("comment_id", "comment_body").distinct()
+    batch = analyzer_todo(m, analyzer_id, limit).select("comment_id", "comment_body").distinct()
     w = Window.orderBy("comment_id")
     return batch.select(
         (max_id(m.analyzer_log) + F.row_number().over(w)).alias("id"),
