@@ -73,16 +73,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ensure_parallelism(df, *key_cols: str):
-    """Spread an under-partitioned input before CPU-heavy per-row work.
-
-    A large scan already has many splits and is returned unchanged (no extra
-    shuffle at scale). A small input read as one split (a single row group)
-    is hash-partitioned by ``key_cols`` to the cluster's default
-    parallelism; a later aggregation or window on the same key then reuses
-    that partitioning instead of adding its own exchange."""
+    """Spread a small input before CPU-heavy per-row work (tokenising text).
+
+    The decision uses Catalyst's size estimate of the plan (no job runs):
+    an input estimated at ``defaultParallelism x maxPartitionBytes`` or more
+    already arrives in enough splits and is returned unchanged -- no extra
+    shuffle at scale. A smaller one (e.g. a single row group read by one
+    task) is hash-partitioned by ``key_cols`` to the default parallelism; a
+    later aggregation or window on the same key then reuses that
+    partitioning instead of adding its own exchange."""
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate >= target * split_bytes:
         return df
     return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
 
