@@ -100,3 +100,18 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
     the planner (shuffle join, AQE may still convert at run time)."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def sizing_conf(input_bytes: int, cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Shuffle / split settings for a job over ``input_bytes`` on ``cores``
+    executor cores: enough shuffle partitions that each holds about
+    ``partition_bytes`` (at least two waves of tasks), scan splits of the same
+    size, and AQE left to coalesce small partitions and split skewed ones."""
+    parts = max(2 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    }

@@ -87,3 +87,11 @@ def test_thread_levels_brute_force(spark):
             i, d = parents[i], d + 1
         return i, d
     assert got == {i: walk(i) for i in parents}
+
+
+def test_sizing_conf_scales_with_input():
+    from opinio.session import sizing_conf
+    small = sizing_conf(10 * 1024 ** 2, cores=8)
+    big = sizing_conf(100 * 1024 ** 4, cores=8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"          # two waves of 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600      # 100 TB / 256 MB
