@@ -4,11 +4,12 @@ Each function takes the news model plus user parameters (date range,
 outlets, model name, keyword / article text) and returns a lazy DataFrame.
 Parameters bind as literals; there is no SQL string interpolation.
 
-Plan shape at scale: the fixed dimensions (outlets, model names) are literal
-relations with a proven size bound and are broadcast; every fact table is
-pruned to the join keys before the joins, the date range and the model id
-reach the scans as filters, and the final GROUP BY runs partial aggregation
-before its (tiny, per-day) shuffle.
+Plan shape at scale: the outlet dimension is a literal relation with a
+proven size bound and is broadcast; the model name resolves to result sub
+ids against the fixed model relation, so it becomes a filter on the results
+scan; every fact table is pruned to the join keys before the joins, the
+date range filters the article scan, and the final GROUP BY runs partial
+aggregation before its (tiny, per-day) shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinio.functions.numeric import fround
-from opinio.sources.news_model import NewsModel, date_lit
+from opinio.sources.news_model import NLP_MODELS, NewsModel, date_lit
 
 ALL_OUTLETS = ("Spiegel", "Welt", "FAZ")
 
@@ -63,12 +64,18 @@ def _articles(m: NewsModel, p: DashboardParams) -> DataFrame:
     return ah.join(sh, "source_id", "inner")
 
 
+def model_ids(name: str) -> list[int]:
+    """Result sub ids of a model name in the fixed model relation."""
+    return [i for i, n in NLP_MODELS if n == name]
+
+
 def _model_results(m: NewsModel, p: DashboardParams, extra=()) -> DataFrame:
-    """analyzer1_result joined to the literal model relation."""
-    nlp = F.broadcast(m.nlp_models.filter(F.col("nlp_model") == p.nlp_model)
-                      .select(F.col("id").alias("sub_id")))
-    r = m.analyzer1_result.select("comment_id", "sub_id", "sentiment_value", *extra)
-    return r.join(nlp, "sub_id", "inner")
+    """analyzer1_result of the chosen model. ``LEFT JOIN`` to the literal
+    model relation filtered on its name is ``sub_id IN (ids of that name)``;
+    resolving the name against the fixed relation at plan time turns it into
+    a filter that reaches the results scan."""
+    r = m.analyzer1_result.filter(F.col("sub_id").isin(model_ids(p.nlp_model)))
+    return r.select("comment_id", "sub_id", "sentiment_value", *extra)
 
 
 def _scored_comments(m: NewsModel, p: DashboardParams, *, by_keyword: bool,

@@ -22,3 +22,20 @@ def test_bucketed_store_avoids_store_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS store_headers_test")
+
+
+def test_model_filter_reaches_parquet_scan(spark, tmp_path):
+    from opinio.plans import dashboards as D
+    from opinio.sources.news_model import NewsModel
+    path = str(tmp_path / "results")
+    spark.createDataFrame([(1, 10, 1, 0.5), (2, 10, 2, -0.5)],
+                          "id long, comment_id long, sub_id int, sentiment_value double").write.parquet(path)
+
+    class Stored(NewsModel):
+        @property
+        def analyzer1_result(self):
+            return spark.read.parquet(path)
+    r = D._model_results(Stored(spark, "/unused"), D.DashboardParams(nlp_model="Multilanguage Bert"))
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(sub_id), In(sub_id, [2])]" in plan or "EqualTo(sub_id,2)" in plan
+    assert [row.sub_id for row in r.collect()] == [2]
