@@ -2,9 +2,10 @@
 
 ``topics_top5``: word frequency per text minus common words, the five most
 frequent words seen more than twice, ties broken by first occurrence. Plan:
-tokens are exploded once, common words removed by a broadcast anti-join
-(the list has a fixed size bound), counted per (text, word) with partial
-aggregation, and only words seen 3+ times reach the per-text ranking
+tokens are counted per (text, word) with partial aggregation (texts are
+hash-partitioned by id, so the count and the ranking window need no further
+exchange), common words removed by a broadcast anti-join (the list has a
+fixed size bound), and only words seen 3+ times reach the per-text ranking
 window -- a text's window holds at most its own vocabulary.
 
 ``centroid_distance``: the mean word vector of a text (ML ``Summarizer``,
@@ -65,7 +66,8 @@ def topics_top5(texts: DataFrame, stopwords: DataFrame | None = None, id_col: st
     """(id, rank, topic, cnt) -- up to five words per text. Without a
     ``stopwords`` table the common words are the corpus's ``common_n`` most
     frequent words by document frequency, derived from the same per-(text,
-    word) count table (its exchange is reused; tokens are exploded once)."""
+    word) count expression (the text exchange is reused between the two
+    branches; each branch tokenises the texts itself)."""
     texts = ensure_parallelism(texts, id_col)
     w = texts.select(F.col(id_col), F.posexplode(clean_tokens(F.col(text_col), digits=True)).alias("pos", "word"))
     freq = w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
