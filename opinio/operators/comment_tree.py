@@ -30,9 +30,14 @@ MAX_LEVELS = 10_000  # guard against malformed (cyclic) input only
 
 
 def _item_fields(item):
+    """Fields of one comment item; outlet 1 nests the user name under
+    ``user.username``, outlet 3 gives a plain ``author`` (and a ``title``)."""
+    author = F.try_variant_get(item, "$.author", "string")
     return {
         "body": F.try_variant_get(item, "$.body", "string"),
-        "user": F.try_variant_get(item, "$.user.username", "string"),
+        "title": F.try_variant_get(item, "$.title", "string"),
+        "author": author,
+        "user": F.coalesce(F.try_variant_get(item, "$.user.username", "string"), author),
         "created_at": F.try_variant_get(item, "$.created_at", "string"),
     }
 

@@ -197,3 +197,13 @@ def test_n14_split_by_position(spark):
     df = spark.createDataFrame(rows, "key string, label int, text string")
     got = {r.position: r.split for r in K.one_hot_split(df).collect()}
     assert got[0] == "test" and got[1] == "val" and all(got[p] == "train" for p in range(2, 10))
+
+
+def test_c1_outlet3_fields(spark):
+    tree = ('[{"title":"t","body":"top","author":"x","created_at":"2024-01-02 10:00","level":0,"replies":'
+            '[{"title":"r","body":"reply","author":"y","created_at":"2024-01-02 11:00","level":1}]},'
+            '{"body":"no title","author":"z","created_at":"2024-01-02 12:00","level":0}]')
+    docs = spark.createDataFrame([("u", tree)], "url string, tree string")
+    flat = CT.flatten_comment_tree(docs, required=CT.REQUIRED_FIELDS_FAZ)
+    got = sorted((r.body, r.user, r.level) for r in flat.collect())
+    assert got == [("reply", "y", 1), ("top", "x", 0)]
