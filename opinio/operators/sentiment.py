@@ -26,9 +26,8 @@ from pyspark.sql import types as T
 from opinio.functions.numeric import fround
 from opinio.functions.strings import clean_tokens
 from opinio.operators.ids import dense_ids
-from opinio.session import ensure_parallelism
+from opinio.session import broadcast_if_small, ensure_parallelism
 
-BROADCAST_MAX_ROWS = 2_000_000     # lexicon rows broadcast to every task
 NN_BLOCK_BYTES = 64 * 1024 * 1024   # per broadcast block of lexicon vectors
 MATCH_DISTANCE = 0.25               # vector match threshold (cosine distance)
 CHUNK_TOKENS = 512                  # model input length
@@ -63,12 +62,9 @@ def tokens(text: Column) -> Column:
 
 def lexicon_join(words: DataFrame, lexicon: DataFrame, cols: list[str]) -> DataFrame:
     """Left join of token rows to the lexicon: broadcast when the lexicon's
-    row count is within ``BROADCAST_MAX_ROWS`` (checked), else a shuffle join
-    (AQE splits a hot word's partition)."""
-    lex = lexicon.select("word", *cols)
-    if lexicon.count() <= BROADCAST_MAX_ROWS:
-        lex = F.broadcast(lex)
-    return words.join(lex, "word", "left")
+    row count is checked to be small (``session.broadcast_if_small``), else a
+    shuffle join (AQE splits a hot word's partition)."""
+    return words.join(broadcast_if_small(lexicon.select("word", *cols)), "word", "left")
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
