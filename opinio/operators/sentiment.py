@@ -9,8 +9,9 @@ share subexpressions inside them.)
 Model scores arrive as logits per text chunk; ``logits_to_sentiment`` turns
 them into (value, error) with array functions, and ``inverse_variance``
 combines chunks or models. The nearest-neighbour match of J10 scores query
-vectors against size-bounded lexicon blocks in Arrow batches (NumPy matrix
-products), never materialising query x lexicon pairs as rows.
+vectors against a size-checked broadcast lexicon, or, beyond that size,
+cogroups bounded query chunks with bounded lexicon blocks (NumPy matrix
+products in both), never materialising query x lexicon pairs as rows.
 """
 
 from __future__ import annotations
@@ -262,33 +263,72 @@ def precision_recall_f1(pred: DataFrame, model_col: str = "model", truth_col: st
 
 
 # ---- J10 nearest-neighbour match ------------------------------------------------------
-def _nn_block_fn(bc, id_col: str, vec_col: str):
-    """Scores query batches against one broadcast block (read per task)."""
+NN_SLICE_CELLS = 4_000_000   # query x lexicon similarities held at once (32 MB of doubles)
+
+
+def _as_matrix(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+
+
+def _unit_rows(mat: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(mat, axis=1)
+    return mat / np.where(norms == 0, 1.0, norms)[:, None]
+
+
+def _best_in_block(qids, q: np.ndarray, ids: np.ndarray, mat: np.ndarray, scores: np.ndarray,
+                   id_col: str) -> pd.DataFrame:
+    """Nearest row of ``mat`` (unit rows, sorted by id) for every query row,
+    in query slices so at most ``NN_SLICE_CELLS`` similarities exist at once."""
+    step = max(1, NN_SLICE_CELLS // max(1, len(ids)))
+    q = _unit_rows(q)
+    best_i, best_d = [], []
+    for lo in range(0, len(q), step):
+        dist = 1.0 - q[lo:lo + step] @ mat.T
+        i = np.argmin(dist, axis=1)  # first minimum = lowest lexicon id in the block
+        best_i.append(i)
+        best_d.append(dist[np.arange(len(i)), i])
+    i = np.concatenate(best_i)
+    return pd.DataFrame({id_col: qids, "lex_id": ids[i], "distance": np.concatenate(best_d),
+                         "score": scores[i]})
+
+
+def _nn_broadcast_fn(bc, id_col: str, vec_col: str):
+    """Scores query batches against the one broadcast block (read per task)."""
     def run(batches):
         ids, mat, scores = bc.value
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = np.stack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            qn = np.linalg.norm(q, axis=1)
-            sim = (q @ mat.T) / np.where(qn == 0, 1.0, qn)[:, None]
-            dist = 1.0 - sim
-            best = np.argmin(dist, axis=1)  # first minimum = lowest lexicon order
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                "lex_id": ids[best],
-                                "distance": dist[np.arange(len(pdf)), best],
-                                "score": scores[best]})
+            if len(pdf):
+                yield _best_in_block(pdf[id_col].to_numpy(), _as_matrix(pdf[vec_col]), ids, mat, scores, id_col)
+    return run
+
+
+def _nn_cogroup_fn(id_col: str, vec_col: str, schema: T.StructType):
+    """Scores one query chunk against one lexicon block (one cogroup)."""
+    def run(qpdf: pd.DataFrame, lpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(lpdf) == 0:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        lpdf = lpdf.sort_values("lex_id", kind="stable")
+        return _best_in_block(qpdf[id_col].to_numpy(), _as_matrix(qpdf[vec_col]), lpdf["lex_id"].to_numpy(),
+                              _unit_rows(_as_matrix(lpdf["vec"])), lpdf["score"].to_numpy(dtype=np.float64),
+                              id_col)
     return run
 
 
 def nearest_lexicon(queries: DataFrame, lexicon: DataFrame, id_col: str = "qid", vec_col: str = "vec",
                     block_bytes: int = NN_BLOCK_BYTES) -> DataFrame:
-    """For every query vector the lexicon entry with the smallest cosine
-    distance (ties: lowest ``lex_id``), with that distance and the entry's
-    score. The lexicon (``lex_id``, ``vec``, ``score``) is cut into blocks of
-    at most ``block_bytes``; each block is broadcast once and scored against
-    the query batches with a matrix product; per-block winners are reduced
-    by one aggregation. No query x lexicon pair becomes a row."""
+    """For every query vector (``id_col`` unique) the lexicon entry with
+    the smallest cosine distance (ties: lowest ``lex_id``), with that distance
+    and the entry's score. One aggregate job measures the lexicon; no query x
+    lexicon pair ever becomes a row.
+
+    * Lexicon within ``block_bytes``: it is broadcast (size checked first)
+      and query Arrow batches are scored against it with matrix products.
+    * Larger: no data passes through the driver. The lexicon is cut into
+      blocks of at most ``block_bytes`` (distributed dense ranks), the queries
+      into hash chunks of about ``block_bytes``; every (chunk, block) pair is
+      one cogroup holding two bounded inputs, and per-block winners are
+      reduced by a partial ``min`` aggregate per query.
+    """
     spark = queries.sparkSession
     stats = lexicon.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     n, dim = int(stats["n"]), int(stats["dim"] or 0)
@@ -299,25 +339,20 @@ def nearest_lexicon(queries: DataFrame, lexicon: DataFrame, id_col: str = "qid",
     rows_per_block = max(1, block_bytes // max(1, dim * 8))
     n_blocks = math.ceil(n / rows_per_block)
     lex = lexicon.select(F.col("lex_id").cast("long"), "vec", F.col("score").cast("double"))
-    if n_blocks > 1:
-        lex = dense_ids(lex, ["lex_id"], 0, id_col="_rank").withColumn(
-            "_block", ((F.col("_rank") - 1) / rows_per_block).cast("long"))
-    else:
-        lex = lex.withColumn("_block", F.lit(0).cast("long"))
     q = queries.select(id_col, vec_col)
-    parts = []
-    for b in range(n_blocks):
-        blk = lex.filter(F.col("_block") == b).select("lex_id", "vec", "score").orderBy("lex_id").toPandas()
-        mat = np.stack(blk["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        norms = np.linalg.norm(mat, axis=1)
-        mat = mat / np.where(norms == 0, 1.0, norms)[:, None]
-        bc = spark.sparkContext.broadcast((blk["lex_id"].to_numpy(), mat, blk["score"].to_numpy()))
-        fn = _nn_block_fn(bc, id_col=id_col, vec_col=vec_col)
-        parts.append(q.mapInPandas(fn, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if n_blocks > 1:
-        best = out.groupBy(id_col).agg(F.min(F.struct("distance", "lex_id", "score")).alias("_b"))
-        out = best.select(id_col, "_b.lex_id", "_b.distance", "_b.score")
-    return out
+    if n_blocks == 1:
+        blk = lex.orderBy("lex_id").toPandas()   # n * dim * 8 <= block_bytes, checked above
+        bc = spark.sparkContext.broadcast((blk["lex_id"].to_numpy(), _unit_rows(_as_matrix(blk["vec"])),
+                                           blk["score"].to_numpy(dtype=np.float64)))
+        return q.mapInPandas(_nn_broadcast_fn(bc, id_col, vec_col), schema)
+    n_q = q.agg(F.count(F.lit(1))).first()[0]
+    n_chunks = max(1, math.ceil(n_q / rows_per_block))
+    lex = (dense_ids(lex, ["lex_id"], 0, id_col="_rank")
+           .withColumn("_lb", ((F.col("_rank") - 1) / rows_per_block).cast("int"))
+           .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
+    q = (q.withColumn("_qc", F.pmod(F.xxhash64(id_col), F.lit(n_chunks)).cast("int"))
+         .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    per_block = (q.groupBy("_qc", "_lb").cogroup(lex.groupBy("_qc", "_lb"))
+                 .applyInPandas(_nn_cogroup_fn(id_col, vec_col, schema), schema))
+    best = per_block.groupBy(id_col).agg(F.min(F.struct("distance", "lex_id", "score")).alias("_b"))
+    return best.select(id_col, "_b.lex_id", "_b.distance", "_b.score")
