@@ -11,6 +11,22 @@ from pyspark.sql import types as T
 # German umlauts and sharp s; the digit variant adds 0-9).
 WORD_CHARS = "A-Za-züäößÄÖÜ"
 WORD_CHARS_DIGITS = "A-Za-z0-9üäößÄÖÜ"
+# The same sets as Java regex classes for Spark: "not a word character" is
+# written as the intersection \W && [^umlauts] plus '_' (and 0-9 when digits
+# are dropped). It removes exactly the characters [^A-Za-z0-9...] removes
+# (checked over every code point up to U+3000), but Java matches it ~10x
+# faster than a negated class of ranges, which dominated text cleaning.
+_UMLAUTS = "üäößÄÖÜ"
+
+
+def non_word_class(digits: bool, keep_ws: bool) -> str:
+    """Java regex for one run of characters outside the word set (and
+    outside whitespace when ``keep_ws``)."""
+    inner = "\\W&&\\S" if keep_ws else "\\W"
+    extra = "_" if digits else "_0-9"
+    return f"[{extra}[{inner}&&[^{_UMLAUTS}]]]+"
+
+
 # Python str.strip() whitespace restricted to the ASCII set both engines share.
 _WS = "[\\t\\n\\x0B\\f\\r ]"
 
@@ -44,8 +60,7 @@ def nfkd(s: pd.Series) -> pd.Series:
 
 def clean_word(token: Column, digits: bool = False) -> Column:
     """Remove every character outside the word set, then lower-case."""
-    keep = WORD_CHARS_DIGITS if digits else WORD_CHARS
-    return F.lower(F.regexp_replace(token, f"[^{keep}]+", ""))
+    return F.lower(F.regexp_replace(token, non_word_class(digits, keep_ws=False), ""))
 
 
 def clean_text(text: Column, digits: bool = False) -> Column:
@@ -54,8 +69,7 @@ def clean_text(text: Column, digits: bool = False) -> Column:
     Splitting the result on whitespace yields the cleaned tokens at the same
     boundaries; tokens made only of removed characters disappear instead of
     becoming empty strings."""
-    keep = WORD_CHARS_DIGITS if digits else WORD_CHARS
-    return F.lower(F.regexp_replace(text, f"[^{keep}\\s]+", ""))
+    return F.lower(F.regexp_replace(text, non_word_class(digits, keep_ws=True), ""))
 
 
 def clean_tokens(text: Column, digits: bool = False) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions.numeric import fround
-from opinio.functions.strings import WORD_CHARS, clean_tokens, clean_word
+from opinio.functions.strings import clean_tokens, clean_word, non_word_class
 from opinio.session import broadcast_if_small, ensure_parallelism
 
 TOP_TOPICS = 5
@@ -119,7 +119,7 @@ def centroid_distance(texts: DataFrame, vectors: DataFrame, id_col: str = "id",
     farthest word is the last)."""
     texts = ensure_parallelism(texts, id_col)
     w = texts.select(F.col(id_col), F.explode(F.split(F.col(text_col), r"\s+")).alias("w"))
-    w = w.select(id_col, F.regexp_replace(F.col("w"), f"[^{WORD_CHARS}]+", "").alias("word"))
+    w = w.select(id_col, F.regexp_replace(F.col("w"), non_word_class(False, keep_ws=False), "").alias("word"))
     wv = hashed_vector_lookup(w, vectors)
     cent = (wv.groupBy(id_col).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("_c"))
             .select(id_col, vector_to_array("_c").alias("centroid")))
