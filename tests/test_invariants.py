@@ -95,3 +95,19 @@ def test_sizing_conf_scales_with_input():
     big = sizing_conf(100 * 1024 ** 4, cores=8000)
     assert small["spark.sql.shuffle.partitions"] == "16"          # two waves of 8 cores
     assert int(big["spark.sql.shuffle.partitions"]) == 409600      # 100 TB / 256 MB
+
+
+def test_non_word_class_removes_exactly_the_plain_class(spark):
+    """The intersection-form regex used for speed removes the same characters
+    as the plain negated class, over every code point below U+3000."""
+    import re
+
+    from opinio.functions.strings import WORD_CHARS, WORD_CHARS_DIGITS, non_word_class
+    text = "".join(chr(i) for i in range(1, 0x3000) if not 0xD800 <= i < 0xE000) + "😀 a_b Ä-ö ß.1"
+    df = spark.createDataFrame([(text,)], "t string")
+    for digits in (False, True):
+        keep = WORD_CHARS_DIGITS if digits else WORD_CHARS
+        for keep_ws in (False, True):
+            plain = f"[^{keep}" + (" \t\n\x0b\f\r" if keep_ws else "") + "]+"
+            got = df.select(F.regexp_replace("t", non_word_class(digits, keep_ws), "").alias("r")).first().r
+            assert got == re.sub(plain, "", text), (digits, keep_ws)
