@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions.strings import umlaut_digraphs
 from opinio.operators.ids import dense_ids, running_total
-from opinio.session import ensure_parallelism, scratch_path
+from opinio.session import checkpoint_dir, ensure_parallelism, scratch_path
 
 # Punctuation tokens removed by the preprocessing, and the
 # characters stripped from the remaining tokens.
@@ -237,12 +237,18 @@ def one_hot_split(samples: DataFrame, key_col: str = "key") -> DataFrame:
 def train_classifier(data: DataFrame, num_features: int = 1 << 18, max_iter: int = 20) -> DataFrame:
     """N17 (re-aimed): distributed text classifier (tokenise, hashed term
     frequencies, IDF, multinomial logistic regression) fitted on the train
-    split; predictions for the test split as (key, label, prediction)."""
+    split; predictions for the test split as (key, label, prediction).
+    Fitting reads the data several times (IDF, the optimiser's first pass,
+    the test transform), so the input is first written once with
+    ``checkpoint()`` into the shared checkpoint folder: each pass then reads
+    that copy instead of recomputing the upstream plan, and a lost executor
+    re-reads it rather than replaying the lineage."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
-    d = data.withColumn("_y", (F.col("label") + 1).cast("double"))
+    checkpoint_dir(data.sparkSession)
+    d = data.withColumn("_y", (F.col("label") + 1).cast("double")).checkpoint(eager=True)
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"\s+"),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
