@@ -191,7 +191,12 @@ def class_balance(samples: DataFrame, key_col: str = "key") -> DataFrame:
     ``min over classes (originals + possible pairs)`` with generated pair
     samples. Pairs are taken in a fixed order: items of a class sorted by
     (length, md5(text), key); item a pairs with the following items whose
-    length fits, in index order. Only the needed pairs are produced."""
+    length fits, in index order. Only the needed pairs are produced.
+    Four branches read the samples (class counts, pair counts, ranked items,
+    originals); they are written once with ``checkpoint()`` into the shared
+    checkpoint folder, so the source tables are scanned once, not per branch."""
+    checkpoint_dir(samples.sparkSession)
+    samples = samples.checkpoint(eager=True)
     orig = samples.groupBy("label").agg(F.count(F.lit(1)).alias("n_orig"))
     pc = pair_counts(samples)
     tot = orig.join(pc, "label", "left").fillna(0, ["n_pairs"])
