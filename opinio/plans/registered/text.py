@@ -18,7 +18,7 @@ from opinio.operators import sentiment as S
 from opinio.operators import topics as TP
 from opinio.plans.marts import article_body_last
 from opinio.plans.registry import query
-from opinio.session import broadcast_if_small
+from opinio.session import broadcast_if_small, checkpoint_dir
 from opinio.sources.news_model import NewsModel
 
 LEX_SQL = "(SELECT * FROM (VALUES " + ", ".join(
@@ -516,7 +516,11 @@ def q_one_hot_split(spark, sf):
 
 
 def _predictions(spark, m: NewsModel) -> DataFrame:
-    s = keyed_samples(m)
+    """Both scorers' values per sample with its label. Three branches read
+    the samples, so they are written once (``checkpoint()`` into the shared
+    folder) instead of re-joining labels and documents per branch."""
+    checkpoint_dir(spark)
+    s = keyed_samples(m).checkpoint(eager=True)
     lex = lexicon(spark)
     n1 = S.lexicon_sentiment(s, lex, "key", "text").select("key", F.lit("lexicon").alias("model"), "value")
     n9 = (S.polarity_subjectivity(s, lex, "key", "text")
