@@ -95,7 +95,11 @@ def bigram_counts(corpus: DataFrame, sentence_col: str = "sentence") -> DataFram
 def bigram_phrases(corpus: DataFrame, sentence_col: str = "sentence",
                    min_count: int = PHRASE_MIN_COUNT, threshold: float = PHRASE_THRESHOLD) -> DataFrame:
     """Accepted phrases (a, b, cnt, score); the vocabulary size counts
-    distinct unigrams and bigrams, as the library does."""
+    distinct unigrams and bigrams, as the library does. Unigram, bigram and
+    vocabulary branches all read the sentences, so the sentence column is
+    written once (``checkpoint()`` into the shared folder) first."""
+    checkpoint_dir(corpus.sparkSession)
+    corpus = corpus.select(sentence_col).checkpoint(eager=True)
     uni = (corpus.select(F.explode(_sentence_tokens(F.col(sentence_col))).alias("w"))
            .groupBy("w").agg(F.count(F.lit(1)).alias("c")))
     bi = bigram_counts(corpus, sentence_col)
