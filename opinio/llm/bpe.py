@@ -3,12 +3,12 @@
 Encoding. A task cuts its texts into pre-tokens and gathers texts into blocks
 of about ``BLOCK_CHARS`` characters. Each block sends its distinct words to
 ``buckets`` hash buckets of the global vocabulary (one row a block and bucket,
-so a word that every text holds is one entry a block, never a hot key) and one
-row with the positions: for each text the places of its words in the block's
-list. A bucket encodes each of its distinct words once and sends the ids back
-to the blocks, which put them together by position. Packing the rows a block
-and bucket, instead of one row a word, is what keeps the shuffle below the
-input's size.
+so a word that every text holds is one entry a block, never a hot key) and, in
+the same exchange, one row with the positions to the block: for each text the
+places of its words in the block's list. A bucket encodes each of its distinct
+words once and sends the ids to the blocks, which put them together by
+position. Packing the rows a block and bucket, instead of one row a word, is
+what keeps the shuffle near the input's size.
 
 Decoding looks every id up in the token-byte table: the vocabulary file, whose
 size is fixed and checked, is broadcast.
@@ -33,12 +33,12 @@ from functools import cache
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
+_BATCH_BYTES = 4 << 20
 _SLICE = 1 << 18
 MAX_VOCABULARY_BYTES = 64 << 20
 _CACHED_WORDS = 1 << 20
@@ -59,9 +59,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def _kinds() -> np.ndarray:
     """Code point -> letter, number, white space or other."""
     import regex
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text, kinds = "".join(map(chr, points)), np.full(0x110000, _OTHER, np.uint8)
-    at = np.array(points)
+    at = np.r_[0:0xD800, 0xE000:0x110000].astype(np.uint32)
+    text, kinds = at.tobytes().decode("utf-32-le"), np.full(0x110000, _OTHER, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, text):
             kinds[at[m.start():m.end()]] = kind
@@ -104,9 +103,10 @@ def pretokens(text: str) -> Iterator[list[str]]:
         yield [text[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-_PARTS = "block bigint, bucket int, via int, words binary, places binary, ids binary"
-_TYPES = {"block": pa.int64(), "bucket": pa.int32(), "via": pa.int32(), "words": pa.binary(), "places": pa.binary(),
-          "ids": pa.binary()}
+_PARTS = "via bigint, block bigint, bucket int, words binary, places binary, texts binary"
+_TYPES = {"via": pa.int64(), "block": pa.int64(), "bucket": pa.int32(), "words": pa.binary(), "places": pa.binary(),
+          "texts": pa.binary()}
+_IDS = "via bigint, bucket int, ids binary"
 
 
 def _press(raw: bytes) -> bytes:
@@ -148,13 +148,12 @@ def _blocks(buckets: int, key_type: pa.DataType):
             held.append((bucket, [words[i] for i in order[lo:hi]]))
         planes = number_of[whole].view(np.uint8).reshape(-1, 4).T.tobytes()
         packed_places = _press(sizes.tobytes() + planes)
-        rows = [(block, b, b, _pack(ws), None, None) for b, ws in held]
+        rows = [(-1 - b, block, b, _pack(ws), None, None) for b, ws in held]
         sink = pa.BufferOutputStream()
         table = pa.record_batch([pa.array(keys, key_type)], names=["key"])
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_batch(table)
-        via = crc32(block.to_bytes(8, "little")) % buckets
-        rows.append((block, -1, via, None, packed_places, sink.getvalue().to_pybytes()))
+        rows.append((block, block, -1, None, packed_places, sink.getvalue().to_pybytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.values())], list(_TYPES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,18 +187,16 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _encode_buckets(shared):
     """Task: rows of whole buckets -> the ids of each row's words; a word is
-    encoded once (again only after the bounded cache was emptied). The rows
-    with positions pass."""
+    encoded once (again only after the bounded cache was emptied)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
         # a word goes through the merges whole, so the pattern is any text
         merges = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={})
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            out = []
-            for row in batch.column("words"):
+            blocks, of, out = [], [], []
+            for block, bucket, row in zip(*(batch.column(c) for c in ("block", "bucket", "words"))):
                 if not row.is_valid:
-                    out.append(None)
                     continue
                 lens, raw = _unpack(row.as_py())
                 ends = np.cumsum(lens)
@@ -210,24 +207,27 @@ def _encode_buckets(shared):
                     if ids is None:
                         ids = known[word] = np.array(merges.encode_ordinary(word.decode()), "<u4").tobytes()
                     got.append(ids)
+                blocks.append(block.as_py())
+                of.append(bucket.as_py())
                 out.append(_pack(got))
                 if len(known) > _CACHED_WORDS:
                     known.clear()
-            ids = pa.array([a if a is not None else b for a, b in zip(out, batch.column("ids").to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.nulls(len(out), pa.binary()), batch.column("places"), ids],
-                                             list(_TYPES))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(of, pa.int32()), pa.array(out, pa.binary())],
+                                             ["via", "bucket", "ids"])
 
     return run
 
 
-def _reassemble(buckets: int):
-    """One block: its words' ids by bucket and the places -> one row a text."""
-    def run(rows: pa.Table) -> pa.Table:
+def _reassemble(buckets: int, key_type: pa.DataType):
+    """One block: its positions and its words' ids by bucket -> one row a text."""
+    schema = pa.schema([("key", key_type), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+    def run(held: pa.Table, encoded: pa.Table) -> pa.Table:
+        if not held.num_rows or held.column("places")[0].as_py() is None:  # the words of a bucket
+            return schema.empty_table()
+        head, places = held.column("texts")[0].as_py(), held.column("places")[0].as_py()
         counts, raws, base, size = [], [], np.zeros(buckets, np.int64), 0
-        for bucket, ids, held in zip(*(rows.column(c).to_pylist() for c in ("bucket", "ids", "places"))):
-            if bucket < 0:
-                head, places = ids, held
-                continue
+        for bucket, ids in zip(encoded.column("bucket").to_pylist(), encoded.column("ids").to_pylist()):
             n, raw = _unpack(ids)
             base[bucket] = size
             size += len(n)
@@ -250,7 +250,7 @@ def _reassemble(buckets: int):
             at = np.repeat(first[words] - (np.cumsum(c) - c), c) + np.arange(total)
             out.append(ids[at].tobytes())
             tokens.append(total)
-        return pa.table({"key": keys, "n_tokens": pa.array(tokens, pa.int64()), "ids": pa.array(out, pa.binary())})
+        return pa.Table.from_arrays([keys, pa.array(tokens, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
@@ -265,24 +265,36 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     buckets = buckets or 4 * partitions
     key = docs.schema[id_col].dataType
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    parts = docs.select(id_col, text_col).mapInArrow(_blocks(buckets, to_arrow_type(key)), _PARTS)
-    encoded = parts.repartition(partitions, "via").mapInArrow(_encode_buckets(shared), _PARTS)
-    return (encoded.groupBy("block")
-            .applyInArrow(_reassemble(buckets), f"key {key.simpleString()}, n_tokens bigint, ids binary")
+    key_type = to_arrow_type(key)
+    parts = docs.select(id_col, text_col).mapInArrow(_blocks(buckets, key_type), _PARTS)
+    # one exchange for both: words go to their bucket, positions to their block, where they wait for the ids
+    dealt = parts.repartition(partitions, "via")
+    encoded = dealt.mapInArrow(_encode_buckets(shared), _IDS)
+    return (dealt.groupBy("via").cogroup(encoded.groupBy("via"))
+            .applyInArrow(_reassemble(buckets, key_type), f"key {key.simpleString()}, n_tokens bigint, ids binary")
             .withColumnRenamed("key", id_col))
 
 
-def decode(spark, ids: Column, ranks_path: str) -> Column:
-    """Column: the bytes of packed ids, by the token-byte table (a null stays null)."""
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encoded`` with a binary column ``out``: the bytes of its packed ids, by the
+    token-byte table (null ids stay null)."""
     ranks = load_ranks(ranks_path)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("binary")
-    def bytes_of(packed: pd.Series) -> pd.Series:
-        get = shared.value.__getitem__
-        return pd.Series([None if p is None else b"".join(map(get, np.frombuffer(p, "<u4").tolist())) for p in packed])
+    shared = encoded.sparkSession.sparkContext.broadcast(table)
 
-    return bytes_of(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = shared.value.__getitem__
+        for batch in batches:
+            ids, lo, size, done = batch.column(ids_col), 0, 0, []
+            for i, packed in enumerate(ids, 1):
+                packed = packed.as_py()
+                done.append(None if packed is None else b"".join(map(token, np.frombuffer(packed, "<u4").tolist())))
+                size += len(packed or b"")
+                if size >= _BATCH_BYTES or i == len(ids):
+                    part = batch.slice(lo, i - lo)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, out])
+                    lo, size, done = i, 0, []
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out, BinaryType())]))
