@@ -92,13 +92,13 @@ def _cells(fps: DataFrame) -> DataFrame:
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the fingerprints of a block pair."""
-    rest, out = np.unique(fps), []
+    rest, out = np.unique(fps).view(np.uint64), []  # unsigned: a bit count of signed numbers is that of their magnitude
     while len(rest):
         todo, rest = [rest[0]], rest[1:]
         while todo:
             x = todo.pop()
             near = np.bitwise_count(rest ^ x) <= max_bits
-            out += [(int(x), int(y)) for y in rest[near]]
+            out += [(x.astype(np.int64), y) for y in rest[near].astype(np.int64)]
             todo += list(rest[near])
             rest = rest[~near]
     return out
