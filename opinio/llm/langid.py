@@ -91,7 +91,7 @@ class LanguageModel:
             masks = _masks(self.slots, grams)
             for i in range(len(hits)):
                 hits[i] += np.count_nonzero(masks[i // 64] & np.uint64(1 << i % 64))
-        found = (hits - n * self.false_rate) / (1 - self.false_rate)
+        found = np.maximum(0, (hits - n * self.false_rate) / (1 - self.false_rate))
         best = int(np.argmax(found))
         return self.languages[best], float(np.clip(found[best] / max(n, 1), 0, 1))
 
