@@ -10,9 +10,9 @@
 * Pair augmentation (J9): the reference emits every same-label pair whose
   lengths sum below 512. Here ``pair_counts`` counts them exactly from
   per-class length histograms (no pair is materialised) and
-  ``class_balance`` (N13) generates only the pairs it needs, in a fixed
-  order, with distributed prefix sums -- output grows with the number of
-  samples, never with their square.
+  ``class_balance`` (N13) generates at most as many as bring a class to the
+  size of the largest, in rounds -- output grows with the samples, never with
+  their square.
 """
 
 from __future__ import annotations
@@ -67,10 +67,11 @@ def corpus_preprocess(lines: DataFrame, key_cols: list[str], text_col: str = "te
                            lambda t: F.regexp_replace(t, "[" + PUNCTUATION_CHARS.replace("(", "\\(")
                                                       .replace(")", "\\)") + "]", ""))
     s = s.withColumn("tokens", toks)
-    if stopwords is not None:
-        sw = stopwords.agg(F.collect_set("word")).scalar()
-        s = s.withColumn("_sw", sw).withColumn(
-            "tokens", F.filter(F.col("tokens"), lambda t: ~F.array_contains(F.col("_sw"), t))).drop("_sw")
+    if stopwords is not None:  # an anti-join per token: no list is gathered anywhere
+        t = s.select(*key_cols, "sentence_no", F.posexplode("tokens").alias("_p", "word"))
+        left = t.join(stopwords.select("word").distinct(), "word", "left_anti")
+        s = (left.groupBy(*key_cols, "sentence_no")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "word"))), lambda x: x["word"]).alias("tokens")))
     kept = s.filter(F.size("tokens") > 1)
     if first_only:
         first = Window.partitionBy(*key_cols).orderBy("sentence_no")
@@ -191,41 +192,33 @@ def pair_counts(samples: DataFrame) -> DataFrame:
 
 
 def class_balance(samples: DataFrame, key_col: str = "key") -> DataFrame:
-    """Keep every original sample and top up each class to
-    ``min over classes (originals + possible pairs)`` with generated pair
-    samples. Pairs are taken in a fixed order: items of a class sorted by
-    (length, md5(text), key); item a pairs with the following items whose
-    length fits, in index order. Only the needed pairs are produced.
-    Four branches read the samples (class counts, pair counts, ranked items,
-    originals); they are written once with ``checkpoint()`` into the shared
-    checkpoint folder, so the source tables are scanned once, not per branch."""
+    """N13 (re-aimed): keep every original sample and top up each class towards
+    the size of the largest with generated pair samples, so the output never
+    exceeds classes x largest class. Items of a class are sorted by (length,
+    md5(text), key); round r pairs item i with item i + r where both fit the
+    length limit. Rounds are taken in order, items in order within a round, until
+    the class is full or ``need / items + 1`` rounds are used up. One equi-join
+    on (label, place) makes all rounds; class sizes are one row a class."""
     checkpoint_dir(samples.sparkSession)
     samples = samples.checkpoint(eager=True)
     orig = samples.groupBy("label").agg(F.count(F.lit(1)).alias("n_orig"))
-    pc = pair_counts(samples)
-    tot = orig.join(pc, "label", "left").fillna(0, ["n_pairs"])
-    target = tot.agg(F.min(F.col("n_orig") + F.col("n_pairs"))).scalar()
-    need = tot.select("label", F.greatest(target - F.col("n_orig"), F.lit(0)).alias("need"))
-
+    need = orig.select("label", (orig.agg(F.max("n_orig")).scalar() - F.col("n_orig")).alias("need"))
     items = _pair_items(samples).withColumn("_h", F.md5("text"))
     ranked = dense_ids(items, ["label", "len", "_h", key_col], 0, id_col="_gid")
-    start = ranked.groupBy("label").agg(F.min("_gid").alias("_s"))
-    ranked = ranked.join(start, "label").withColumn("idx", F.col("_gid") - F.col("_s"))
-    cum = _cum_lengths(items).select("label", "len", "cum")
-    fit = cum.select("label", (F.lit(PAIR_MAX_LEN - 1) - F.col("len")).alias("len"), F.col("cum").alias("_fit"))
-    a = ranked.join(fit, ["label", "len"], "left").fillna(0, ["_fit"])
-    a = a.withColumn("n_partners", F.greatest(F.col("_fit") - 1 - F.col("idx"), F.lit(0)))
-    a = running_total(a, ["idx"], F.col("n_partners"), "before", inclusive=False, partition_cols=["label"])
-    a = a.join(need, "label", "inner").filter(F.col("before") < F.col("need"))
-    a = a.withColumn("k", F.least(F.col("n_partners"), F.col("need") - F.col("before"))).filter(F.col("k") > 0)
-    gen = a.select("label", "idx", F.col("text").alias("text_a"), F.col(key_col).alias("key_a"),
-                   F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j"))
-    b = ranked.select("label", F.col("idx").alias("idx_b"), F.col("text").alias("text_b"),
+    classes = (ranked.groupBy("label").agg(F.min("_gid").alias("_s"), F.count(F.lit(1)).alias("_m"))
+               .join(need, "label").withColumn("_rounds", F.least(F.col("_m") - 1, F.ceil(F.col("need") / F.col("_m")) + 1)))
+    ranked = ranked.join(F.broadcast(classes), "label").withColumn("idx", F.col("_gid") - F.col("_s"))
+    a = (ranked.where("need > 0 and _rounds > 0")
+         .select("label", "idx", "len", "need", F.col("text").alias("text_a"), F.col(key_col).alias("key_a"),
+                 F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rounds"))).alias("r"))
+         .withColumn("idx_b", F.col("idx") + F.col("r")))
+    b = ranked.select("label", F.col("idx").alias("idx_b"), F.col("len").alias("len_b"), F.col("text").alias("text_b"),
                       F.col(key_col).alias("key_b"))
-    pairs = gen.join(b, (gen.label == b.label) & (F.col("idx") + F.col("j") == F.col("idx_b")), "inner")
-    generated = pairs.select(gen.label, F.concat_ws(" ", "text_a", "text_b").alias("text"),
-                             F.concat(F.lit("g:"), "key_a", F.lit("|"), "key_b").alias(key_col),
-                             F.lit("generated").alias("origin"))
+    fit = a.join(b, ["label", "idx_b"]).where(F.col("len") + F.col("len_b") < PAIR_MAX_LEN)
+    before = running_total(fit, ["r", "idx"], F.lit(1).cast("bigint"), "n", partition_cols=["label"])
+    generated = before.where(F.col("n") <= F.col("need")).select(
+        "label", F.concat_ws(" ", "text_a", "text_b").alias("text"),
+        F.concat(F.lit("g:"), "key_a", F.lit("|"), "key_b").alias(key_col), F.lit("generated").alias("origin"))
     originals = samples.select("label", "text", F.concat(F.lit("o:"), F.col(key_col)).alias(key_col),
                                F.lit("original").alias("origin"))
     return originals.unionByName(generated)

@@ -5,8 +5,10 @@ PARTITION BY moves every row into one task. The functions here give the
 same numbers with a bounded plan: range-partition by the order key, total
 each partition (one row per partition), prefix-sum those totals in a window
 over at most ``numPartitions`` rows, broadcast the offsets and add the
-in-partition running value. The result depends only on the order key, not on
-the range bounds, so retries and recomputation give the same values.
+in-partition running value. Range bounds are sampled from the data, so a plan
+that ranged the rows once for the totals and once for the rows would cut them
+differently; the ranged rows and their partition number are therefore written
+once to the shared folder and both branches read that table.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinio.session import write_once
+
 
 def running_total(df: DataFrame, order_cols: list[str], value: Column, out_col: str,
                   partitions: int | None = None, inclusive: bool = True,
@@ -26,8 +30,8 @@ def running_total(df: DataFrame, order_cols: list[str], value: Column, out_col:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = (partition_cols or []) + order_cols
-    ranged = (df.withColumn("_v", value).repartitionByRange(n, *keys)
-              .withColumn("_pid", F.spark_partition_id()))
+    ranged = write_once(df.withColumn("_v", value).repartitionByRange(n, *keys)
+                        .withColumn("_pid", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_t"))
     w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(w_all), F.lit(0)).alias("_off"))

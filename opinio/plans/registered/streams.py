@@ -30,30 +30,31 @@ SELECT c.id, CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.m, 9) END AS value,
        CAST(coalesce(a.n, 0) AS INT) AS hits, CAST(len(regexp_split_to_array(c.body, '\\s+')) AS INT) AS n_tokens
 FROM comment c LEFT JOIN agg a ON a.id = c.id""")
 def q_stream_score_comments(spark, sf):
-    """Comments arrive as files (one per source outlet), scored per
-    micro-batch by the lexicon model."""
+    """Comments arrive as files, scored per micro-batch by the lexicon
+    model."""
     m = _m(spark, sf)
     base = J.new_stream_dir(spark, "score")
-    c = m.comment.select("id", "body", (F.col("article_body_id") % 3).alias("_bin"))
-    J.stage_files(c, f"{base}/in", bins=[0, 1, 2], bin_col="_bin")
+    J.stage_files(m.comment.select("id", "body"), f"{base}/in")
     return J.stream_score_comments(spark, f"{base}/in", "id long, body string", lexicon(spark),
                                    f"{base}/out", f"{base}/ckpt")
 
 
-@query("stream_dedup_comments",
-       "SELECT DISTINCT external_id, article_body_id, level, body FROM incoming_comments")
+@query("stream_dedup_comments", """
+SELECT external_id, article_body_id, level, body, proc_timestamp AS event_ts FROM incoming_comments
+QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY pos % 2, proc_timestamp, article_body_id, level, body) = 1""")
 def q_stream_dedup_comments(spark, sf):
-    """R2: incoming comment batches (each comment twice, one minute apart,
-    in separate files) de-duplicated on external id."""
+    """R2: incoming comments in two polls (each comment comes again, one minute
+    later, in the second), inserted once per external id."""
     m = _m(spark, sf)
     base = J.new_stream_dir(spark, "dedup")
     inc = incoming_comments(m).select("external_id", "article_body_id", "level", "body",
-                                      F.col("proc_timestamp").cast("timestamp").alias("event_ts"),
-                                      (F.col("pos") % 2).alias("_bin"))
-    J.stage_files(inc, f"{base}/in", bins=[0, 1], bin_col="_bin")
-    schema = "external_id long, article_body_id long, level int, body string, event_ts timestamp"
-    out = J.stream_dedup_comments(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ckpt")
-    return out.select("external_id", "article_body_id", "level", "body").distinct()
+                                      F.col("proc_timestamp").alias("event_ts"), (F.col("pos") % 2).alias("_poll"))
+    schema = "external_id long, article_body_id long, level int, body string, event_ts timestamp_ntz"
+    out = None
+    for poll in (0, 1):
+        J.stage_files(inc.filter(F.col("_poll") == poll).drop("_poll"), f"{base}/in")
+        out = J.stream_dedup_comments(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ckpt")
+    return out.select("external_id", "article_body_id", "level", "body", "event_ts")
 
 
 @query("stream_daily_sentiment", """
@@ -61,15 +62,13 @@ SELECT c.date_created AS day, round(avg(r.sentiment_value), 9) AS avg_sentiment,
 FROM analyzer1_result r JOIN comment c ON c.id = r.comment_id
 WHERE r.sub_id = 1 AND c.date_created IS NOT NULL GROUP BY c.date_created""")
 def q_stream_daily_sentiment(spark, sf):
-    """Ensemble results stream in by creation week (oldest first) and
-    are aggregated per day with a 3-day watermark."""
+    """Ensemble results stream in, any file in any order, and are
+    aggregated per day of creation."""
     m = _m(spark, sf)
     base = J.new_stream_dir(spark, "daily")
     r = m.analyzer1_result.filter(F.col("sub_id") == 1).select("comment_id", "sentiment_value")
     c = m.comment.filter(F.col("date_created").isNotNull()).select(
         F.col("id").alias("comment_id"), "date_created", J.day_event_time(F.col("date_created")).alias("ts"))
-    rows = r.join(c, "comment_id", "inner").withColumn(
-        "_bin", F.floor(F.datediff(F.col("date_created"), F.lit("2024-01-01").cast("date")) / 7)).drop("date_created")
-    J.stage_files(rows, f"{base}/in", bins=list(range(0, 6)), bin_col="_bin")
+    J.stage_files(r.join(c, "comment_id", "inner").drop("date_created"), f"{base}/in")
     schema = "comment_id long, sentiment_value double, ts timestamp"
     return J.stream_daily_sentiment(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ckpt")

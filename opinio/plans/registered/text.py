@@ -228,17 +228,15 @@ def q_word_frequency(spark, sf):
 
 
 @query("topicizer_input", """
-SELECT b.id, b.body, b.headline, u.udf_value FROM article_body b, udf_values u
-WHERE b.id = u.object_id AND u.object_type = 1 AND u.udf_id = 2 AND NOT b.body = ''
-ORDER BY b.id, u.udf_value LIMIT 1000""")
+WITH labels AS (SELECT object_id AS id, udf_value FROM udf_values WHERE udf_id = 2 AND object_type = 1)
+SELECT id, body, headline, udf_value FROM labels JOIN article_body USING (id) WHERE body <> ''""")
 def q_topicizer_input(spark, sf):
-    """The topic batch (batch size 1000 is the reference's fetch size),
-    made deterministic by ordering on body id and label."""
+    """Every labelled body with a text (a fetch size is the caller's ``limit``)."""
     m = _m(spark, sf)
     b = m.article_body.filter(F.col("body") != "").select("id", "body", "headline")
     u = m.udf_values.filter((F.col("object_type") == 1) & (F.col("udf_id") == 2))
     j = b.join(u, b.id == u.object_id, "inner").select("id", "body", "headline", "udf_value")
-    return j.orderBy("id", "udf_value").limit(1000)
+    return j
 
 
 def comment_texts(m: NewsModel) -> DataFrame:
@@ -344,8 +342,8 @@ def q_vector_lexicon_sentiment(spark, sf):
 
 
 # ---- N10 / N11 corpus ---------------------------------------------------------------------
-def german_lines(m: NewsModel) -> DataFrame:
-    d = m.table("documents").filter(F.col("lang") == "de").select("doc_id", "text")
+def document_lines(m: NewsModel) -> DataFrame:
+    d = m.table("documents").select("doc_id", "text")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
@@ -353,7 +351,7 @@ _PUNCT_ARR = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in K.PUNCTUA
 _UML = "".join(f"replace(" for _ in range(7))
 _CORPUS_SQL = f"""
 lines AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS line_no
-          FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang = 'de') d),
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d),
 sents AS (SELECT doc_id, line_no, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sentence_no
           FROM (SELECT doc_id, line_no, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss
                 FROM lines) x),
@@ -368,7 +366,7 @@ corpus AS (SELECT doc_id, line_no, CAST(sentence_no AS INT) AS sentence_no, arra
 
 
 def _corpus(m: NewsModel) -> DataFrame:
-    c = K.corpus_preprocess(german_lines(m), ["doc_id", "line_no"], umlauts=True, punctuation=True)
+    c = K.corpus_preprocess(document_lines(m), ["doc_id", "line_no"], umlauts=True, punctuation=True)
     return c
 
 
@@ -486,15 +484,16 @@ ks AS (SELECT *, concat_ws(':', CAST(id AS VARCHAR), CAST(sample_no AS VARCHAR))
 orig AS (SELECT label, count(*) AS n_orig FROM ks GROUP BY label),
 it AS (SELECT label, text, key, length(text) AS len, md5(text) AS h FROM ks WHERE length(text) < 512),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY len, h, key) - 1 AS idx FROM it),
-pc AS (SELECT a.label, count(*) AS n_pairs FROM rk a JOIN rk b ON a.label = b.label AND a.idx < b.idx
-       AND a.len + b.len < 512 GROUP BY a.label),
-tot AS (SELECT o.label, o.n_orig, coalesce(p.n_pairs, 0) AS n_pairs FROM orig o LEFT JOIN pc p ON p.label = o.label),
-need AS (SELECT label, greatest((SELECT min(n_orig + n_pairs) FROM tot) - n_orig, 0) AS need FROM tot),
-allp AS (SELECT a.label, a.idx AS ia, b.idx AS ib, a.text AS ta, b.text AS tb, a.key AS ka, b.key AS kb,
-                row_number() OVER (PARTITION BY a.label ORDER BY a.idx, b.idx) AS pn
-         FROM rk a JOIN rk b ON a.label = b.label AND a.idx < b.idx AND a.len + b.len < 512),
-gen AS (SELECT p.label, concat_ws(' ', ta, tb) AS text, concat('g:', ka, '|', kb) AS key, 'generated' AS origin
-        FROM allp p JOIN need n ON n.label = p.label WHERE p.pn <= n.need),
+sizes AS (SELECT o.label, (SELECT max(n_orig) FROM orig) - o.n_orig AS need, (SELECT count(*) FROM it WHERE it.label = o.label) AS m
+          FROM orig o),
+tries AS (SELECT label, need, unnest(range(1, least(m - 1, CAST(ceil(need / m) AS BIGINT) + 1) + 1)) AS r
+          FROM sizes WHERE need > 0 AND m > 1),
+allp AS (SELECT a.label, t.need, a.text AS ta, b.text AS tb, a.key AS ka, b.key AS kb,
+                row_number() OVER (PARTITION BY a.label ORDER BY t.r, a.idx) AS pn
+         FROM rk a JOIN tries t ON t.label = a.label JOIN rk b ON b.label = a.label AND b.idx = a.idx + t.r
+         WHERE a.len + b.len < 512),
+gen AS (SELECT label, concat_ws(' ', ta, tb) AS text, concat('g:', ka, '|', kb) AS key, 'generated' AS origin
+        FROM allp WHERE pn <= need),
 balanced AS (SELECT label, text, concat('o:', key) AS key, 'original' AS origin FROM ks UNION ALL SELECT * FROM gen)"""
 
 

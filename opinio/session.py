@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +76,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def write_once(df, name: str):
+    """Write ``df`` below the shared checkpoint folder and read it back, for jobs
+    that read one result in several branches."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_parallelism(df, *key_cols: str):
     """Spread a small input before CPU-heavy per-row work (tokenising text).
 

@@ -6,15 +6,15 @@ Here the same work runs as Structured Streaming over a file source:
 * R1 ``stream_score_comments``: new comment files -> lexicon sentiment per
   micro-batch -> results appended; the streaming checkpoint replaces the
   analyzer log (a comment is scored exactly once).
-* R2 ``stream_dedup_comments``: insert-or-ignore on external id across
-  polls as ``dropDuplicatesWithinWatermark`` (state bounded by the
-  watermark instead of growing forever).
-* R3 ``stream_daily_sentiment``: tumbling one-day windows with a watermark,
-  update mode; late rows beyond the watermark are dropped.
+* R2 ``stream_dedup_comments``: insert-or-ignore on external id across polls:
+  of a micro-batch's rows the first of each id is kept, and only ids that the
+  sink does not hold yet are added. The stored rows are the state, so a copy
+  is ignored however late it comes.
+* R3 ``stream_daily_sentiment``: additive (day, sum, count) partials per
+  micro-batch, summed when read; no row is too late.
 
 Sinks are idempotent: every micro-batch overwrites its own ``batch_id=N``
-folder, so a batch replayed after a failure rewrites the same files. R3
-writes an update log; the current state is the newest row per window.
+folder, so a batch replayed after a failure rewrites the same files.
 All folders live below the shared checkpoint directory.
 """
 
@@ -24,6 +24,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from opinio.operators.sentiment import lexicon_sentiment
 from opinio.session import scratch_path
@@ -33,14 +34,9 @@ def new_stream_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def stage_files(df: DataFrame, path: str, bins: list | None = None, bin_col: str | None = None) -> str:
-    """Write ``df`` as a file-source input. With ``bins`` (bin values of
-    ``bin_col``) one write per bin, oldest first, so files arrive in order."""
-    if bins is None:
-        df.write.mode("append").parquet(path)
-        return path
-    for b in bins:
-        df.filter(F.col(bin_col) == b).drop(bin_col).write.mode("append").parquet(path)
+def stage_files(df: DataFrame, path: str) -> str:
+    """Add ``df`` to a file-source input, as many files as it has partitions."""
+    df.write.mode("append").parquet(path)
     return path
 
 
@@ -66,16 +62,24 @@ def stream_score_comments(spark: SparkSession, source: str, schema, lexicon: Dat
 
 
 def stream_dedup_comments(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
-                          delay: str = "1 hour", max_files: int = 1) -> DataFrame:
-    """R2: first copy of each external id wins across polls."""
+                          max_files: int = 1000) -> DataFrame:
+    """R2: one poll over the files that are new since the last one; the first
+    copy of each external id wins across polls (inside a micro-batch the
+    earliest ``event_ts``, then the smallest row)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    dedup = stream.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["external_id"])
+    stored = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
+    others = [c for c in stream.columns if c not in ("external_id", "event_ts")]
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch_id=-1")  # the sink exists
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        known = (batch.sparkSession.read.schema(stored).parquet(out)
+                 .where(F.col("batch_id") != batch_id).select("external_id"))
+        first = batch.groupBy("external_id").agg(F.min(F.struct("event_ts", *others)).alias("r"))
+        new = first.select("external_id", "r.*").join(known, "external_id", "left_anti")
+        new.select(*stream.columns).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(dedup.writeStream.foreachBatch(write), checkpoint)
-    return spark.read.parquet(out).drop("batch_id")
+    _run(stream.writeStream.foreachBatch(write), checkpoint)
+    return spark.read.schema(stored).parquet(out).drop("batch_id")
 
 
 def day_event_time(d) -> "F.Column":
@@ -85,21 +89,18 @@ def day_event_time(d) -> "F.Column":
 
 
 def stream_daily_sentiment(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
-                           delay: str = "3 days", max_files: int = 1) -> DataFrame:
+                           max_files: int = 4) -> DataFrame:
     """Average sentiment and count per day of comment creation (``ts``
     is the event time, see ``day_event_time``)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    agg = (stream.withWatermark("ts", delay)
-           .groupBy(F.window("ts", "1 day").alias("w"))
-           .agg(F.sum("sentiment_value").alias("s"), F.count(F.lit(1)).alias("n")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
-        (batch.select(day.alias("day"), "s", "n")
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("ts")) / 86400).cast("int"))
+        (batch.groupBy(day.alias("day")).agg(F.sum("sentiment_value").alias("s"), F.count(F.lit(1)).alias("n"))
          .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
-    _run(agg.writeStream.outputMode("update").foreachBatch(write), checkpoint)
-    log = spark.read.parquet(out)
-    cur = log.groupBy("day").agg(F.max_by(F.struct("s", "n"), F.col("batch_id")).alias("r"))
-    return cur.select("day", F.round(F.col("r.s") / F.col("r.n"), 9).alias("avg_sentiment"),
-                      F.col("r.n").alias("n_comments"))
+    _run(stream.writeStream.foreachBatch(write), checkpoint)
+    partials = spark.read.schema("day date, s double, n bigint, batch_id bigint").parquet(out)
+    total = partials.groupBy("day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return total.select("day", F.round(F.col("s") / F.col("n"), 9).alias("avg_sentiment"),
+                        F.col("n").alias("n_comments"))
