@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.llm.common import written
+from opinio.llm.common import small_batches, written
 
 ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 10_000
@@ -83,7 +83,7 @@ def write_arc(rows: DataFrame, path: str) -> None:
                 place, seq = place + len(record) + 1, seq + 1
             yield pd.DataFrame(out, columns=["archive", "seq", "value"])
 
-    packed = rows.select("key", "url", "date", "body").mapInPandas(pack, "archive int, seq long, value binary")
+    packed = small_batches(rows).select("key", "url", "date", "body").mapInPandas(pack, "archive int, seq long, value binary")
     (packed.sortWithinPartitions("archive", "seq").select("archive", F.col("value").cast("string").alias("value"))
      .write.partitionBy("archive").option("lineSep", "\n").option("compression", "gzip").text(path))
 

@@ -35,8 +35,11 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from opinio.llm.common import small_batches
+
 BLOCK_CHARS = 1 << 22
 _BATCH_BYTES = 4 << 20
 _SLICE = 1 << 18
@@ -259,14 +262,13 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
            buckets: int | None = None) -> DataFrame:
     """(id_col, n_tokens long, ids binary): the ids of each whole text as
     little-endian unsigned 32-bit integers."""
-    from pyspark.sql.pandas.types import to_arrow_type
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * partitions
     key = docs.schema[id_col].dataType
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
     key_type = to_arrow_type(key)
-    parts = docs.select(id_col, text_col).mapInArrow(_blocks(buckets, key_type), _PARTS)
+    parts = small_batches(docs).select(id_col, text_col).mapInArrow(_blocks(buckets, key_type), _PARTS)
     # one exchange for both: words go to their bucket, positions to their block, where they wait for the ids
     dealt = parts.repartition(partitions, "via")
     encoded = dealt.mapInArrow(_encode_buckets(shared), _IDS)

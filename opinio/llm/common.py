@@ -21,6 +21,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whole texts that go to a Python worker at once.
+TEXTS_A_BATCH = 200
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Python at most ``TEXTS_A_BATCH`` rows
+    at once: the default of 10,000 suits numbers, not whole texts. Spark reads the
+    setting when the plan runs, so it can't be confined to one DataFrame."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXTS_A_BATCH:
+        df.sparkSession.conf.set(key, TEXTS_A_BATCH)
+    return df
+
+
 def broadcast_if_bounded(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only if the counted rows fit ``limit`` bytes at
     ``row_bytes`` each; otherwise the same join shuffles (AQE splits skew)."""

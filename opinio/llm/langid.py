@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinio.llm.common import small_batches, written
+
 UNDETERMINED = "und"
 MIN_RATE = 1e-5
 MIN_SHARE = 0.2
@@ -139,7 +141,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for grams in letter_grams(text):
                 held.setdefault(lang, []).append(grams)
                 size[lang] = size.get(lang, 0) + len(grams)
-            if size.get(lang, 0) >= 2 * _PIECE:
+            if size.get(lang, 0) >= _PIECE:
                 fold(lang)
                 size[lang] = 0
                 if len(totals[lang][0]) >= _PIECE:
@@ -155,7 +157,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, gram, n) over all rows with text and language; gram 0: number of texts."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
+    rows = small_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
     return (rows.mapInArrow(_count, "lang string, gram bigint, n bigint")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
@@ -164,7 +166,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
           min_rate: float = MIN_RATE, min_share: float = MIN_SHARE) -> LanguageModel:
     """Learn the filters from all rows of ``docs``. The driver gets at most
     ``1 / min_rate`` n-grams a language."""
-    from opinio.llm.common import written
     counts = written(gram_counts(docs, text_col, lang_col), "gram-counts")
     grams = counts.where("gram <> 0")
     total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -206,4 +207,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
              out: str = "_language") -> DataFrame:
     """``docs`` with a struct column ``out`` (lang_pred, score)."""
     text: Column = F.col(text_col)
-    return docs.withColumn(out, predict_udf(docs.sparkSession, model)(text))
+    return small_batches(docs).withColumn(out, predict_udf(docs.sparkSession, model)(text))

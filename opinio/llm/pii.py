@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinio.llm.common import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "national_id")
 MIN_SCORE = 0.6
@@ -145,7 +147,7 @@ def spans_of(text: Column) -> Column:
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with ``out``: struct(base, spans)."""
-    return docs.withColumn(out, spans_of(F.col(text_col)))
+    return small_batches(docs).withColumn(out, spans_of(F.col(text_col)))
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -154,4 +156,4 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def hide(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else masked(t, find_spans(t)[1]) for t in texts], dtype="object")
 
-    return docs.withColumn(text_col, hide(F.col(text_col)))
+    return small_batches(docs).withColumn(text_col, hide(F.col(text_col)))

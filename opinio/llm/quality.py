@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinio.llm.common import small_batches, written
+
 FEATURES = ("log_chars", "log_words", "word_length", "long_words", "distinct_words", "repeated_neighbours", "log_lines",
             "distinct_lines", "upper", "digits", "marks", "odd_marks", "white", "top_word", "not_ascii", "sentence_ends")
 OWN_SHARE = 0.7
@@ -145,8 +147,7 @@ def score(features_col: Column, model: QualityModel) -> Column:
 def train_and_score(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "quality") -> DataFrame:
     """(doc_id, score) of every row of ``docs``; learns from the ``labels`` of the
     rows for which ``training`` (of doc_id) holds. The statistics are computed once."""
-    from opinio.llm.common import written
-    rows = written(docs.select("doc_id", features(F.col("text")).alias("features")), "statistics")
+    rows = written(small_batches(docs).select("doc_id", features(F.col("text")).alias("features")), "statistics")
     known = labels.where(training).select("doc_id", F.col(label_col).cast("int").alias("label")).distinct()
     model = fit(rows.where(training).join(known, "doc_id").select("features", "label"))
     return rows.select("doc_id", score(F.col("features"), model).alias("score"))

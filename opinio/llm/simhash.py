@@ -29,10 +29,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinio.llm.common import UPPER, written
+from opinio.llm.common import UPPER, small_batches, written
 from opinio.llm.components import connected_components
 
 SHINGLE = 3
@@ -142,7 +142,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_pairs: int = CELL_PAIRS
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: (doc_id, fp long, component_id)."""
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")),
+    rows = written(small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")),
                    "simhash")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = written(connected_components(links(fps.select("fp"), max_bits)), "simhash-roots")
@@ -161,7 +161,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")).distinct())
-    from pyspark.sql import Window
     # only texts without an id are hashed again: nothing else names their group
     keyed = docs.withColumn("_own", fingerprint(F.when(F.col(id_col).isNull(), F.col(text_col)), shingle))
     keyed = keyed.withColumn("_own", F.when(F.col(id_col).isNull(), F.col("_own")))
