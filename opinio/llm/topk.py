@@ -150,8 +150,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             _add(best, np.arange(len(own)), x[own], ids[own], x[lo:lo + ANNULUS * 4], ids[lo:lo + ANNULUS * 4])
         r = reach(x[own], best.floor)[:, None]
         d = _distances(x[own], np.zeros(len(own)), points)
-        return pd.DataFrame({"query_id": ids[own], "x": list(x[own]), "floor": best.floor, "low": list(d - r),
-                             "high": list(d + r), "chunk": (group["shard"].to_numpy()[own] // CHUNK_SHARDS)})
+        lists = {n: pd.Series(list(v), dtype="object") for n, v in (("x", x[own]), ("low", d - r), ("high", d + r))}
+        return pd.DataFrame({"query_id": ids[own], "x": lists["x"], "floor": best.floor, "low": lists["low"],
+                             "high": lists["high"], "chunk": group["shard"].to_numpy()[own] // CHUNK_SHARDS})
 
     asked = index.withColumn("query", F.coalesce(is_query, F.lit(False)))
     queries = written(asked.groupBy("shard").applyInPandas(

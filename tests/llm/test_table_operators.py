@@ -113,8 +113,9 @@ def test_topk_equals_brute_force(spark):
     rows += [(i, [0.5] * 8, "x") for i in range(300, 420)]  # ties
     rows += [(500, None, "x"), (501, [1.0, None], "x"), (502, [float("nan")] * 8, "x"), (503, [float("inf")] * 8, "x"),
              (None, [1.0] * 8, "x"), (520, [1.0] * 4, "x"), (540, [], "x"), (10, rows[10][1], "x")]
+    rows += [(i, [9.0 + i] * 8, "x") for i in range(601, 620)]  # a shard without queries
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = topk.search(table, F.col("vec_id") % 20 == 0, k=7, pivots=5, shard=50).collect()
+    got = topk.search(table, F.col("vec_id") % 20 == 0, k=7, pivots=5, shard=9).collect()
     vectors = {}
     for i, v, _ in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
