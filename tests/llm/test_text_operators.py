@@ -199,3 +199,18 @@ def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = Q.op10_quality(spark, sf).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.predicted == r.quality for r in got]) >= 0.93
+
+
+def test_small_batches_keep_a_sessions_lower_values(spark):
+    from opinio.llm.common import BYTES_A_BATCH, TEXTS_A_BATCH, small_batches
+    rows, size = (f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes"))
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        for given, left in (("10000", "64m"), (str(TEXTS_A_BATCH), str(BYTES_A_BATCH))), (("50", "1m"), ("50", "1m")):
+            spark.conf.set(rows, given[0])
+            spark.conf.set(size, given[1])
+            small_batches(spark.range(1))
+            assert (spark.conf.get(rows), spark.conf.get(size)) == left
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
