@@ -56,7 +56,8 @@ def todo_crawl(m: NewsModel, as_of: str = AS_OF) -> DataFrame:
         F.col("id").alias("article_body_id"), F.col("article_id").alias("b_article_id"),
         "headline", "body", "proc_timestamp", "proc_counter")
     cols = cur.columns + ["article_body_id", "headline", "body", "proc_timestamp", "proc_counter"]
-    missing = (cur.join(last, cur.article_id == last.b_article_id, "left_anti")
+    stored = m.article_body.select(F.col("article_id").alias("b_article_id"))   # ids only
+    missing = (cur.join(stored, cur.article_id == stored.b_article_id, "left_anti")
                .select(*cur.columns,
                        F.lit(None).cast("bigint").alias("article_body_id"),
                        F.lit(None).cast("string").alias("headline"),
@@ -87,19 +88,27 @@ def _comment_cols(c: DataFrame) -> list[Column]:
 _LOG_COLS = ["analyzer_id", "start_timestamp", "end_timestamp", "success"]
 
 
-def _status(log_id: Column) -> Column:
-    return F.when(log_id.isNull(), "new").otherwise("re-run").alias("status")
+def _new_and_open(m: NewsModel, c: DataFrame) -> DataFrame:
+    """The comments ``c`` without any log row ('new'), and one row per open log
+    row of analyzer 1 ('re-run'). The log is reduced before each join: to its
+    distinct comment ids (a comment logged a million times is one row per map
+    task) and to the open rows."""
+    al = m.analyzer_log
+    logged = al.select(F.col("comment_id").alias("l_cid")).distinct()
+    none = [F.lit(None).cast(al.schema[k].dataType).alias(k) for k in _LOG_COLS]
+    new = (c.join(logged, c.comment_id == logged.l_cid, "left_anti")
+           .select(*c.columns, *none, F.lit("new").alias("status")))
+    still_open = (al.filter((F.col("analyzer_id") == 1) & F.col("end_timestamp").isNull())
+                  .select(F.col("comment_id").alias("l_cid"), *_LOG_COLS))
+    again = (c.join(still_open, c.comment_id == still_open.l_cid, "inner")
+             .select(*c.columns, *_LOG_COLS, F.lit("re-run").alias("status")))
+    return new.unionByName(again)
 
 
 def todo_analyzer_v1(m: NewsModel) -> DataFrame:
     """T3 first generation (J5): comments never logged, or whose log row of
-    analyzer 1 is unfinished. LEFT JOIN + residual filter on the log side."""
-    c = m.comment.select(*_comment_cols(m.comment))
-    al = m.analyzer_log.select(F.col("id").alias("log_id"), F.col("comment_id").alias("l_cid"), *_LOG_COLS)
-    j = c.join(al, c.comment_id == al.l_cid, "left")
-    keep = F.col("log_id").isNull() | ((F.col("analyzer_id") == 1) & F.col("end_timestamp").isNull())
-    return j.filter(keep).select("comment_id", "comment_level", "comment_body", *_LOG_COLS,
-                                 _status(F.col("log_id")))
+    analyzer 1 is unfinished."""
+    return _new_and_open(m, m.comment.select(*_comment_cols(m.comment)))
 
 
 def todo_analyzer_v2(m: NewsModel) -> DataFrame:
@@ -110,11 +119,7 @@ def todo_analyzer_v2(m: NewsModel) -> DataFrame:
     c = (m.comment.join(ab, m.comment.article_body_id == ab.ab_id, "inner")
          .join(ah, "article_id", "inner")
          .select(*_comment_cols(m.comment), "source_date"))
-    al = m.analyzer_log.select(F.col("id").alias("log_id"), F.col("comment_id").alias("l_cid"), *_LOG_COLS)
-    j = c.join(al, c.comment_id == al.l_cid, "left")
-    keep = F.col("log_id").isNull() | ((F.col("analyzer_id") == 1) & F.col("end_timestamp").isNull())
-    return j.filter(keep).select("comment_id", "comment_level", "comment_body", "source_date",
-                                 *_LOG_COLS, _status(F.col("log_id")))
+    return _new_and_open(m, c)
 
 
 def todo_analyzer(m: NewsModel) -> DataFrame:
@@ -395,10 +400,14 @@ def log_cleanup(m: NewsModel, analyzer_id: int = 1) -> DataFrame:
 
 def crawl_log_close(m: NewsModel, as_of: str = AS_OF, success: bool = True) -> DataFrame:
     """Close each source's newest run if it is still open (end time,
-    success flag); all other rows unchanged."""
+    success flag); all other rows unchanged. The newest ids are broadcast: one
+    row per outlet of ``source_header``, a fixed list, so the log itself is
+    not shuffled on its few source ids."""
     cl = m.crawl_log
-    newest = cl.groupBy("source_id").agg(F.max("id").alias("newest_id"))
-    j = cl.join(newest, "source_id", "left")
+    outlets = F.broadcast(m.source_header.select(F.col("id").alias("source_id")))
+    newest = (cl.join(outlets, "source_id", "left_semi")
+              .groupBy("source_id").agg(F.max("id").alias("newest_id")))
+    j = cl.join(F.broadcast(newest), "source_id", "left")
     close = (F.col("id") == F.col("newest_id")) & F.col("end_timestamp").isNull()
     return j.select("id", "source_id", "start_timestamp",
                     F.when(close, as_of_ts(as_of)).otherwise(F.col("end_timestamp")).alias("end_timestamp"),

@@ -101,12 +101,18 @@ def obsolete_share(m: NewsModel, source_id: int = 3) -> DataFrame:
 
 
 def comment_duplicates(m: NewsModel) -> DataFrame:
-    """(url, comment body) groups holding more than one comment id."""
-    j = _hdr_body_comment(m)
-    return (j.groupBy("url", F.col("comment_body").alias("body"))
-            .agg(F.count_distinct("comment_id").alias("comment_count"),
-                 F.count_distinct("article_id").alias("hdr_count"))
+    """(url, comment body) groups holding more than one comment id. Groups
+    are keyed by the body's SHA-256 instead of the body. The joins follow
+    primary keys, so a comment is one row and plain counts are distinct
+    counts; articles are counted by a second step over (url, hash, article)."""
+    j = _hdr_body_comment(m).withColumn("_h", F.sha2("comment_body", 256))
+    per_article = j.groupBy("url", "_h", "article_id").agg(F.count(F.lit(1)).alias("n"),
+                                                           F.first("comment_body").alias("body"))
+    return (per_article.groupBy("url", "_h")
+            .agg(F.first("body").alias("body"), F.sum("n").alias("comment_count"),
+                 F.count(F.lit(1)).alias("hdr_count"))
             .filter(F.col("comment_count") > 1)
+            .select("url", "body", "comment_count", "hdr_count")
             .orderBy(F.col("comment_count").desc()))
 
 

@@ -9,85 +9,73 @@ from opinio.sources.news_model import NewsModel
 
 P = D.DashboardParams()
 
-# The dashboard SQL with the default parameters bound (same text shape as
-# the reference panels: LEFT JOIN source_header / model relation + filters).
-_M_FROM = """
-FROM article_header ah
-  LEFT JOIN source_header sh ON ah.source_id = sh.id
-  INNER JOIN article_body ab ON ah.id = ab.article_id
-  INNER JOIN comment ct ON ab.id = ct.article_body_id
-  INNER JOIN analyzer1_result a1r ON ct.id = a1r.comment_id
-  LEFT JOIN nlp_models nlp ON a1r.sub_id = nlp.id
-WHERE ah.source_date BETWEEN DATE '{df}' AND DATE '{dt}'
-  AND sh.source IN ('Spiegel', 'Welt', 'FAZ')
-  AND nlp.nlp_model = '{model}'
-""".format(df=P.date_from, dt=P.date_to, model=P.nlp_model)
-
-_KW = f"AND ct.body ILIKE '% {P.keyword}%'"
-_TXT = f"AND ab.body ILIKE '%{P.article_text}%'"
-
-_V_FROM = """
-FROM article_header ah
-  LEFT JOIN source_header sh ON ah.source_id = sh.id
-  LEFT JOIN article_body ab ON ah.id = ab.article_id
-  {comment_join}
-WHERE ah.source_date BETWEEN DATE '{df}' AND DATE '{dt}'
-  AND sh.source IN ('Spiegel', 'Welt', 'FAZ')
-  AND ab.body ILIKE '%{txt}%'
-"""
-
-
-def _v_from(with_comments: bool) -> str:
-    cj = "LEFT JOIN comment c ON c.article_body_id = ab.id" if with_comments else ""
-    return _V_FROM.format(comment_join=cj, df=P.date_from, dt=P.date_to, txt=P.article_text)
-
-
-@query("avg_sentiment", f"SELECT round(AVG(a1r.sentiment_value), 9) AS sentiment_simple_average {_M_FROM} {_TXT}")
+# Oracles of the dashboard panels with the default parameters bound: the scored
+# comments (resp. matching articles) of the period, outlets and model are one
+# relation, which each panel aggregates.
+_PERIOD = f"h.source_date BETWEEN DATE '{P.date_from}' AND DATE '{P.date_to}'"
+_OUTLETS = "h.source_id IN (SELECT id FROM source_header WHERE source IN ('Spiegel', 'Welt', 'FAZ'))"
+_KW = f"c.body ILIKE '% {P.keyword}%'"
+_TXT = f"b.body ILIKE '%{P.article_text}%'"
+
+
+def _scored(text_filter: str) -> str:
+    return f"""
+WITH scored AS (
+  SELECT h.source_date AS day, r.comment_id, r.sentiment_value AS v, r.error_value AS e
+  FROM analyzer1_result r JOIN comment c ON c.id = r.comment_id
+  JOIN article_body b ON b.id = c.article_body_id JOIN article_header h ON h.id = b.article_id
+  WHERE r.sub_id = (SELECT id FROM nlp_models WHERE nlp_model = '{P.nlp_model}')
+    AND {_PERIOD} AND {_OUTLETS} AND {text_filter})"""
+
+
+_FOUND = f"""
+WITH found AS (
+  SELECT h.source_date AS day, h.id AS article, b.id AS version
+  FROM article_header h JOIN article_body b ON b.article_id = h.id WHERE {_PERIOD} AND {_OUTLETS} AND {_TXT})"""
+_ANSWERED = "found LEFT JOIN comment c ON c.article_body_id = found.version"
+
+
+@query("avg_sentiment", f"{_scored(_TXT)} SELECT round(avg(v), 9) AS sentiment_simple_average FROM scored")
 def q_avg_sentiment(spark, sf):
     return D.avg_sentiment(NewsModel(spark, sf), P)
 
 
 @query("daily_sentiment_by_article_text",
-       f"SELECT ah.source_date AS time, round(AVG(a1r.sentiment_value), 9) AS sentiment_simple_average "
-       f"{_M_FROM} {_TXT} GROUP BY ah.source_date ORDER BY 1")
+       f"{_scored(_TXT)} SELECT day AS time, round(avg(v), 9) AS sentiment_simple_average FROM scored GROUP BY day ORDER BY day")
 def q_daily_sentiment_by_article_text(spark, sf):
     return D.daily_sentiment_by_article_text(NewsModel(spark, sf), P)
 
 
 @query("daily_sentiment",
-       f"SELECT ah.source_date AS time, round(AVG(a1r.sentiment_value), 9) AS sentiment_simple_average "
-       f"{_M_FROM} {_KW} GROUP BY ah.source_date ORDER BY 1")
+       f"{_scored(_KW)} SELECT day AS time, round(avg(v), 9) AS sentiment_simple_average FROM scored GROUP BY day ORDER BY day")
 def q_daily_sentiment(spark, sf):
     return D.daily_sentiment(NewsModel(spark, sf), P)
 
 
 @query("analysed_comments_per_day",
-       f"SELECT ah.source_date AS time, COUNT(DISTINCT ct.id) AS n_comments "
-       f"{_M_FROM} {_KW} GROUP BY ah.source_date ORDER BY 1")
+       f"{_scored(_KW)} SELECT day AS time, count(DISTINCT comment_id) AS n_comments FROM scored GROUP BY day ORDER BY day")
 def q_analysed_comments_per_day(spark, sf):
     return D.analysed_comments_per_day(NewsModel(spark, sf), P)
 
 
-@query("comment_count", f"SELECT COUNT(DISTINCT c.id) AS n_comments {_v_from(True)}")
+@query("comment_count", f"{_FOUND} SELECT count(DISTINCT c.id) AS n_comments FROM {_ANSWERED}")
 def q_comment_count(spark, sf):
     return D.comment_count(NewsModel(spark, sf), P)
 
 
 @query("comments_per_day",
-       f"SELECT source_date::TIMESTAMP AS time, COUNT(DISTINCT c.id) AS n_comments {_v_from(True)} "
-       f"GROUP BY 1 ORDER BY 1")
+       f"{_FOUND} SELECT day::TIMESTAMP AS time, count(DISTINCT c.id) AS n_comments FROM {_ANSWERED} GROUP BY day ORDER BY day")
 def q_comments_per_day(spark, sf):
     return D.comments_per_day(NewsModel(spark, sf), P)
 
 
-@query("article_count", f"SELECT COUNT(DISTINCT ah.id) AS n_articles {_v_from(False)}")
+@query("article_count", f"{_FOUND} SELECT count(DISTINCT article) AS n_articles FROM found")
 def q_article_count(spark, sf):
     return D.article_count(NewsModel(spark, sf), P)
 
 
 @query("articles_per_day",
-       f"SELECT source_date::TIMESTAMP AS time, COUNT(DISTINCT ah.id) AS n_articles {_v_from(False)} "
-       f"GROUP BY 1 ORDER BY 1")
+       f"{_FOUND} SELECT day::TIMESTAMP AS time, count(DISTINCT article) AS n_articles FROM found GROUP BY day ORDER BY day")
 def q_articles_per_day(spark, sf):
     return D.articles_per_day(NewsModel(spark, sf), P)
 
@@ -97,25 +85,18 @@ from opinio.functions.dates import calendar_sql  # noqa: E402
 from opinio.plans import marts as MT  # noqa: E402
 from opinio.plans import quality as QL  # noqa: E402
 
-_STATS = """
-WITH article_headers AS (SELECT 0 AS id, COUNT(ah.id) AS n_article_headers FROM article_header ah),
-article_bodies AS (SELECT 0 AS id, COUNT(ab.id) AS n_article_bodies FROM article_body ab),
-comments AS (SELECT 0 AS id, COUNT(c.id) AS n_comments FROM comment c),
-analyzer AS (SELECT 0 AS id, COUNT(a1r.id) AS n_analyzed_comments FROM analyzer1_result a1r WHERE sub_id = 1)
-SELECT {cols}
-FROM article_headers ah LEFT JOIN article_bodies ab ON ah.id = ab.id
-LEFT JOIN comments c ON ah.id = c.id LEFT JOIN analyzer a1 ON ah.id = a1.id
-"""
+_N_ANALYSED = "(SELECT count(id) FROM analyzer1_result WHERE sub_id = 1)"
 
 
-@query("database_statistics", _STATS.format(
-    cols="ah.n_article_headers, ab.n_article_bodies, c.n_comments, a1.n_analyzed_comments"))
+@query("database_statistics", f"""
+SELECT (SELECT count(id) FROM article_header) AS n_article_headers, (SELECT count(id) FROM article_body) AS n_article_bodies,
+       (SELECT count(id) FROM comment) AS n_comments, {_N_ANALYSED} AS n_analyzed_comments""")
 def q_database_statistics(spark, sf):
     return MT.database_statistics(NewsModel(spark, sf))
 
 
-@query("pct_comments_analysed", _STATS.format(
-    cols="round(a1.n_analyzed_comments / c.n_comments * 100, 2) AS pct_comments_analyzed"))
+@query("pct_comments_analysed",
+       f"SELECT round({_N_ANALYSED} / (SELECT count(id) FROM comment) * 100, 2) AS pct_comments_analyzed")
 def q_pct_comments_analysed(spark, sf):
     return MT.pct_comments_analysed(NewsModel(spark, sf))
 
@@ -151,9 +132,8 @@ def q_sentiment_by_created_date(spark, sf):
 
 
 @query("daily_sentiment_weighted",
-       "SELECT ah.source_date AS time, round(SUM(a1r.sentiment_value / nullif(a1r.error_value * a1r.error_value, 0)) "
-       "/ SUM(1 / nullif(a1r.error_value * a1r.error_value, 0)), 9) AS sentiment_error_weighted "
-       f"{_M_FROM} {_KW} GROUP BY ah.source_date ORDER BY 1")
+       f"{_scored(_KW)} SELECT day AS time, round(sum(v / nullif(e * e, 0)) / sum(1 / nullif(e * e, 0)), 9) "
+       "AS sentiment_error_weighted FROM scored GROUP BY day ORDER BY day")
 def q_daily_sentiment_weighted(spark, sf):
     return D.daily_sentiment_weighted(NewsModel(spark, sf), P)
 
@@ -166,19 +146,18 @@ def q_obsolete_share(spark, sf):
 
 
 @query("comment_duplicates", """
-SELECT hdr.url, cmt.body, count(DISTINCT cmt.id) AS comment_count, count(DISTINCT hdr.id) AS hdr_count
-FROM comment cmt, article_header hdr, article_body bdy
-WHERE bdy.article_id = hdr.id AND bdy.id = cmt.article_body_id
-GROUP BY cmt.body, hdr.url HAVING count(DISTINCT cmt.id) > 1 ORDER BY comment_count DESC""")
+WITH said AS (SELECT a.url, c.body, c.id AS comment_id, a.id AS article_id
+  FROM article_header a JOIN article_body b ON b.article_id = a.id JOIN comment c ON c.article_body_id = b.id)
+SELECT url, body, count(DISTINCT comment_id) AS comment_count, count(DISTINCT article_id) AS hdr_count
+FROM said GROUP BY url, body HAVING comment_count > 1""")
 def q_comment_duplicates(spark, sf):
     return MT.comment_duplicates(NewsModel(spark, sf))
 
 
 @query("unanimous_positive", """
-SELECT ar.comment_id, round(ar.avg_sent, 9) AS avg_sent, cmt.body
-FROM (SELECT comment_id, avg(sentiment_value) AS avg_sent, min(sentiment_value) AS min_sent
-      FROM analyzer1_result WHERE sub_id < 4 GROUP BY comment_id) ar, comment cmt
-WHERE ar.min_sent > 0.5 AND ar.comment_id = cmt.id ORDER BY ar.avg_sent DESC""")
+SELECT c.id AS comment_id, round(avg(r.sentiment_value), 9) AS avg_sent, c.body
+FROM comment c JOIN analyzer1_result r ON r.comment_id = c.id AND r.sub_id BETWEEN 1 AND 3
+GROUP BY c.id, c.body HAVING bool_and(r.sentiment_value > 0.5)""")
 def q_unanimous_positive(spark, sf):
     return MT.unanimous_positive(NewsModel(spark, sf))
 
@@ -196,10 +175,10 @@ def q_latest_article_date(spark, sf):
 
 
 @query("article_header_current", """
-SELECT sth.type AS src_type, sh.source AS src_name, sh.id AS src_id, ah.id AS article_id,
-       ah.url, ah.source_date, ah.obsolete
-FROM source_header sh, source_type_header sth, article_header ah
-WHERE sth.id = sh.type AND sh.id = ah.source_id AND ah.obsolete = false""")
+WITH outlet AS (SELECT o.id AS src_id, o.source AS src_name, kind.type AS src_type
+                FROM source_header o JOIN source_type_header kind ON kind.id = o.type)
+SELECT src_type, src_name, src_id, a.id AS article_id, a.url, a.source_date, a.obsolete
+FROM article_header a JOIN outlet ON outlet.src_id = a.source_id WHERE NOT a.obsolete""")
 def q_article_header_current(spark, sf):
     return MT.article_header_current(NewsModel(spark, sf))
 
@@ -210,7 +189,7 @@ def q_article_body_last_id(spark, sf):
 
 
 @query("article_body_last", """
-SELECT ab.* FROM article_body_last_id vabli, article_body ab WHERE ab.id = vabli.last_article_body_id""")
+SELECT * FROM article_body QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY id DESC) = 1""")
 def q_article_body_last(spark, sf):
     return MT.article_body_last(NewsModel(spark, sf))
 
@@ -252,11 +231,10 @@ def q_bodies_without_comments(spark, sf):
 
 
 @query("orphan_udf_values", """
-SELECT uv.udf_id, 'udf without article_body attached' AS err_msg, uv.object_id, uv.udf_value
-FROM udf_values uv LEFT JOIN article_body ab ON uv.object_id = ab.id WHERE uv.object_type = 1 AND ab.id IS NULL
-UNION
-SELECT uv.udf_id, 'udf without comment attached' AS err_msg, uv.object_id, uv.udf_value
-FROM udf_values uv LEFT JOIN comment co ON uv.object_id = co.id WHERE uv.object_type = 2 AND co.id IS NULL""")
+WITH owner AS (SELECT 1 AS object_type, id AS object_id FROM article_body UNION ALL SELECT 2, id FROM comment)
+SELECT DISTINCT udf_id, CASE object_type WHEN 1 THEN 'udf without article_body attached'
+                        ELSE 'udf without comment attached' END AS err_msg, object_id, udf_value
+FROM udf_values ANTI JOIN owner USING (object_type, object_id)""")
 def q_orphan_udf_values(spark, sf):
     return QL.orphan_udf_values(NewsModel(spark, sf))
 
@@ -308,7 +286,7 @@ def q_topics_per_article(spark, sf):
 
 @query("scalar_strings", """
 SELECT doc_id, substring(lower(text), 1, 30) AS lower30, substring(text, 1, 10) AS first10,
-       CAST(length(text) AS INT) AS n_chars, replace(substring(text, 1, 40), 'e', 'E') AS replaced,
+       CAST(length(text) AS INT) AS n_chars, replace(text, 'e', 'E') AS replaced,
        split_part(text, '.', 1) AS first_sentence, contains(lower(text), ' the ') AS has_the,
        concat(source, '/', lang) AS source_lang FROM documents""")
 def q_scalar_strings(spark, sf):
@@ -317,7 +295,7 @@ def q_scalar_strings(spark, sf):
     d = NewsModel(spark, sf).table("documents")
     return d.select("doc_id", F.substring(F.lower("text"), 1, 30).alias("lower30"),
                     F.substring("text", 1, 10).alias("first10"), F.length("text").alias("n_chars"),
-                    F.replace(F.substring("text", 1, 40), F.lit("e"), F.lit("E")).alias("replaced"),
+                    F.replace("text", F.lit("e"), F.lit("E")).alias("replaced"),
                     F.split_part("text", F.lit("."), F.lit(1)).alias("first_sentence"),
                     F.lower("text").contains(" the ").alias("has_the"),
                     F.concat("source", F.lit("/"), "lang").alias("source_lang"))
