@@ -43,9 +43,13 @@ def _item_fields(item):
 
 
 def flatten_comment_tree(docs: DataFrame, url_col: str = "url", tree_col: str = "tree",
-                         required: tuple[str, ...] = REQUIRED_FIELDS) -> DataFrame:
+                         required: tuple[str, ...] = REQUIRED_FIELDS, title_in_body: bool = False,
+                         normalise=None) -> DataFrame:
     """One row per kept comment: url, external_id, parent_external_id,
-    level, body, user, created_at (``tree_col`` holds the JSON text)."""
+    level, body, user, created_at (``tree_col`` holds the JSON text). With
+    ``title_in_body`` (outlet 3 stores comments so) the body is
+    ``title + ' ' + body``; ``normalise`` (a column function such as W12's
+    ``nfkd``) is applied to the body before the external id is formed."""
     checkpoint_dir(docs.sparkSession)
     items = docs.select(F.col(url_col).alias("url"),
                         F.explode(F.try_variant_get(F.parse_json(F.col(tree_col)), "$", "array<variant>"))
@@ -55,13 +59,14 @@ def flatten_comment_tree(docs: DataFrame, url_col: str = "url", tree_col: str =
     out = None
     for _ in range(MAX_LEVELS):
         f = _item_fields(F.col("item"))
+        body = F.concat_ws(" ", f["title"], f["body"]) if title_in_body else f["body"]
         keep = F.lit(True)
         for name in required:
             keep = keep & f[name].isNotNull()
         kept = (items.select("url", "item", "parent_external_id", "level",
-                             f["body"].alias("body"), f["user"].alias("user"),
-                             f["created_at"].alias("created_at"))
-                .filter(keep)
+                             (normalise(body) if normalise else body).alias("body"), f["user"].alias("user"),
+                             f["created_at"].alias("created_at"), keep.alias("keep"))
+                .filter("keep").drop("keep")
                 .withColumn("external_id", comment_external_id(F.col("url"), F.col("user"), F.col("body")))
                 .checkpoint(eager=True))
         rows = kept.select("url", "external_id", "parent_external_id", "level", "body", "user", "created_at")

@@ -273,11 +273,15 @@ def dataset_sink_roundtrip(data: DataFrame) -> DataFrame:
 def annotated_csv_filter(rows: DataFrame) -> DataFrame:
     """Write 5-column rows as CSV quoted with '|', read them back with the
     same quote char and keep rows whose column 4 is '1', column 5 empty and
-    column 3 (the text) non-empty."""
+    column 3 (the text) non-empty. Texts keep their line breaks and outer
+    blanks; with line breaks inside quotes a file is one split, so the file
+    count is the write's partition count."""
     spark = rows.sparkSession
     path = scratch_path(spark, f"annotated-{uuid.uuid4().hex}")
-    rows.write.option("quote", "|").option("escape", "|").csv(path)
-    back = (spark.read.option("quote", "|").option("escape", "|")
+    options = {"quote": "|", "escape": "|", "multiLine": True, "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(path)
+    back = (spark.read.options(**options)
             .schema("c0 string, c1 string, text string, flag string, extra string").csv(path))
     return back.filter((F.col("flag") == "1") & (F.coalesce(F.col("extra"), F.lit("")) == "")
                        & (F.coalesce(F.col("text"), F.lit("")) != ""))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from opinio.functions.hashing import content_hash
 from opinio.functions.strings import remove_nul
 from opinio.operators.ids import dense_ids
-from opinio.session import broadcast_if_small
+from opinio.session import write_once
 
 # The reference's length limits.
 MAX_URL_LENGTH = 2048      # url must be strictly shorter
@@ -48,7 +48,7 @@ def with_validation(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def validate_headers(incoming: DataFrame, sources: DataFrame) -> DataFrame:
     """Url valid and shorter than 2048; source id positive and known;
     mandatory url / obsolete / source_id (obsolete defaults to false)."""
-    known = broadcast_if_small(sources.select(F.col("id").alias("_known_source")))
+    known = write_once(sources.select(F.col("id").alias("_known_source")), "sources")
     df = (incoming.withColumn("obsolete", F.coalesce(F.col("obsolete"), F.lit(False)))
           .join(known, F.col("source_id") == F.col("_known_source"), "left"))
     rules = {
@@ -103,7 +103,7 @@ def validate_udfs(incoming: DataFrame, udf_header: DataFrame) -> DataFrame:
     """Attribute key must name a known field (unknown keys such as
     'replies' are dropped silently), value at most 80 characters; the key
     is mapped to its id; duplicates collapse (set semantics)."""
-    uh = broadcast_if_small(udf_header.select(F.col("id").alias("udf_id"), F.col("udf_name").alias("key")))
+    uh = write_once(udf_header.select(F.col("id").alias("udf_id"), F.col("udf_name").alias("key")), "udf-fields")
     ok = (incoming.join(uh, "key", "inner")
           .filter(F.col("value").isNotNull() & (F.length("value") <= MAX_UDF_LENGTH)))
     return ok.select("udf_id", "object_type", "object_id", F.col("value").alias("udf_value")).distinct()
@@ -127,20 +127,29 @@ def body_version_diff(incoming: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def body_upsert(bodies: DataFrame, diff: DataFrame) -> DataFrame:
-    """The next version of article_body: unchanged articles get their
-    stored row's counter bumped; changed or new articles get a new row with
-    counter + 1. New ids continue after the current max id in article order
-    (one new version per article per batch)."""
-    bump = diff.filter(~F.col("insert")).select(F.col("old_id").alias("id"),
-                                                F.col("new_counter").alias("bumped"))
-    kept = (bodies.join(bump, "id", "left")
-            .select("id", "article_id", "headline", "body", "proc_timestamp",
-                    F.coalesce("bumped", "proc_counter").alias("proc_counter")))
+    """The rows of article_body that a batch changes. Articles whose text
+    is unchanged give an ``update`` row: the stored row's id and its bumped
+    counter (texts and time stay as stored and are NULL here). Changed or new
+    articles give an ``insert`` row with counter + 1; new ids continue after
+    the current max id in article order (one new version per article per
+    batch). No stored text is read: only the max id is."""
     start = bodies.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    ins = diff.filter(F.col("insert")).select("article_id", "headline", "body", "proc_timestamp",
+    new = diff.filter(F.col("insert")).select("article_id", "headline", "body", "proc_timestamp",
                                               F.col("new_counter").alias("proc_counter"))
-    added = dense_ids(ins, ["article_id"], start)
-    return kept.unionByName(added.select(*kept.columns))
+    added = dense_ids(new, ["article_id"], start).withColumn("op", F.lit("insert"))
+    bumped = diff.filter(~F.col("insert")).select(
+        F.lit("update").alias("op"), F.col("old_id").alias("id"), "article_id",
+        *[F.lit(None).cast(diff.schema[c].dataType).alias(c) for c in ("headline", "body", "proc_timestamp")],
+        F.col("new_counter").alias("proc_counter"))
+    return bumped.unionByName(added.select(*bumped.columns))
+
+
+def apply_body_upsert(bodies: DataFrame, changes: DataFrame) -> DataFrame:
+    """The next version of article_body: stored rows with the counters of
+    ``changes`` (joined on ids), and its new rows."""
+    bump = changes.filter("op = 'update'").select("id", F.col("proc_counter").alias("_bumped"))
+    kept = bodies.join(bump, "id", "left").withColumn("proc_counter", F.coalesce("_bumped", "proc_counter"))
+    return kept.select(*bodies.columns).unionByName(changes.filter("op = 'insert'").select(*bodies.columns))
 
 
 def first_wins(df: DataFrame, key: list[str], order_col: str) -> DataFrame:

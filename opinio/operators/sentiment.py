@@ -1,7 +1,7 @@
 """Sentiment scoring.
 
 Lexicon sentiment explodes tokens inside whole-stage codegen, joins them to
-the lexicon (broadcast after a row-count check, else a shuffle join) and
+the lexicon (written once, so the planner joins it by its real size) and
 aggregates per text. (Scoring inside array higher-order functions was
 measured ~30x slower: lambda bodies run interpreted and Spark does not
 share subexpressions inside them.)
@@ -9,15 +9,13 @@ share subexpressions inside them.)
 Model scores arrive as logits per text chunk; ``logits_to_sentiment`` turns
 them into (value, error) with array functions, and ``inverse_variance``
 combines chunks or models. The nearest-neighbour match of J10 scores query
-vectors against a size-checked broadcast lexicon, or, beyond that size,
-cogroups bounded query chunks with bounded lexicon blocks (NumPy matrix
-products in both), never materialising query x lexicon pairs as rows.
+vectors against the broadcast lexicon, a fixed word list whose bytes are
+checked, by NumPy matrix products, never materialising query x lexicon pairs
+as rows.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,10 +24,9 @@ from pyspark.sql import types as T
 
 from opinio.functions.numeric import fround
 from opinio.functions.strings import clean_tokens
-from opinio.operators.ids import dense_ids
-from opinio.session import broadcast_if_small, ensure_parallelism
+from opinio.session import ensure_parallelism, write_once
 
-NN_BLOCK_BYTES = 64 * 1024 * 1024   # per broadcast block of lexicon vectors
+NN_LEXICON_BYTES = 64 * 1024 * 1024   # most bytes of lexicon vectors that are broadcast
 MATCH_DISTANCE = 0.25               # vector match threshold (cosine distance)
 CHUNK_TOKENS = 512                  # model input length
 
@@ -62,10 +59,10 @@ def tokens(text: Column) -> Column:
 
 
 def lexicon_join(words: DataFrame, lexicon: DataFrame, cols: list[str]) -> DataFrame:
-    """Left join of token rows to the lexicon: broadcast when the lexicon's
-    row count is checked to be small (``session.broadcast_if_small``), else a
-    shuffle join (AQE splits a hot word's partition)."""
-    return words.join(broadcast_if_small(lexicon.select("word", *cols)), "word", "left")
+    """Left join of token rows to the lexicon, which is written once: the
+    planner broadcasts it by its real bytes or else shuffles (AQE splits a hot
+    word's partition)."""
+    return words.join(write_once(lexicon.select("word", *cols), "lexicon"), "word", "left")
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
@@ -173,20 +170,29 @@ def combine_chunks(scored: DataFrame, key: str, value_col: str = "value", error_
 
 def hashed_feature_logits(chunks: DataFrame, key: str, heads: dict[str, tuple[int, int]]) -> DataFrame:
     """Deterministic stand-in scorer (no model files are available): for each
-    head ``name -> (n_classes, seed)``, logit k of a chunk is the mean over
-    its tokens of a hash-derived weight in [-1, 1]. Tokens are exploded and
-    summed per chunk (whole-stage codegen, partial aggregation in the scan
-    task). Real models plug in through ``pandas_scorer``."""
+    head ``name -> (n_classes <= 5, first hex digit)``, logit k of a chunk is
+    the mean over its tokens of a weight in [-1, 1] taken from three hex digits
+    of the token's MD5 (the k-th three counted from the right end of the head's
+    3 * n_classes digits). Tokens are exploded and summed per chunk
+    (whole-stage codegen, partial aggregation in the scan task). Real models
+    plug in through ``pandas_scorer``."""
     t = chunks.select(key, "chunk", F.size("tokens").alias("_n"), F.explode_outer("tokens").alias("_tok"))
-
-    def weight(seed: int) -> Column:
-        return (F.pmod(F.xxhash64(F.col("_tok"), F.lit(seed)), F.lit(2001)) - 1000) / 1000.0
-    sums = [F.coalesce(F.sum(weight(seed + k)), F.lit(0.0)).alias(f"_{name}_{k}")
-            for name, (n, seed) in heads.items() for k in range(n)]
+    bits = [F.conv(F.substring(F.md5("_tok"), first, 3 * n), 16, 10).cast("bigint").alias(f"_{name}")
+            for name, (n, first) in heads.items()]
+    t = t.select(key, "chunk", "_n", *bits)
+
+    def weight(name: str, k: int) -> Column:   # thousandths
+        return F.shiftright(f"_{name}", 12 * k).bitwiseAND(F.lit(4095)) % 2001 - 1000
+    sums = [F.coalesce(F.sum(weight(name, k)), F.lit(0)).alias(f"_{name}_{k}")
+            for name, (n, _) in heads.items() for k in range(n)]
     agg = t.groupBy(key, "chunk").agg(F.max("_n").alias("_n"), *sums)
     den = F.greatest(F.col("_n"), F.lit(1))
-    return agg.select(key, "chunk", *[F.array(*[F.col(f"_{name}_{k}") / den for k in range(n)]).alias(name)
-                                      for name, (n, seed) in heads.items()])
+    return agg.select(key, "chunk", *[F.array(*[F.col(f"_{name}_{k}") / F.lit(1000.0) / den for k in range(n)]).alias(name)
+                                      for name, (n, _) in heads.items()])
+
+
+#: Head -> classes and first hex digit of its weights.
+HASHED_HEADS = {"l5": (5, 1), "l3": (3, 16)}
 
 
 def pandas_scorer(fn, n_classes: int):
@@ -206,7 +212,7 @@ def model_scores(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """N3-N5 end to end: per chunk two model heads (5-star, 3-class) ->
     (value, error) per head -> combined per text over chunks -> ensemble of
     the two heads: (key, ens_value, ens_error, m1_value, m1_error, m2_value, m2_error)."""
-    logits = hashed_feature_logits(chunks, key, {"l5": (5, 11), "l3": (3, 29)})
+    logits = hashed_feature_logits(chunks, key, HASHED_HEADS)
     v1, e1 = logits_to_sentiment(F.col("l5"), "stars5")
     v2, e2 = logits_to_sentiment(F.col("l3"), "pos_neg_neu3")
     per = logits.select(key, v1.alias("v1"), e1.alias("e1"), v2.alias("v2"), e2.alias("e2"))
@@ -275,84 +281,35 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
     return mat / np.where(norms == 0, 1.0, norms)[:, None]
 
 
-def _best_in_block(qids, q: np.ndarray, ids: np.ndarray, mat: np.ndarray, scores: np.ndarray,
-                   id_col: str) -> pd.DataFrame:
-    """Nearest row of ``mat`` (unit rows, sorted by id) for every query row,
-    in query slices so at most ``NN_SLICE_CELLS`` similarities exist at once."""
-    step = max(1, NN_SLICE_CELLS // max(1, len(ids)))
-    q = _unit_rows(q)
-    best_i, best_d = [], []
-    for lo in range(0, len(q), step):
-        dist = 1.0 - q[lo:lo + step] @ mat.T
-        i = np.argmin(dist, axis=1)  # first minimum = lowest lexicon id in the block
-        best_i.append(i)
-        best_d.append(dist[np.arange(len(i)), i])
-    i = np.concatenate(best_i)
-    return pd.DataFrame({id_col: qids, "lex_id": ids[i], "distance": np.concatenate(best_d),
-                         "score": scores[i]})
-
-
-def _nn_broadcast_fn(bc, id_col: str, vec_col: str):
-    """Scores query batches against the one broadcast block (read per task)."""
-    def run(batches):
-        ids, mat, scores = bc.value
-        for pdf in batches:
-            if len(pdf):
-                yield _best_in_block(pdf[id_col].to_numpy(), _as_matrix(pdf[vec_col]), ids, mat, scores, id_col)
-    return run
-
-
-def _nn_cogroup_fn(id_col: str, vec_col: str, schema: T.StructType):
-    """Scores one query chunk against one lexicon block (one cogroup)."""
-    def run(qpdf: pd.DataFrame, lpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(lpdf) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        lpdf = lpdf.sort_values("lex_id", kind="stable")
-        return _best_in_block(qpdf[id_col].to_numpy(), _as_matrix(qpdf[vec_col]), lpdf["lex_id"].to_numpy(),
-                              _unit_rows(_as_matrix(lpdf["vec"])), lpdf["score"].to_numpy(dtype=np.float64),
-                              id_col)
-    return run
-
-
 def nearest_lexicon(queries: DataFrame, lexicon: DataFrame, id_col: str = "qid", vec_col: str = "vec",
-                    block_bytes: int = NN_BLOCK_BYTES) -> DataFrame:
-    """For every query vector (``id_col`` unique) the lexicon entry with
+                    max_bytes: int = NN_LEXICON_BYTES) -> DataFrame:
+    """For every query vector the lexicon entry (lex_id, vec, score) with
     the smallest cosine distance (ties: lowest ``lex_id``), with that distance
-    and the entry's score. One aggregate job measures the lexicon; no query x
-    lexicon pair ever becomes a row.
-
-    * Lexicon within ``block_bytes``: it is broadcast (size checked first)
-      and query Arrow batches are scored against it with matrix products.
-    * Larger: no data passes through the driver. The lexicon is cut into
-      blocks of at most ``block_bytes`` (distributed dense ranks), the queries
-      into hash chunks of about ``block_bytes``; every (chunk, block) pair is
-      one cogroup holding two bounded inputs, and per-block winners are
-      reduced by a partial ``min`` aggregate per query.
-    """
+    and the entry's score; no rows for an empty lexicon. A lexicon is a word
+    list that does not grow with the texts, so it is broadcast as one matrix;
+    its bytes are checked first and a ValueError says if it is no such list.
+    Query Arrow batches are scored by matrix products, in slices of at most
+    ``NN_SLICE_CELLS`` similarities; queries are neither copied nor shuffled."""
     spark = queries.sparkSession
-    stats = lexicon.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n, dim = int(stats["n"]), int(stats["dim"] or 0)
+    size = lexicon.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if size.n * (size.dim or 0) * 8 > max_bytes:
+        raise ValueError(f"{size.n} lexicon vectors of {size.dim} numbers exceed the broadcast bound of {max_bytes} bytes")
+    rows = sorted(lexicon.select(F.col("lex_id").cast("long"), "vec", F.col("score").cast("double")).collect())
     schema = T.StructType([queries.schema[id_col], T.StructField("lex_id", T.LongType()),
                            T.StructField("distance", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    if n == 0:
+    if not rows:
         return spark.createDataFrame([], schema)
-    rows_per_block = max(1, block_bytes // max(1, dim * 8))
-    n_blocks = math.ceil(n / rows_per_block)
-    lex = lexicon.select(F.col("lex_id").cast("long"), "vec", F.col("score").cast("double"))
-    q = queries.select(id_col, vec_col)
-    if n_blocks == 1:
-        blk = lex.orderBy("lex_id").toPandas()   # n * dim * 8 <= block_bytes, checked above
-        bc = spark.sparkContext.broadcast((blk["lex_id"].to_numpy(), _unit_rows(_as_matrix(blk["vec"])),
-                                           blk["score"].to_numpy(dtype=np.float64)))
-        return q.mapInPandas(_nn_broadcast_fn(bc, id_col, vec_col), schema)
-    n_q = q.agg(F.count(F.lit(1))).first()[0]
-    n_chunks = max(1, math.ceil(n_q / rows_per_block))
-    lex = (dense_ids(lex, ["lex_id"], 0, id_col="_rank")
-           .withColumn("_lb", ((F.col("_rank") - 1) / rows_per_block).cast("int"))
-           .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
-    q = (q.withColumn("_qc", F.pmod(F.xxhash64(id_col), F.lit(n_chunks)).cast("int"))
-         .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    per_block = (q.groupBy("_qc", "_lb").cogroup(lex.groupBy("_qc", "_lb"))
-                 .applyInPandas(_nn_cogroup_fn(id_col, vec_col, schema), schema))
-    best = per_block.groupBy(id_col).agg(F.min(F.struct("distance", "lex_id", "score")).alias("_b"))
-    return best.select(id_col, "_b.lex_id", "_b.distance", "_b.score")
+    ids, vecs, scores = zip(*rows)
+    shared = spark.sparkContext.broadcast((np.array(ids), _unit_rows(np.array(vecs, np.float64)), np.array(scores)))
+
+    def score(batches):
+        ids, mat, scores = shared.value
+        step = max(1, NN_SLICE_CELLS // len(ids))
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                distance = 1.0 - _unit_rows(_as_matrix(part[vec_col])) @ mat.T
+                best = distance.argmin(axis=1)  # the first minimum: the lowest lex_id
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "lex_id": ids[best],
+                                    "distance": distance.min(axis=1), "score": scores[best]})
+    return queries.select(id_col, vec_col).mapInPandas(score, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions.numeric import fround
 from opinio.functions.strings import clean_tokens, clean_word, non_word_class
-from opinio.session import broadcast_if_small, ensure_parallelism
+from opinio.session import ensure_parallelism, write_once
 
 TOP_TOPICS = 5
 MIN_COUNT_EXCLUSIVE = 2     # a topic must occur more than twice
@@ -76,7 +76,7 @@ def topics_top5(texts: DataFrame, stopwords: DataFrame | None = None, id_col: st
         top_words = dfreq.orderBy(F.col("df").desc(), F.col("word").asc()).limit(common_n).select("word")
         stop = F.broadcast(top_words)          # bounded by common_n rows
     else:
-        stop = broadcast_if_small(stopwords.select("word").distinct())
+        stop = write_once(stopwords.select("word").distinct(), "stopwords")
     freq = (freq.join(stop, "word", "left_anti")
             .filter(F.col("cnt") > MIN_COUNT_EXCLUSIVE))
     rk = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("cnt").desc(), F.col("first_pos").asc()))
@@ -115,16 +115,18 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def centroid_distance(texts: DataFrame, vectors: DataFrame, id_col: str = "id",
                       text_col: str = "text") -> DataFrame:
     """Per text, the centroid of its words' vectors (all occurrences) and
-    the cosine distance of each distinct word to it (ascending order; the
-    farthest word is the last)."""
+    the cosine distance of each distinct word to it, ascending within a text
+    (the farthest word is the last). Words are counted per text first and the
+    distinct words of the corpus are looked up once; a vector then goes along
+    once per (text, word), weighted by the count."""
     texts = ensure_parallelism(texts, id_col)
     w = texts.select(F.col(id_col), F.explode(F.split(F.col(text_col), r"\s+")).alias("w"))
     w = w.select(id_col, F.regexp_replace(F.col("w"), non_word_class(False, keep_ws=False), "").alias("word"))
-    wv = hashed_vector_lookup(w, vectors)
-    cent = (wv.groupBy(id_col).agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("_c"))
+    counts = w.groupBy(id_col, "word").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    wv = counts.join(hashed_vector_lookup(counts.select("word").distinct(), vectors), "word", "inner")
+    cent = (wv.groupBy(id_col).agg(Summarizer.mean(array_to_vector(F.col("vec")), F.col("_n")).alias("_c"))
             .select(id_col, vector_to_array("_c").alias("centroid")))
-    distinct_words = wv.select(id_col, "word", "vec").dropDuplicates([id_col, "word"])
-    j = distinct_words.join(cent, id_col, "inner")
+    j = wv.join(cent, id_col, "inner")
     vec = F.transform(F.col("vec"), lambda x: x.cast("double"))
     return (j.select(id_col, "word", fround(cosine_distance(vec, F.col("centroid"))).alias("distance"))
-            .orderBy(id_col, "distance"))
+            .sortWithinPartitions(id_col, "distance"))

@@ -43,7 +43,7 @@ _CTES: list[tuple[str, str]] = [
      "TIMESTAMP '2024-01-31 00:00:00' + ((c.conv_id + c.turn) % 24) * INTERVAL '1' HOUR AS proc_timestamp, "
      "CASE WHEN c.turn % 4 = 3 THEN NULL ELSE DATE '2024-01-01' + CAST((c.conv_id + c.turn) % 31 AS INT) END AS date_created "
      "FROM conversations c JOIN article_body_last_id b ON b.article_id = c.conv_id + 1 "
-     "JOIN (SELECT 0 AS off UNION ALL SELECT 5000000 AS off) k ON k.off = 0 OR (c.turn = 0 AND c.conv_id % 9 = 0)"),
+     "JOIN (SELECT 0 AS off UNION ALL SELECT 17592186044416 AS off) k ON k.off = 0 OR (c.turn = 0 AND c.conv_id % 9 = 0)"),
     ("analyzer1_result",
      "SELECT c.id * 3 + s AS id, c.id AS comment_id, c.id AS analyzer_log_id, s AS sub_id, "
      "((c.id * 7919 + s * 100) % 2001) / 1000.0e0 - 1.0e0 AS sentiment_value, "
@@ -61,9 +61,9 @@ _CTES: list[tuple[str, str]] = [
     ("udf_values",
      "SELECT 2 AS udf_id, 1 AS object_type, id AS object_id, concat('Topic-', CAST(article_id % 12 AS VARCHAR)) AS udf_value FROM article_body "
      "UNION ALL SELECT 2, 1, id, concat('Lang-', CAST(id % 5 AS VARCHAR)) FROM article_body "
-     "UNION ALL SELECT 4, 1, CASE WHEN id % 29 = 0 THEN id + 10000000 ELSE id END, "
+     "UNION ALL SELECT 4, 1, CASE WHEN id % 29 = 0 THEN id + 35184372088832 ELSE id END, "
      "CASE WHEN id % 37 = 0 THEN '11.01.2024' ELSE concat(CAST(CAST(proc_timestamp AS DATE) AS VARCHAR), 'T08:00:00') END FROM article_body "
-     "UNION ALL SELECT 4, 2, CASE WHEN id % 23 = 0 THEN id + 10000000 ELSE id END, "
+     "UNION ALL SELECT 4, 2, CASE WHEN id % 23 = 0 THEN id + 35184372088832 ELSE id END, "
      "concat(CAST(CAST(proc_timestamp AS DATE) AS VARCHAR), ' 10:00') FROM comment WHERE id % 2 = 0 "
      "UNION ALL SELECT 3, 1, id, concat('author-', CAST(id % 17 AS VARCHAR)) FROM article_body "
      "UNION ALL SELECT 7, 1, id, CAST(CAST(proc_timestamp AS DATE) AS VARCHAR) FROM article_body "

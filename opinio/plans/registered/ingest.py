@@ -27,6 +27,8 @@ URL_RE = I.URL_PATTERN
 EXT_ID = ("CAST((CAST(('0x' || substr(md5({k}), 1, 16)) AS UBIGINT)::HUGEINT - CASE WHEN "
           "CAST(('0x' || substr(md5({k}), 1, 16)) AS UBIGINT) >= 9223372036854775808 "
           "THEN 18446744073709551616 ELSE 0 END) AS BIGINT)")
+#: Offsets of stand-in positions, beyond any id of the given tables.
+AGAIN, STORED = 1 << 44, 1 << 45
 UDF_KEYS = ["headline", "label", "author", "replies", "date_created"]
 
 
@@ -37,24 +39,24 @@ def incoming_headers(m: NewsModel) -> DataFrame:
     first = p.select(pid.alias("pos"), "url", (pid % 4).cast("int").alias("source_id"),
                      F.when(pid % 6 == 0, F.lit(None).cast("boolean")).otherwise(pid % 9 == 0).alias("obsolete"),
                      F.date_add(date_lit("2024-01-01"), (pid % 40).cast("int")).alias("source_date"))
-    again = p.filter(pid % 3 == 0).select((pid + 100000).alias("pos"), "url",
+    again = p.filter(pid % 3 == 0).select((pid + F.lit(AGAIN)).alias("pos"), "url",
                                           ((pid + 1) % 3 + 1).cast("int").alias("source_id"),
                                           F.lit(False).alias("obsolete"),
                                           F.date_add(date_lit("2024-01-01"), (pid % 40).cast("int")).alias("source_date"))
     stored = (m.article_header.filter(F.col("id") % 5 == 0)
-              .select((F.col("id") + 1000000).alias("pos"), "url", "source_id", "obsolete", "source_date"))
+              .select((F.col("id") + F.lit(STORED)).alias("pos"), "url", "source_id", "obsolete", "source_date"))
     return first.unionByName(again).unionByName(stored)
 
 
-register_cte("incoming_headers", """
+register_cte("incoming_headers", f"""
 SELECT page_id AS pos, url, CAST(page_id % 4 AS INT) AS source_id,
        CASE WHEN page_id % 6 = 0 THEN NULL ELSE page_id % 9 = 0 END AS obsolete,
        DATE '2024-01-01' + CAST(page_id % 40 AS INT) AS source_date FROM pages
 UNION ALL
-SELECT page_id + 100000, url, CAST((page_id + 1) % 3 + 1 AS INT), false, DATE '2024-01-01' + CAST(page_id % 40 AS INT)
+SELECT page_id + {AGAIN}, url, CAST((page_id + 1) % 3 + 1 AS INT), false, DATE '2024-01-01' + CAST(page_id % 40 AS INT)
 FROM pages WHERE page_id % 3 = 0
 UNION ALL
-SELECT id + 1000000, url, source_id, obsolete, source_date FROM article_header WHERE id % 5 = 0""")
+SELECT id + {STORED}, url, source_id, obsolete, source_date FROM article_header WHERE id % 5 = 0""")
 
 
 def incoming_bodies(m: NewsModel) -> DataFrame:
@@ -219,12 +221,11 @@ def q_body_version_diff(spark, sf):
 
 @query("body_upsert", f"""
 WITH d AS ({_DIFF})
-SELECT ab.id, ab.article_id, ab.headline, ab.body, ab.proc_timestamp,
-       coalesce(u.new_counter, ab.proc_counter) AS proc_counter
-FROM article_body ab LEFT JOIN (SELECT old_id, new_counter FROM d WHERE NOT "insert") u ON u.old_id = ab.id
+SELECT 'update' AS op, old_id AS id, article_id, CAST(NULL AS VARCHAR) AS headline, CAST(NULL AS VARCHAR) AS body,
+       CAST(NULL AS TIMESTAMP) AS proc_timestamp, new_counter AS proc_counter FROM d WHERE NOT "insert"
 UNION ALL
-SELECT (SELECT coalesce(max(id), 0) FROM article_body) + row_number() OVER (ORDER BY article_id) AS id,
-       article_id, headline, body, proc_timestamp, new_counter AS proc_counter FROM d WHERE "insert" """)
+SELECT 'insert', (SELECT coalesce(max(id), 0) FROM article_body) + row_number() OVER (ORDER BY article_id),
+       article_id, headline, body, proc_timestamp, new_counter FROM d WHERE "insert" """)
 def q_body_upsert(spark, sf):
     m = _m(spark, sf)
     return I.body_upsert(m.article_body, _diff(m))
@@ -449,12 +450,59 @@ def comment_tree_pages(m: NewsModel) -> DataFrame:
             .select("url", tree.alias("tree")))
 
 
-@query("flatten_comment_tree")
+def _tree_items_sql(body: str) -> str:
+    """The comments of the stand-in trees with their external ids; items without a user are not kept."""
+    ext = EXT_ID.format(k='concat(url, "user", body)')
+    return f"""
+item AS (SELECT c.conv_id, c.turn, h.url, {body} AS body,
+                CASE WHEN c.conv_id % 10 = 0 AND c.turn % 2 = 1 THEN NULL ELSE c.role END AS "user",
+                strftime(TIMESTAMP '2024-01-10 00:00:00' + c.turn * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') AS created_at
+         FROM conversations c JOIN article_header h ON h.id = c.conv_id + 1),
+kept AS (SELECT *, {ext} AS external_id FROM item WHERE "user" IS NOT NULL AND body IS NOT NULL)"""
+
+
+def _tree_sql(body: str, levels: int) -> str:
+    """Trees of ``levels`` consecutive turns: a comment is listed if its whole chain was kept."""
+    return f"""
+WITH RECURSIVE {_tree_items_sql(body)},
+listed AS (SELECT kept.*, 0 AS level, CAST(NULL AS BIGINT) AS parent_external_id FROM kept WHERE turn % {levels} = 0
+           UNION ALL SELECT kept.*, listed.level + 1, listed.external_id
+           FROM listed JOIN kept ON kept.conv_id = listed.conv_id AND kept.turn = listed.turn + 1
+           WHERE kept.turn % {levels} <> 0)
+SELECT url, external_id, parent_external_id, level, body, "user", created_at FROM listed"""
+
+
+@query("flatten_comment_tree", _tree_sql("c.text", 3))
 def q_flatten_comment_tree(spark, sf):
-    """Arbitrary-depth flattening of nested comment pages (rows-only)."""
+    """Arbitrary-depth flattening of nested comment pages."""
     return CT.flatten_comment_tree(comment_tree_pages(_m(spark, sf)))
 
 
+def titled_comment_pages(m: NewsModel) -> DataFrame:
+    """Stand-in comment pages of outlet 3: items with title and plain author;
+    a comment (even turn) and its reply (the next turn)."""
+    def item(p: str) -> DataFrame:
+        c = m.table("conversations")
+        named = F.when((F.col("conv_id") % 10 != 0) | (F.col("turn") % 2 != 1), F.col("role"))
+        created = F.timestamp_add("HOUR", F.col("turn").cast("int"), ts_ntz("2024-01-10 00:00:00"))
+        return c.select(F.col("conv_id").alias(f"{p}conv"), F.col("turn").alias(f"{p}turn"), F.struct(
+            F.concat(F.lit("Re: "), "role").alias("title"), F.col("text").alias("body"), named.alias("author"),
+            F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss").alias("created_at")).alias(f"{p}item"))
+    a, b = item("a_").filter("a_turn % 2 = 0"), item("b_").filter("b_turn % 2 = 1")
+    j = a.join(b, (F.col("b_conv") == F.col("a_conv")) & (F.col("b_turn") == F.col("a_turn") + 1), "left")
+    replies = F.array_compact(F.array("b_item")).alias("replies")
+    ah = m.article_header.select(F.col("id").alias("article_id"), "url")
+    return (j.join(ah, F.col("a_conv") + 1 == F.col("article_id"), "inner")
+            .select("url", F.to_json(F.array(F.struct("a_item.*", replies))).alias("tree")))
+
+
+@query("flatten_titled_comments", _tree_sql("'Re: ' || c.role || ' ' || c.text", 2))
+def q_flatten_titled_comments(spark, sf):
+    """C1 for outlet 3: title and author are required, the title leads the body."""
+    return CT.flatten_comment_tree(titled_comment_pages(_m(spark, sf)), required=CT.REQUIRED_FIELDS_FAZ,
+                                   title_in_body=True)
+
+
 @query("comment_date_window", """
 SELECT object_id, udf_value AS created_at FROM udf_values
 WHERE object_type = 1 AND udf_id = 4 AND substring(udf_value, 1, 10) >= '2024-01-05'

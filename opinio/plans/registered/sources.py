@@ -36,7 +36,7 @@ _CLEAN = ("regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>',
 @query("page_article_extract", f"""
 WITH c AS (SELECT page_id, html, {_CLEAN} AS clean FROM pages),
 a AS (SELECT page_id, html, clean, regexp_extract(clean, '(?s)<article[^>]*>(.*)</article>', 1) AS article FROM c),
-p AS (SELECT *, list_slice(string_split_regex(article, '<p[ >]'), 2, 1048576) AS ps FROM a),
+p AS (SELECT *, (string_split_regex(article, '<p[ >]'))[2:] AS ps FROM a),
 k AS (SELECT *, list_slice(ps, 1, coalesce(list_max(list_transform(range(1, greatest(len(ps), 1) + 1),
         lambda i: CASE WHEN NOT contains(coalesce(ps[i], ''), '<em') THEN i ELSE 0 END)), 0)) AS kept FROM p),
 t AS (SELECT *, list_filter(list_transform(kept, lambda x: {_strip_sql('x')}), lambda y: y <> '') AS texts FROM k)
@@ -98,8 +98,10 @@ def q_paged_comment_merge(spark, sf):
 
 
 @query("paid_filter", """
-SELECT pos, url, source_id FROM incoming_headers
-WHERE NOT ((source_id = 2 AND contains(url, '/plus')) OR (source_id = 3 AND contains(url, '/premiumContent')))""")
+SELECT pos, url, source_id, source_id = 1 AND pos % 5 = 0 AS is_paid FROM incoming_headers
+WHERE NOT CASE source_id WHEN 1 THEN pos % 5 = 0 WHEN 2 THEN contains(url, '/plus')
+               WHEN 3 THEN contains(url, '/premiumContent') ELSE false END""")
 def q_paid_filter(spark, sf):
+    """F8: outlet 1 sends a flag (stand-in: every fifth position), the others mark the url."""
     h = incoming_headers(_m(spark, sf)).select("pos", "url", "source_id")
-    return PG.paid_filter(h, flag_col=None)
+    return PG.paid_filter(h.withColumn("is_paid", (F.col("source_id") == 1) & (F.col("pos") % 5 == 0)))

@@ -18,7 +18,7 @@ from opinio.operators import sentiment as S
 from opinio.operators import topics as TP
 from opinio.plans.marts import article_body_last
 from opinio.plans.registry import query
-from opinio.session import broadcast_if_small, checkpoint_dir
+from opinio.session import checkpoint_dir, write_once
 from opinio.sources.news_model import NewsModel
 
 LEX_SQL = "(SELECT * FROM (VALUES " + ", ".join(
@@ -79,14 +79,6 @@ def q_token_chunks(spark, sf):
     return S.token_chunks(documents(_m(spark, sf))).select("doc_id", "chunk", "n_tokens")
 
 
-@query("model_scores")
-def q_model_scores(spark, sf):
-    """Chunked texts -> stand-in model heads -> per-text combination
-    -> ensemble (rows-only: the stand-in scorer hashes tokens with Spark's
-    xxhash64, which the oracle engine does not offer)."""
-    return S.model_scores(S.token_chunks(documents(_m(spark, sf))))
-
-
 def _logits(m: NewsModel) -> DataFrame:
     e = m.table("embeddings").select("vec_id", "label", "embedding")
     l5 = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 10)
@@ -169,6 +161,40 @@ def q_ensemble_sentiment(spark, sf):
                     F.round("v2", 9).alias("m2_value"), F.round("e2", 9).alias("m2_error"))
 
 
+def _head_sql(name: str) -> str:
+    """The logits of a hashed head of one chunk (an aggregate over its tokens' bits)."""
+    n = S.HASHED_HEADS[name][0]
+    return "[" + ", ".join(f"sum((({name} >> {12 * k}) & 4095) % 2001 - 1000) / 1000.0e0 / count(*)" for k in range(n)) + "]"
+
+
+def _combined_sql(i: int, head: str) -> str:
+    """Inverse-variance mean of a head over the chunks of a text; zero errors win."""
+    v, e = f"{head}_value", f"{head}_error"
+    zero = f"count(*) FILTER ({e} = 0) > 0"
+    return (f"CASE WHEN {zero} THEN avg({v}) FILTER ({e} = 0) ELSE sum({v} / ({e} * {e})) / sum(1 / ({e} * {e})) END AS v{i}, "
+            f"CASE WHEN {zero} THEN 0.0e0 ELSE sqrt(1 / sum(1 / ({e} * {e}))) END AS e{i}")
+
+
+@query("model_scores", """
+WITH t AS (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS tk FROM documents),
+tok AS (SELECT doc_id, md5(unnest(tk)) AS h, (generate_subscripts(tk, 1) - 1) // 512 AS chunk FROM t),
+""" + "bits AS (SELECT doc_id, chunk, " + ", ".join(
+    f"CAST(CAST(('0x' || substr(h, {first}, {3 * n})) AS UBIGINT) AS BIGINT) AS {name}"
+    for name, (n, first) in S.HASHED_HEADS.items()) + " FROM tok),\n" + f"""
+lg AS (SELECT doc_id, chunk, {_head_sql("l5")} AS l5, {_head_sql("l3")} AS l3 FROM bits GROUP BY doc_id, chunk),
+lg2 AS (SELECT *, [l3[1], l3[3], l3[2]] AS l3s FROM lg),
+v AS (SELECT doc_id, {_vals_sql()} FROM lg2),
+m AS (SELECT doc_id, {_combined_sql(1, "stars5")}, {_combined_sql(2, "pos_neg_neu3")} FROM v GROUP BY doc_id)
+SELECT doc_id, round((v1 / (e1 * e1) + v2 / (e2 * e2)) / (1 / (e1 * e1) + 1 / (e2 * e2)), 9) AS ens_value,
+       round(sqrt(1 / (1 / (e1 * e1) + 1 / (e2 * e2))), 9) AS ens_error,
+       round(v1, 9) AS m1_value, round(e1, 9) AS m1_error, round(v2, 9) AS m2_value, round(e2, 9) AS m2_error
+FROM m""")
+def q_model_scores(spark, sf):
+    """Chunked texts -> stand-in model heads -> per-text combination
+    -> ensemble."""
+    return S.model_scores(S.token_chunks(documents(_m(spark, sf))))
+
+
 # ---- N6-N8 topics -------------------------------------------------------------------
 def topic_texts(m: NewsModel) -> DataFrame:
     """Latest non-empty body per article, headline + ' ' + body."""
@@ -270,16 +296,23 @@ def q_centroid_distance(spark, sf):
 
 # ---- J10 / N2 vector matching -----------------------------------------------------------
 def vector_lexicon(m: NewsModel) -> DataFrame:
-    """Lexicon vectors: embeddings with label <= 2, score = label - 1."""
-    e = m.table("embeddings").filter(F.col("label") <= 2)
-    return e.select(F.col("vec_id").alias("lex_id"), F.col("embedding").alias("vec"),
-                    (F.col("label") - 1).cast("double").alias("score"))
-
-
-_NN_SQL = """
-lexv AS (SELECT vec_id AS lex_id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label - 1 AS DOUBLE) AS score
-         FROM embeddings WHERE label <= 2),
-nn AS (SELECT q.{qid} AS qid, l.lex_id, 1 - list_cosine_similarity(q.vec, l.vec) AS distance, l.score,
+    """Vectors of the lexicon's words (a fixed list, whatever the size of
+    ``embeddings``), looked up like the words of texts; where words share a
+    vector, the first of them counts."""
+    words = m.spark.createDataFrame([(i, w, s) for i, (w, s, _) in enumerate(S.STAND_IN_LEXICON)],
+                                    "lex_id long, word string, score double")
+    found = TP.hashed_vector_lookup(words, vectors(m))
+    return (found.groupBy("vec").agg(F.min(F.struct("lex_id", "score")).alias("e"))
+            .select("e.lex_id", "vec", "e.score"))
+
+
+_LEXW_SQL = ("(VALUES " + ", ".join(f"({i}, '{w}', {s}e0)" for i, (w, s, _) in enumerate(S.STAND_IN_LEXICON))
+             + ") w(lex_id, word, score)")
+_NN_SQL = f"""
+lexv AS (SELECT CAST(w.lex_id AS BIGINT) AS lex_id, CAST(e.embedding AS DOUBLE[]) AS vec, CAST(w.score AS DOUBLE) AS score
+         FROM {_LEXW_SQL} JOIN embeddings e ON e.vec_id = {_BUCKET_SQL.format(w="w.word")}
+         QUALIFY row_number() OVER (PARTITION BY e.embedding ORDER BY w.lex_id) = 1),
+""" + """nn AS (SELECT q.{qid} AS qid, l.lex_id, 1 - list_cosine_similarity(q.vec, l.vec) AS distance, l.score,
               row_number() OVER (PARTITION BY q.{qid} ORDER BY 1 - list_cosine_similarity(q.vec, l.vec), l.lex_id) AS rn
        FROM {queries} q, lexv l)"""
 
@@ -302,18 +335,17 @@ def vector_lexicon_sentiment(texts: DataFrame, vecs: DataFrame, lex: DataFrame,
     (0, 1) without a match. ``n_words`` counts the non-stop tokens."""
     from opinio.functions.strings import clean_tokens
     tok = (texts.select("id", F.explode(clean_tokens(F.col("text"))).alias("word"))
-           .join(broadcast_if_small(stopwords.select("word").distinct()), "word", "left_anti"))
-    n_words = tok.groupBy("id").agg(F.count(F.lit(1)).alias("n_words"))
+           .join(write_once(stopwords.select("word").distinct(), "stopwords"), "word", "left_anti"))
     n = vecs.agg(F.count(F.lit(1))).scalar()
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("word")), 1, 15), 16, 10).cast("bigint"), n)
     tb = tok.withColumn("bucket", bucket)
     qv = (vecs.select(F.col("vec_id").alias("bucket"), F.col("embedding").alias("vec"))
           .join(tb.select("bucket").distinct(), "bucket", "left_semi"))
     nn = S.nearest_lexicon(qv, lex, "bucket", "vec").filter(F.col("distance") <= S.MATCH_DISTANCE)
-    hits = tb.join(nn.select("bucket", "score"), "bucket", "inner")
-    agg = hits.groupBy("id").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"),
-                                 F.count(F.lit(1)).alias("hits"))
-    base = texts.select("id").join(n_words, "id", "left").join(agg, "id", "left")
+    scored = tb.join(nn.select("bucket", "score"), "bucket", "left")
+    agg = scored.groupBy("id").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"),
+                                   F.count("score").alias("hits"), F.count(F.lit(1)).alias("n_words"))
+    base = texts.select("id").join(agg, "id", "left")
     return base.select("id", F.coalesce(F.round("m", 9), F.lit(0.0)).alias("value"),
                        F.coalesce(F.round("sd", 9), F.lit(1.0)).alias("error"),
                        F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
@@ -420,7 +452,7 @@ def posts_and_annotations(m: NewsModel) -> tuple[DataFrame, DataFrame]:
     d = m.table("documents").select("doc_id", "text")
     head = F.split_part("text", F.lit("\n"), F.lit(1))
     posts = d.select(F.col("doc_id").alias("id"), head.alias("headline"),
-                     F.substring("text", F.length(head) + 2, 1 << 30).alias("body"))
+                     F.substr("text", F.length(head) + 2).alias("body"))
     lab = m.table("labels")
     cat = (F.when(F.col("toxic") == 1, "SentimentNegative").when(F.col("quality") == 1, "SentimentPositive")
            .otherwise("SentimentNeutral"))
@@ -502,14 +534,17 @@ def q_class_balance(spark, sf):
     return K.class_balance(keyed_samples(_m(spark, sf)))
 
 
-@query("one_hot_split", f"""WITH {_BALANCE_SQL}
+_ONE_HOT_SQL = f"""WITH {_BALANCE_SQL}
 SELECT key, label, text,
        [CASE WHEN label = -1 THEN 1.0e0 ELSE 0.0e0 END, CASE WHEN label = 0 THEN 1.0e0 ELSE 0.0e0 END,
         CASE WHEN label = 1 THEN 1.0e0 ELSE 0.0e0 END] AS labels,
        row_number() OVER (ORDER BY md5(text), key) - 1 AS position,
        CASE WHEN (row_number() OVER (ORDER BY md5(text), key) - 1) % 10 = 0 THEN 'test'
             WHEN (row_number() OVER (ORDER BY md5(text), key) - 1) % 10 = 1 THEN 'val' ELSE 'train' END AS split
-FROM balanced""")
+FROM balanced"""
+
+
+@query("one_hot_split", _ONE_HOT_SQL)
 def q_one_hot_split(spark, sf):
     return K.one_hot_split(K.class_balance(keyed_samples(_m(spark, sf))))
 
@@ -578,16 +613,18 @@ def q_train_classifier(spark, sf):
     return K.train_classifier(data)
 
 
-@query("dataset_sink_roundtrip")
+@query("dataset_sink_roundtrip", f"SELECT labels, text AS text_input, split FROM ({_ONE_HOT_SQL}) o")
 def q_dataset_sink_roundtrip(spark, sf):
-    """JSON datasets per split written and read back (rows-only)."""
+    """JSON datasets per split written and read back."""
     data = K.one_hot_split(K.class_balance(keyed_samples(_m(spark, sf))))
     return K.dataset_sink_roundtrip(data)
 
 
-@query("annotated_csv_filter")
+@query("annotated_csv_filter", f"""WITH {_SAMPLES_SQL}
+SELECT CAST(id AS VARCHAR) AS c0, CAST(sample_no AS VARCHAR) AS c1, text, '1' AS flag, CAST(NULL AS VARCHAR) AS extra
+FROM samples WHERE label = 1 AND sample_no = 0""")
 def q_annotated_csv_filter(spark, sf):
-    """S7: '|'-quoted annotated CSV round trip and row filter (rows-only)."""
+    """S7: '|'-quoted annotated CSV round trip and row filter."""
     s = keyed_samples(_m(spark, sf))
     rows = s.select(F.col("id").cast("string").alias("c0"), F.col("sample_no").cast("string").alias("c1"),
                     "text", F.when(F.col("label") == 1, "1").otherwise("0").alias("flag"),
@@ -635,11 +672,15 @@ def q_lexicon_parse(spark, sf):
     return parse_lexicon(read_lexicon_files(spark, paths))
 
 
-@query("stopword_scan")
+@query("stopword_scan", f"""
+WITH texts AS (SELECT doc_id AS id, text FROM documents), {_common_sql('texts', TP.COMMON_WORDS)},
+read_word AS (SELECT CASE WHEN length(word) % 7 = 0 THEN replace(upper(word), 'ß', 'SS') ELSE word END AS w FROM cw)
+SELECT DISTINCT {clean_sql('w')} AS word FROM read_word""")
 def q_stopword_scan(spark, sf):
     """A common-words CSV (two comment lines, 'number,word,translation'
-    rows, an empty word, lines with '.' instead of the first comma) built
-    from the corpus's most common words, read back (rows-only)."""
+    rows, an empty word, lines with '.' instead of the first comma, whose
+    second column is the translation) built from the corpus's most common
+    words, read back."""
     import uuid
     from opinio.session import scratch_path
     texts = documents(_m(spark, sf)).withColumnRenamed("doc_id", "id")

@@ -78,7 +78,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_once(df, name: str):
     """Write ``df`` below the shared checkpoint folder and read it back, for jobs
-    that read one result in several branches."""
+    that read one result in several branches, and for dimensions: of a written
+    table the planner knows the bytes, so it broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -103,17 +105,6 @@ def ensure_parallelism(df, *key_cols: str):
     return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
 
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast hint only for a side whose row count is checked to be small
-    (one count job on a dimension-sized input); larger inputs are left to
-    the planner (shuffle join, AQE may still convert at run time)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def sizing_conf(input_bytes: int, cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
     """Shuffle / split settings for a job over ``input_bytes`` on ``cores``
     executor cores: enough shuffle partitions that each holds about

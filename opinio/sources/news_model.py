@@ -44,6 +44,10 @@ NLP_MODELS = [(1, "Ensemble"), (2, "Multilanguage Bert"), (3, "German Bert")]
 TOPIC_DETECTORS = [(1, "generic")]
 
 BASE_DATE = "2024-01-01"
+# Offsets of the stand-in ids of copied comments and of missing objects, beyond
+# any id that the given tables lead to.
+COPY_IDS = 1 << 44
+ORPHAN_IDS = 1 << 45
 COMMENT_TS = "2024-01-31 00:00:00"
 
 
@@ -183,7 +187,7 @@ class NewsModel:
     def comment(self) -> DataFrame:
         c = self.table("conversations")
         conv, turn, off = F.col("conv_id"), F.col("turn"), F.col("off")
-        base = (c.withColumn("off", F.explode(F.array(F.lit(0), F.lit(5000000))))
+        base = (c.withColumn("off", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(COPY_IDS))))
                  .filter((off == 0) | ((turn == 0) & (conv % 9 == 0)))
                  .withColumn("article_id", conv + 1))
         last = self.article_body_last_id
@@ -265,10 +269,10 @@ class NewsModel:
         parts = [
             part(b, 2, 1, bid, F.concat(F.lit("Topic-"), (F.col("article_id") % 12).cast("string"))),
             part(b, 2, 1, bid, F.concat(F.lit("Lang-"), (bid % 5).cast("string"))),
-            part(b, 4, 1, F.when(bid % 29 == 0, bid + 10000000).otherwise(bid),
+            part(b, 4, 1, F.when(bid % 29 == 0, bid + F.lit(ORPHAN_IDS)).otherwise(bid),
                  F.when(bid % 37 == 0, F.lit("11.01.2024"))
                   .otherwise(F.concat(day, F.lit("T08:00:00")))),
-            part(cm, 4, 2, F.when(bid % 23 == 0, bid + 10000000).otherwise(bid),
+            part(cm, 4, 2, F.when(bid % 23 == 0, bid + F.lit(ORPHAN_IDS)).otherwise(bid),
                  F.concat(day, F.lit(" 10:00"))),
             part(b, 3, 1, bid, F.concat(F.lit("author-"), (bid % 17).cast("string"))),
             part(b, 7, 1, bid, day),

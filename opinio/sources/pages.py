@@ -9,7 +9,7 @@ parser library, no driver round trip.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.session import ensure_parallelism
@@ -20,6 +20,12 @@ PAID_MARKERS = {2: "/plus", 3: "/premiumContent"}
 COMMENT_PAGE_SIZE = 20   # comment pages hold 20 top-level items
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
+# Structured data of article pages, and the markup of comment pages.
+LD_JSON = r"""(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>"""
+COMMENT_ITEM = r"""<li[^>]*lst-Comments_Item-level([12])[^>]*>"""
+_COMMENT_FIELDS = {"title": ("p", "lst-Comments_CommentTitle"), "body": ("p", "lst-Comments_CommentText"),
+                   "author": ("span", "lst-Comments_CommentInfoNameText"),
+                   "created_at": ("span", "lst-Comments_CommentInfoDateText")}
 LINK_PATTERN = r"""<a\s[^>]*href="([^"]*)\""""
 
 
@@ -54,21 +60,29 @@ def drop_trailing_em(paragraphs: Column) -> Column:
 
 
 def page_article_extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Language, title, headline (h1) and body text of an article page.
-    Script and style blocks are removed first (they may contain markup-like
-    text); the body is the text of the <p> blocks inside <article>, trailing
-    <em> blocks removed, joined by newlines."""
+    """Language, title, headline and body text of an article page. The
+    first structured-data block (ld+json) with an ``articleBody`` gives
+    headline and body. Without one, script and style blocks are removed (they
+    may contain markup-like text), the headline is the h1 and the body stands
+    inside <article>. The body is the text of its <p> blocks (an embedded body
+    without any is one block), trailing <em> blocks removed, joined by
+    newlines. Malformed structured data counts as none."""
     pages = ensure_parallelism(pages, id_col)
     clean = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?s)<script[^>]*>.*?</script>", ""),
                              r"(?s)<style[^>]*>.*?</style>", "")
-    article = F.regexp_extract(clean, r"(?s)<article[^>]*>(.*)</article>", 1)
-    paras = drop_trailing_em(F.slice(F.split(article, "<p[ >]"), 2, 1 << 20))
+    blocks = F.filter(F.regexp_extract_all(F.col(html_col), F.lit(LD_JSON), 1),
+                      lambda b: F.get_json_object(b, "$.articleBody").isNotNull())
+    embedded = F.get_json_object(F.get(blocks, 0), "$.articleBody")
+    article = F.coalesce(embedded, F.regexp_extract(clean, r"(?s)<article[^>]*>(.*)</article>", 1))
+    after = F.filter(F.split(article, "<p[ >]"), lambda p, i: i > 0)
+    paras = drop_trailing_em(F.when(embedded.isNotNull() & (F.size(after) == 0), F.array(embedded)).otherwise(after))
     texts = F.filter(F.transform(paras, lambda p: strip_tags(p)), lambda t: t != "")
     return pages.select(
         F.col(id_col),
         F.regexp_extract(F.col(html_col), r"<html[^>]*\slang=\"([^\"]*)\"", 1).alias("lang"),
         strip_tags(F.regexp_extract(clean, r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        strip_tags(F.regexp_extract(clean, r"(?s)<h1[^>]*>(.*?)</h1>", 1)).alias("headline"),
+        strip_tags(F.coalesce(F.get_json_object(F.get(blocks, 0), "$.headline"),
+                              F.regexp_extract(clean, r"(?s)<h1[^>]*>(.*?)</h1>", 1))).alias("headline"),
         F.array_join(texts, "\n").alias("body"),
         F.size(texts).alias("n_paragraphs"))
 
@@ -81,6 +95,29 @@ def german_datetime(raw: Column) -> Column:
                   F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), parts.getItem(1)))
 
 
+def comment_page_items(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The comments of stored comment pages, one row each: (id_col, pos,
+    level 0 or 1, parent_pos, title, body, author, created_at). A reply's
+    parent is the last first-level item before it; the times are normalised
+    (``german_datetime``); an item lacking a field has NULL there."""
+    html = F.col(html_col)
+    levels = F.regexp_extract_all(html, F.lit(COMMENT_ITEM), 1)
+    parts = F.filter(F.split(html, COMMENT_ITEM), lambda p, i: i > 0)
+    items = pages.select(id_col, F.posexplode(F.arrays_zip(levels.alias("mark"), parts.alias("part"))).alias("pos", "i"))
+    level = (F.col("i.mark").cast("int") - 1).alias("level")
+
+    def field(name: str) -> Column:
+        tag, css = _COMMENT_FIELDS[name]
+        found = F.regexp_extract_all("i.part", F.lit(rf"(?s)<{tag}[^>]*{css}[^>]*>(.*?)</{tag}>"), 1)
+        return strip_tags(F.translate(F.get(found, 0), "\n\t", "  "))
+    flat = items.select(id_col, "pos", level, *[field(n).alias(n) for n in ("title", "body", "author")],
+                        german_datetime(field("created_at")).alias("created_at"))
+    before = Window.partitionBy(id_col).orderBy("pos")   # one page's comments
+    parent = F.when(F.col("level") == 1, F.last(F.when(F.col("level") == 0, F.col("pos")), ignorenulls=True).over(before))
+    return flat.withColumn("parent_pos", parent).select(id_col, "pos", "level", "parent_pos", "title", "body",
+                                                        "author", "created_at")
+
+
 def pages_until_short(items: DataFrame, key_col: str, page_col: str,
                       page_size: int = COMMENT_PAGE_SIZE) -> DataFrame:
     """S12 paging: pages are read in order until the first page with fewer

@@ -45,8 +45,11 @@ def test_version_diff_and_upsert(spark):
     diff = I.body_version_diff(incoming, stored)
     d = {r.article_id: (r.insert, r.new_counter) for r in diff.collect()}
     assert d == {1: (False, 4), 2: (True, 1), 3: (True, 1)}
-    up = {r.id: (r.article_id, r.proc_counter) for r in I.body_upsert(stored, diff).collect()}
-    assert up == {10: (1, 4), 11: (2, 1), 12: (2, 1), 13: (3, 1)}
+    changes = I.body_upsert(stored, diff)
+    rows = {r.id: (r.op, r.article_id, r.body, r.proc_counter) for r in changes.collect()}
+    assert rows == {10: ("update", 1, None, 4), 12: ("insert", 2, "new", 1), 13: ("insert", 3, "b3", 1)}
+    up = {r.id: (r.article_id, r.body, r.proc_counter) for r in I.apply_body_upsert(stored, changes).collect()}
+    assert up == {10: (1, "body", 4), 11: (2, "old", 1), 12: (2, "new", 1), 13: (3, "b3", 1)}
 
 
 def test_validate_comments_removes_nul(spark):

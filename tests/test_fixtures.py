@@ -139,6 +139,65 @@ def test_c1_deep_tree(spark):
     assert got == [(f"d{i}", i) for i in range(6)]
 
 
+def test_c1_titled_tree(spark):
+    """Outlet 3: title and author are required, the title leads the (normalised) body."""
+    from opinio.functions.strings import nfkd
+    tree = ('[{"title":"T","body":"caf\u00e9","author":"a","created_at":"2024-01-01 10:00","replies":'
+            '[{"title":"R","body":"r","author":"b","created_at":"2024-01-01 11:00"}]},'
+            '{"body":"untitled","author":"c","created_at":"2024-01-01 10:00","replies":'
+            '[{"title":"L","body":"lost","author":"d","created_at":"2024-01-01 11:00"}]}]')
+    docs = spark.createDataFrame([("u", tree)], "url string, tree string")
+    rows = {r.body: r for r in CT.flatten_comment_tree(docs, required=CT.REQUIRED_FIELDS_FAZ,
+                                                               title_in_body=True, normalise=nfkd).collect()}
+    assert set(rows) == {"T cafe\u0301", "R r"}
+    want = spark.range(1).select(external_id_of(F.lit("uaT cafe\u0301"))).first()[0]
+    assert rows["T cafe\u0301"].external_id == rows["R r"].parent_external_id == want
+    assert (rows["R r"].user, rows["R r"].level) == ("b", 1)
+
+
+def test_s11_embedded_article(spark):
+    from opinio.sources.pages import page_article_extract
+    ld = '<script type="application/ld+json">{}</script>'
+    pages = [
+        (1, ld.format('{"@type":"WebSite"}') + ld.format(
+            '{"headline":"H","articleBody":"<p>one</p><p>two</p><p><em>ad</em></p>"}') + "<article><p>page</p></article>"),
+        (2, ld.format('{"articleBody":"plain"}') + "<h1>own</h1>"),
+        (3, ld.format("{broken") + "<h1>own</h1><article><p>page</p></article>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {r.page_id: (r.headline, r.body, r.n_paragraphs) for r in page_article_extract(df).collect()}
+    assert got == {1: ("H", "one\ntwo", 2), 2: ("own", "plain", 1), 3: ("own", "page", 1)}
+
+
+def test_s12_comment_page(spark):
+    from opinio.sources.pages import comment_page_items
+
+    def item(level, title, author, date, inner=""):
+        return (f'<li class="js-lst-Comments_Item lst-Comments_Item lst-Comments_Item-level{level}">'
+                f'<p class="js-lst-Comments_CommentTitle lst-Comments_CommentTitle">{title}<br/></p>'
+                f'<span class="lst-Comments_CommentInfoNameText">{author}</span>'
+                f'<span class="lst-Comments_CommentInfoDateText">{date}</span>'
+                f'<p class="lst-Comments_CommentText">text\tof {author}</p>{inner}</li>')
+    html = ("<ul>" + item(1, "A", "x", "11.01.2021 - 09:15", item(2, "B", "y", "12.01.2021 - 10:00"))
+            + item(1, "C", "z", "yesterday") + "</ul>")
+    df = spark.createDataFrame([(7, html), (8, "<p>none</p>"), (9, None)], "page_id long, html string")
+    got = [tuple(r) for r in comment_page_items(df).orderBy("pos").collect()]
+    assert got == [(7, 0, 0, None, "A", "text of x", "x", "2021-01-11 09:15"),
+                   (7, 1, 1, 0, "B", "text of y", "y", "2021-01-12 10:00"),
+                   (7, 2, 0, None, "C", "text of z", "z", None)]
+
+
+def test_s7_csv_keeps_line_breaks(spark):
+    rows = spark.createDataFrame([("1", "0", " a\nb|c, d\n", "1", None), ("2", "0", "x", "0", None), ("3", "0", "y", "1", "z")],
+                                 "c0 string, c1 string, text string, flag string, extra string")
+    assert [r.text for r in K.annotated_csv_filter(rows).collect()] == [" a\nb|c, d\n"]
+
+
+def test_w12_nfkd(spark):
+    from opinio.functions.strings import nfkd
+    df = spark.createDataFrame([("\ufb01\u00e9\u2460",), (None,)], "t string")
+    assert [r[0] for r in df.select(nfkd("t")).collect()] == ["fie\u03011", None]
+
+
 def test_w4_unknown_key_dropped(spark):
     uh = spark.createDataFrame([(1, "headline", "string"), (2, "label", "string")],
                                "id int, udf_name string, udf_type string")

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from opinio.operators import control as C
@@ -64,16 +66,25 @@ def test_todo_excludes_logged(model):
     assert todo.join(logged, "comment_id", "inner").count() == 0
 
 
-def test_nearest_lexicon_blocks_match_single_block(spark):
+def test_nearest_lexicon_brute_force_and_bound(spark):
     rnd = random.Random(5)
     vec = lambda: [rnd.gauss(0, 1) for _ in range(8)]
-    q = spark.createDataFrame([(i, vec()) for i in range(60)], "qid long, vec array<double>")
-    lex = spark.createDataFrame([(i, vec(), float(i % 3)) for i in range(40)],
-                                "lex_id long, vec array<double>, score double")
-    one = {r.qid: (r.lex_id, round(r.distance, 12)) for r in S.nearest_lexicon(q, lex, "qid", "vec").collect()}
-    many = {r.qid: (r.lex_id, round(r.distance, 12))
-            for r in S.nearest_lexicon(q, lex, "qid", "vec", block_bytes=8 * 8 * 7).collect()}
-    assert one == many and len(one) == 60
+    queries = [(i, vec()) for i in range(60)]
+    entries = [(i, vec(), float(i % 3)) for i in range(40)]
+    entries.append((40, entries[7][1], 9.0))   # a tie: the lower id wins
+    queries.append((60, entries[7][1]))
+    q = spark.createDataFrame(queries, "qid long, vec array<double>")
+    lex = spark.createDataFrame(entries, "lex_id long, vec array<double>, score double")
+
+    def distance(a, b):
+        norm = lambda x: sum(v * v for v in x) ** 0.5
+        return 1 - sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b)
+    want = {i: min((round(distance(v, w), 9), j, s) for j, w, s in entries) for i, v in queries}
+    got = {r.qid: (round(r.distance, 9), r.lex_id, r.score) for r in S.nearest_lexicon(q, lex, "qid", "vec").collect()}
+    assert got == want
+    assert S.nearest_lexicon(q, lex.limit(0), "qid", "vec").collect() == []
+    with pytest.raises(ValueError):
+        S.nearest_lexicon(q, lex, "qid", "vec", max_bytes=100)
 
 
 def test_thread_levels_brute_force(spark):
