@@ -10,9 +10,9 @@
 * Pair augmentation (J9): the reference emits every same-label pair whose
   lengths sum below 512. Here ``pair_counts`` counts them exactly from
   per-class length histograms (no pair is materialised) and
-  ``class_balance`` (N13) generates at most as many as bring a class to the
-  size of the largest, in rounds -- output grows with the samples, never with
-  their square.
+  ``class_balance`` (N13) generates as many as bring a class to the size of
+  the largest (or all there are), in rounds -- output grows with the samples,
+  never with their square.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.functions.strings import umlaut_digraphs
-from opinio.operators.ids import dense_ids, running_total
+from opinio.operators.ids import dense_ids
 from opinio.session import checkpoint_dir, ensure_parallelism, scratch_path
 
 # Punctuation tokens removed by the preprocessing, and the
@@ -38,6 +38,8 @@ PHRASE_THRESHOLD = 10.0
 PHRASE_DELIMITER = "_"
 # Pair augmentation keeps pairs shorter than 512 characters.
 PAIR_MAX_LEN = 512
+# An item's rounds are dealt out in pieces of 2 ** 10.
+_ROUND_BITS = 10
 # Texts the reference treats as empty.
 EMPTY_TEXTS = ["", "\n", "\r", "\r\n", "\t", " "]
 
@@ -191,32 +193,73 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return per
 
 
+def _partner_plan(items: DataFrame, need: DataFrame) -> DataFrame:
+    """Per (label, len): ``_reach``, the number of items an item of that length
+    fits with (a prefix of the length order), the last round ``_last`` that is
+    needed to make ``need`` pairs (or the longest possible round) and ``_extra``,
+    the number of pairs taken from it. A length's items lie next to each other, so
+    their partner counts are one run of integers and the pairs of any number
+    of rounds are a sum over at most 512 lengths: ``_last`` is found by bisection."""
+    cum = _cum_lengths(items)
+    reach = cum.select("label", (F.lit(PAIR_MAX_LEN - 1) - F.col("len")).alias("len"), F.col("cum").alias("_reach"))
+    blocks = cum.where("h > 0").join(reach, ["label", "len"])
+    zero = F.lit(0).cast("bigint")
+    most = F.greatest(F.col("_reach") - 1 - (F.col("cum") - F.col("h")), zero)  # partners of the block's first item
+    rest = F.greatest(F.col("_reach") - 1 - F.col("cum"), zero)                 # of the item after the block
+    per = (blocks.groupBy("label").agg(F.collect_list(F.struct(most.alias("most"), rest.alias("rest"))).alias("_b"),
+                                       F.sum("h").cast("bigint").alias("_m"))
+           .join(need.where("need > 0"), "label"))
+
+    def triangle(n: Column, r: Column) -> Column:  # sum of min(u, r) over u = 1..n
+        k = F.least(n, r)
+        return F.shiftright(k * (k + 1), 1) + (n - k) * r
+
+    def pairs(r: Column) -> Column:  # pairs of the rounds 1..r
+        return F.aggregate("_b", zero, lambda s, b: s + triangle(b["most"], r) - triangle(b["rest"], r))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        full = pairs(mid) >= F.col("need")
+        return F.struct(F.when(full, s["lo"]).otherwise(F.least(mid + 1, s["hi"])).alias("lo"),
+                        F.when(full, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(zero.alias("lo"), F.col("_m").alias("hi"))
+    per = per.withColumn("_last", F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, halve)["hi"])
+    per = per.select("label", "_last", (F.col("need") - pairs(F.col("_last") - 1)).alias("_extra"))
+    return blocks.select("label", "len", "_reach").join(per, "label")
+
+
 def class_balance(samples: DataFrame, key_col: str = "key") -> DataFrame:
-    """N13 (re-aimed): keep every original sample and top up each class towards
+    """N13 (re-aimed): keep every original sample and top up each class to
     the size of the largest with generated pair samples, so the output never
     exceeds classes x largest class. Items of a class are sorted by (length,
     md5(text), key); round r pairs item i with item i + r where both fit the
     length limit. Rounds are taken in order, items in order within a round, until
-    the class is full or ``need / items + 1`` rounds are used up. One equi-join
-    on (label, place) makes all rounds; class sizes are one row a class."""
+    the class is full or every pair that fits is used. Item i fits with a prefix
+    of the order, so its number of partners follows from its place and the
+    length histogram (``_partner_plan``) and only pairs that are kept are made,
+    by one equi-join on (label, place)."""
     checkpoint_dir(samples.sparkSession)
     samples = samples.checkpoint(eager=True)
     orig = samples.groupBy("label").agg(F.count(F.lit(1)).alias("n_orig"))
     need = orig.select("label", (orig.agg(F.max("n_orig")).scalar() - F.col("n_orig")).alias("need"))
     items = _pair_items(samples).withColumn("_h", F.md5("text"))
     ranked = dense_ids(items, ["label", "len", "_h", key_col], 0, id_col="_gid")
-    classes = (ranked.groupBy("label").agg(F.min("_gid").alias("_s"), F.count(F.lit(1)).alias("_m"))
-               .join(need, "label").withColumn("_rounds", F.least(F.col("_m") - 1, F.ceil(F.col("need") / F.col("_m")) + 1)))
-    ranked = ranked.join(F.broadcast(classes), "label").withColumn("idx", F.col("_gid") - F.col("_s"))
-    a = (ranked.where("need > 0 and _rounds > 0")
-         .select("label", "idx", "len", "need", F.col("text").alias("text_a"), F.col(key_col).alias("key_a"),
-                 F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rounds"))).alias("r"))
+    first = ranked.groupBy("label").agg(F.min("_gid").alias("_s"))
+    ranked = ranked.join(F.broadcast(first), "label").withColumn("idx", F.col("_gid") - F.col("_s"))
+    # Bounded: at most 512 rows a class.
+    a = ranked.join(F.broadcast(_partner_plan(items, need)), ["label", "len"])
+    fits = F.col("_reach") - 1 - F.col("idx")
+    in_last = (fits >= F.col("_last")) & (F.col("idx") < F.col("_extra"))
+    a = (a.withColumn("_k", F.least(fits, F.col("_last") - 1) + in_last.cast("bigint")).where("_k > 0")
+         .select("label", "idx", "_k", F.col("text").alias("text_a"), F.col(key_col).alias("key_a"),
+                 F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("_k") - 1, _ROUND_BITS))).alias("_c"))
+         .repartition("label", "idx", "_c"))  # an item with many partners is spread over the tasks
+    begin = F.shiftleft(F.col("_c"), _ROUND_BITS)
+    a = (a.withColumn("r", F.explode(F.sequence(begin + 1, F.least(F.col("_k"), begin + (1 << _ROUND_BITS)))))
          .withColumn("idx_b", F.col("idx") + F.col("r")))
-    b = ranked.select("label", F.col("idx").alias("idx_b"), F.col("len").alias("len_b"), F.col("text").alias("text_b"),
-                      F.col(key_col).alias("key_b"))
-    fit = a.join(b, ["label", "idx_b"]).where(F.col("len") + F.col("len_b") < PAIR_MAX_LEN)
-    before = running_total(fit, ["r", "idx"], F.lit(1).cast("bigint"), "n", partition_cols=["label"])
-    generated = before.where(F.col("n") <= F.col("need")).select(
+    b = ranked.select("label", F.col("idx").alias("idx_b"), F.col("text").alias("text_b"), F.col(key_col).alias("key_b"))
+    generated = a.join(b, ["label", "idx_b"]).select(
         "label", F.concat_ws(" ", "text_a", "text_b").alias("text"),
         F.concat(F.lit("g:"), "key_a", F.lit("|"), "key_b").alias(key_col), F.lit("generated").alias("origin"))
     originals = samples.select("label", "text", F.concat(F.lit("o:"), F.col(key_col)).alias(key_col),

@@ -59,3 +59,22 @@ def test_validate_comments_removes_nul(spark):
     got = {r.external_id: (r.body, r.is_valid, r.reasons) for r in I.validate_comments(df).collect()}
     assert got[1] == ("ab", True, [])
     assert got[2][1] is False and set(got[2][2]) == {"body_id_not_positive", "timestamp_missing"}
+
+
+def test_class_balance_uses_every_pair_that_fits(spark):
+    # 5 short and 30 long items of class 1: 10 + 150 pairs fit, most of them far apart in the length order
+    def balance(size):
+        rows = [(0, f"k{i}", "z" * 600) for i in range(35 + size)]
+        rows += [(1, f"s{i}", "s" * (10 + i)) for i in range(5)] + [(1, f"l{i:02}", "l" * (400 + i)) for i in range(30)]
+        got = K.class_balance(spark.createDataFrame(rows, "label int, key string, text string"))
+        made = [r.key[2:].split("|") for r in got.filter("origin = 'generated'").collect()]
+        return made, dict((k, len(t)) for _, k, t in rows)
+
+    for size, expected in ((1, 1), (37, 37), (120, 120), (160, 160), (200, 160)):
+        made, length = balance(size)
+        assert len(made) == len({frozenset(p) for p in made}) == expected
+        assert all(a != b and length[a] + length[b] < 512 for a, b in made)
+    order = sorted((k for k in length if k[0] in "sl"), key=length.get)
+    # rounds in order: 5 pairs a round
+    rounds = [abs(order.index(a) - order.index(b)) for a, b in balance(37)[0]]
+    assert max(rounds) == 8 and [rounds.count(r) for r in range(1, 9)] == [5, 5, 5, 5, 5, 5, 5, 2]
