@@ -320,13 +320,17 @@ def _labels_with_article(m: NewsModel) -> DataFrame:
     return uv.join(ab, uv.object_id == ab.ab_id, "inner").select("article_id", "object_id", "udf_value")
 
 
-def lemma_header(m: NewsModel) -> DataFrame:
-    """Seed lemma table: label lemmas ending in an even digit."""
-    lem = (_labels_with_article(m).select(lemma_key(F.col("udf_value")).alias("lemma")).distinct()
-           .filter(F.substring(F.col("lemma"), -1, 1).isin("0", "2", "4", "6", "8")))
+def label_lemmas(m: NewsModel) -> DataFrame:
+    """All label lemmas (id, lemma)."""
+    lem = _labels_with_article(m).select(lemma_key(F.col("udf_value")).alias("lemma")).distinct()
     return lem.select(lemma_id(F.col("lemma")).alias("id"), "lemma")
 
 
+def lemma_header(m: NewsModel) -> DataFrame:
+    """Lemma table before the run of T9: label lemmas ending in an even digit."""
+    return label_lemmas(m).filter(F.substring(F.col("lemma"), -1, 1).isin("0", "2", "4", "6", "8"))
+
+
 def _topic_results(m: NewsModel, lemmas: DataFrame, watermark: Column | None,
                    as_of: str) -> DataFrame:
     last = m.article_body_last_id
@@ -340,9 +344,14 @@ def _topic_results(m: NewsModel, lemmas: DataFrame, watermark: Column | None,
                     "lemma_id", as_of_date(as_of).alias("run_date")).distinct()
 
 
+def topic_results(m: NewsModel, as_of: str = AS_OF) -> DataFrame:
+    """Topic results of all articles and all lemmas."""
+    return _topic_results(m, label_lemmas(m), None, as_of)
+
+
 def topic_detector_result(m: NewsModel, as_of: str = AS_OF) -> DataFrame:
-    """Stored topic results: label topics of all articles but the newest tenth
-    (by id), which the next run has yet to process."""
+    """Topic results before the run of T9 / T10: label topics of all articles but
+    the newest tenth (by id), which that run has yet to process."""
     t = _topic_results(m, lemma_header(m), None, as_of)
     newest = m.article_body_last_id.agg(F.max("article_id")).scalar()
     return t.filter(F.col("article_header_id") * 10 <= newest * 9)

@@ -371,7 +371,7 @@ def q_cascade_delete(spark, sf):
     m = _m(spark, sf)
     dead = m.article_header.filter("obsolete").select("id")
     left = I.cascade_delete_articles(m.article_header, m.article_body, m.comment,
-                                     C.topic_detector_result(m), dead)
+                                     C.topic_results(m), dead)
     out = None
     for name, df in left.items():
         r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
@@ -398,8 +398,8 @@ def q_fk_violations(spark, sf):
     tables = {"article_body": m.article_body, "article_header": m.article_header, "comment": m.comment,
               "udf_values": m.udf_values, "udf_header": m.udf_header, "analyzer_log": m.analyzer_log,
               "analyzer1_result": m.analyzer1_result, "crawl_log": m.crawl_log,
-              "source_header": m.source_header, "topic_detector_result": C.topic_detector_result(m),
-              "lemma_header": C.lemma_header(m)}
+              "source_header": m.source_header, "topic_detector_result": C.topic_results(m),
+              "lemma_header": C.label_lemmas(m)}
     return I.fk_violations([(n, tables[c], fk, tables[p], pk) for n, c, fk, p, pk in _FKS])
 
 
