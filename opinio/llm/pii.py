@@ -8,7 +8,9 @@ letters and mod 97), phone numbers without a country code, national ids
 (123-45-6789) and numbers near a word that names them.
 
 Matches are leftmost and non-overlapping a kind; one that fails its check is
-dropped, not retried. The patterns are written so that each runs in linear
+dropped, not retried, but for iban: its pattern may run on into the words behind
+the number, so a match is first cut to its country's length, and after one that
+fails the search goes on inside it. The patterns are written so that each runs in linear
 time on whole texts of any length (possessive runs, emails found from the @).
 Offsets are code points, the end exclusive.
 
@@ -46,6 +48,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Fixed: lengths of the IBAN registry by country.
+_IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,6 +110,25 @@ def _named(text: str, kind: str, start: int, end: int) -> bool:
     return not set(CONTEXT[kind]).isdisjoint(w.lower() for w in _WORD.findall(near))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Proposed ibans and whether mod 97 confirms them."""
+    at, failed = 0, 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        places = [i for i in range(start, end) if text[i] != " "]
+        n = _IBAN_LENGTHS.get(text[start:start + 2], 0)
+        ends = [end]
+        if 0 < n < len(places) and places[n] > places[n - 1] + 1:  # a blank follows the country's length
+            ends.insert(0, places[n - 1] + 1)
+        found = next((e for e in ends if mod97(text[start:e])), None)
+        if found is not None:
+            yield start, found, True
+        elif start >= failed:
+            yield start, end, False
+            failed = end
+        at = found or start + 1
+
+
 def proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     """Spans of the added kinds with their scores."""
     for m in _DIGITS.finditer(text):
@@ -109,8 +136,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
             yield "card", *m.span(), 0.2 + 0.2 * luhn(d) + 0.3 * _named(text, "card", *m.span())
     for m in _LOCAL_PHONE.finditer(text):
         yield "phone", *m.span(), 0.3 + 0.3 * _named(text, "phone", *m.span())
-    for m in _IBAN.finditer(text):
-        yield "iban", *m.span(), 0.1 + 0.6 * mod97(m[0]) + 0.2 * _named(text, "iban", *m.span())
+    for start, end, confirmed in _ibans(text):
+        yield "iban", start, end, 0.1 + 0.6 * confirmed + 0.2 * _named(text, "iban", start, end)
     for m in _NATIONAL.finditer(text):
         yield "national_id", *m.span(), 0.3 + 0.4 * _named(text, "national_id", *m.span())
 

@@ -138,6 +138,20 @@ def test_long_runs_take_linear_time():
         pii.find_spans(c * 100_000)
 
 
+def test_iban_before_and_after_other_tokens():
+    spain, belgium = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    for number in (spain, belgium, spain.replace(" ", ""), "DE89 3704 0044 0532 0130 00"):
+        for tail in ("", " BIC", " 2024", " BANK", " BANKING 12", f" {spain}", f" {belgium} X1"):
+            for head in ("", "REF ", "AB13 ", "AB13 CD34 "):
+                text, at = head + number + tail, len(head)
+                spans = pii.find_spans(text)[1]
+                assert ("iban", at, at + len(number)) in spans, text
+                assert number not in pii.masked(text, spans)
+                assert sum(k == "iban" for k, _, _ in spans) == 1 + (spain in tail or belgium in tail)
+    assert pii.find_spans(spain.replace("91", "92") + " BIC")[1] == []
+    assert pii.find_spans("ES9121000418450200051332Y")[1] == []
+
+
 def test_pii_edges_and_masking(spark):
     rows = [*EDGE, (10, "ask a@b.co or 10.0.0.1"), (11, "é 4111111111111111 x"), (11, "é 4111111111111111 x")]
     found = pii.find_pii(docs(spark, rows, extra=True).drop("pii")).collect()
