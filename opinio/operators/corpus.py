@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions.strings import umlaut_digraphs
 from opinio.operators.ids import dense_ids
-from opinio.session import checkpoint_dir, ensure_parallelism, scratch_path
+from opinio.session import checkpoint_dir, ensure_parallelism, scratch_path, write_once
 
 # Punctuation tokens removed by the preprocessing, and the
 # characters stripped from the remaining tokens.
@@ -70,8 +70,10 @@ def corpus_preprocess(lines: DataFrame, key_cols: list[str], text_col: str = "te
                                                       .replace(")", "\\)") + "]", ""))
     s = s.withColumn("tokens", toks)
     if stopwords is not None:  # an anti-join per token: no list is gathered anywhere
+        if umlauts:
+            stopwords = stopwords.select(umlaut_digraphs(F.col("word")).alias("word"))
         t = s.select(*key_cols, "sentence_no", F.posexplode("tokens").alias("_p", "word"))
-        left = t.join(stopwords.select("word").distinct(), "word", "left_anti")
+        left = t.join(write_once(stopwords.select("word").distinct(), "stopwords"), "word", "left_anti")
         s = (left.groupBy(*key_cols, "sentence_no")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "word"))), lambda x: x["word"]).alias("tokens")))
     kept = s.filter(F.size("tokens") > 1)

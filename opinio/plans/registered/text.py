@@ -397,8 +397,28 @@ corpus AS (SELECT doc_id, line_no, CAST(sentence_no AS INT) AS sentence_no, arra
            FROM tk WHERE len(tokens) > 1)"""
 
 
+def stopword_list(m: NewsModel) -> DataFrame:
+    """A common-words CSV (two comment lines, 'number,word,translation'
+    rows, an empty word, lines with '.' instead of the first comma, whose
+    second column is the translation) built from the corpus's most common
+    words, read back."""
+    import uuid
+    from opinio.session import scratch_path
+    spark = m.spark
+    texts = documents(m).withColumnRenamed("doc_id", "id")
+    cw = TP.common_words(texts, "id", "text", top_n=TP.COMMON_WORDS).filter(F.col("word") != "")
+    rows = cw.select(F.when(F.length("word") % 7 == 0, F.concat(F.lit("0."), F.col("word"), F.lit(","), F.upper("word")))
+                     .otherwise(F.concat(F.lit("0,"), F.col("word"), F.lit(","), F.upper("word"))).alias("value"))
+    head = spark.createDataFrame([("#Source: corpus common words",), ("#Number,German,in English",),
+                                  ('0,,"empty"',)], "value string")
+    path = scratch_path(spark, f"stopwords-{uuid.uuid4().hex}")
+    head.unionByName(rows).write.text(path)
+    return TP.read_stopword_csv(spark, path)
+
+
 def _corpus(m: NewsModel) -> DataFrame:
-    c = K.corpus_preprocess(document_lines(m), ["doc_id", "line_no"], umlauts=True, punctuation=True)
+    c = K.corpus_preprocess(document_lines(m), ["doc_id", "line_no"], umlauts=True, punctuation=True,
+                            stopwords=stopword_list(m))
     return c
 
 
@@ -677,18 +697,4 @@ WITH texts AS (SELECT doc_id AS id, text FROM documents), {_common_sql('texts',
 read_word AS (SELECT CASE WHEN length(word) % 7 = 0 THEN replace(upper(word), 'ß', 'SS') ELSE word END AS w FROM cw)
 SELECT DISTINCT {clean_sql('w')} AS word FROM read_word""")
 def q_stopword_scan(spark, sf):
-    """A common-words CSV (two comment lines, 'number,word,translation'
-    rows, an empty word, lines with '.' instead of the first comma, whose
-    second column is the translation) built from the corpus's most common
-    words, read back."""
-    import uuid
-    from opinio.session import scratch_path
-    texts = documents(_m(spark, sf)).withColumnRenamed("doc_id", "id")
-    cw = TP.common_words(texts, "id", "text", top_n=TP.COMMON_WORDS).filter(F.col("word") != "")
-    rows = cw.select(F.when(F.length("word") % 7 == 0, F.concat(F.lit("0."), F.col("word"), F.lit(","), F.upper("word")))
-                     .otherwise(F.concat(F.lit("0,"), F.col("word"), F.lit(","), F.upper("word"))).alias("value"))
-    head = spark.createDataFrame([("#Source: corpus common words",), ("#Number,German,in English",),
-                                  ('0,,"empty"',)], "value string")
-    path = scratch_path(spark, f"stopwords-{uuid.uuid4().hex}")
-    head.unionByName(rows).write.text(path)
-    return TP.read_stopword_csv(spark, path)
+    return stopword_list(_m(spark, sf))

@@ -78,3 +78,24 @@ def test_class_balance_uses_every_pair_that_fits(spark):
     # rounds in order: 5 pairs a round
     rounds = [abs(order.index(a) - order.index(b)) for a, b in balance(37)[0]]
     assert max(rounds) == 8 and [rounds.count(r) for r in range(1, 9)] == [5, 5, 5, 5, 5, 5, 5, 2]
+
+
+def test_corpus_preprocess_drops_stop_words(spark):
+    lines = spark.createDataFrame([(1, "Die Katze ist für uns da. Ist für alle. Der Hund und der Hund!"), (2, "und da")],
+                                  "doc long, text string")
+    stop = spark.createDataFrame([("ist",), ("für",), ("für",), ("und",), ("der",), ("",)], "word string")
+    out = K.corpus_preprocess(lines, ["doc"], umlauts=True, stopwords=stop)
+    got = [(r.doc, r.sentence_no, r.sentence) for r in out.orderBy("doc", "sentence_no").collect()]
+    # as in the reference: exact match, the list in digraphs as the text, the > 1 word rule afterwards
+    assert got == [(1, 0, "Die Katze uns da"), (1, 1, "Ist alle"), (1, 2, "Der Hund Hund")]
+
+
+def test_registered_corpus_has_no_stop_words(spark):
+    import __spark_entry__ as E
+    from opinio.functions.strings import umlaut_digraphs
+
+    from conftest import SF_SMALL
+    queries = E.queries()
+    stop = {r.w for r in queries["stopword_scan"](spark, SF_SMALL).select(umlaut_digraphs(F.col("word")).alias("w")).collect()}
+    rows = queries["corpus_preprocess"](spark, SF_SMALL).collect()
+    assert rows and all(len(w := r.sentence.split(" ")) > 1 and stop.isdisjoint(w) for r in rows)
