@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinio.llm import arc, bpe, decontam, langid, pii, quality, simhash, token_rollup, topk, urlrep
+from opinio.llm import (arc, bpe, decontam, langid, pieces, pii, quality, simhash, squares, token_rollup, topk, urlrep,
+                        whitening)
 from opinio.llm.common import held_out, is_training
 from opinio.session import scratch_path
 
@@ -32,6 +33,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def piece_model() -> str:
+    """Default place of the piece model: the installed package's file."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs.where(is_training(F.col("doc_id"))))
@@ -132,6 +139,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of about every tenth text, by the id's crc32, the words from a
+    place on repeat the first ``p`` of them; the other texts and null ids stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n, a = F.size("words").cast("bigint"), F.col("a")
+    rows = rows.withColumn("a", F.when(F.size("words") > 0, F.col("g") % n))
+    rows = rows.withColumn("p", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
+    period = F.slice("words", a.cast("int") + 1, F.col("p").cast("int"))
+    tail = F.flatten(F.array_repeat(period, F.ceil((n - a) / F.col("p")).cast("int")))
+    repeated = F.slice(F.concat(F.slice("words", F.lit(1), a.cast("int")), tail), F.lit(1), n.cast("int"))
+    return rows.select("doc_id", F.when(a.isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = squares.find_runs(planted_repeats(_read(spark, sf_dir, "documents")))
+    runs = F.col("repeats.runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform(runs, lambda r: F.concat(
+        F.concat_ws(",", *(r[name].cast("string") for name in ("start", "length", "period"))), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), longest.alias("best"),
+                        _sha256(listed.cast("binary")).alias("runs_sha256"),
+                        _sha256(F.col("repeats.collapsed").cast("binary")).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(length * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.fit_and_whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    model_path = model_path or piece_model()
+    encoded = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model_path)
+    decoded = pieces.decode(encoded.select("doc_id", "pieces.n_tokens", "pieces.ids"), model_path)
+    return decoded.select("doc_id", "n_tokens", _sha256(F.col("ids")).alias("ids_sha256"),
+                          _sha256(F.col("decoded").cast("binary")).alias("decoded_sha256"))
+
+
 _DUCK_HOST = "coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _DUCK_PATH = "coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '')"
 
@@ -217,7 +266,8 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_topk_search, op4_url_filter, op5_token_counts,
-                                    op6_byte_bpe, op7_arc_to_warc, op8_decontamination, op9_pii, op10_quality)}
+                                    op6_byte_bpe, op7_arc_to_warc, op8_decontamination, op9_pii, op10_quality,
+                                    op11_periodic_runs, op12_whitening, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
