@@ -40,7 +40,8 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -50,8 +51,8 @@ from pyspark.sql import functions as F
 
 MAX_MODEL_BYTES = 64 << 20
 #: Bounds of a worker's tables: kept stretches, their longest length, kept pairs.
-KEPT_STRETCHES = 1 << 18
-KEPT_LENGTH = 64
+KEPT_STRETCHES = 1 << 17
+KEPT_LENGTH = 32
 KEPT_PAIRS = 1 << 20
 _SLICE = 1 << 18
 _SPACE = "▁"
@@ -112,7 +113,12 @@ class PieceModel:
         self.begin, self.end = (struct.pack("<I", trainer.get(field, default)) for field, default in ((41, 1), (42, 2)))
         unknown = trainer.get(44, b" \xe2\x81\x87 ")
         self.scores = {piece: score for piece, score, kind in pieces if kind == _NORMAL}
-        self.ids = {piece: struct.pack("<I", i) for i, (piece, _, kind) in enumerate(pieces) if kind == _NORMAL}
+        self.pieces = [piece for piece, _, _ in pieces]
+        self.ids = {piece: i for i, (piece, _, kind) in enumerate(pieces) if kind == _NORMAL}
+        if 0 in self.ids.values():
+            raise ValueError("id 0 is not the unknown piece")  # 0 stands for "no piece" below
+        self.lengths = [len(piece) for piece in self.pieces]
+        self.packed = [struct.pack("<I", i) for i in range(len(pieces))]
         self.bytes = [b""] * 256
         self.control, self.byte = set(), set()
         self.surface: list[bytes] = []
@@ -128,17 +134,8 @@ class PieceModel:
             else:
                 self.surface.append(unknown if kind == _UNKNOWN else piece.replace(_SPACE, " ").encode())
         self.spaced = {i for i, (piece, _, kind) in enumerate(pieces) if kind == _NORMAL and piece[:1] == _SPACE}
-        self._build()
-
-    def _build(self) -> None:
         known = sorted(self.ids)
-        self.shorter: dict[str, str | None] = {}
-        for piece in known:  # a piece's prefixes come before it
-            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), None)
-        self.automaton = ahocorasick.Automaton()
-        for piece in known:
-            self.automaton.add_word(piece[::-1], piece)
-        self.automaton.make_automaton()
+        self.known = {piece for piece in known if len(piece) == 1}
         longer = set("".join(piece for piece in known if len(piece) > 1))
         alone = re.escape("".join(c for c in "\n\t\r" if c not in longer))
         apart = f"|[{alone}]" if alone else ""
@@ -148,78 +145,98 @@ class PieceModel:
         else:
             self.stretches = re.compile(f"{_SPACE}+[^{_SPACE}{alone}]*|[^{_SPACE}{alone}]+{apart}")
             self.spaces_split = True
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both ids
         self.kept = _Kept(self)
 
+    @cached_property
+    def shorter(self) -> list[int]:
+        """By id: the longest piece that is a true prefix, or 0."""
+        out = [0] * len(self.pieces)
+        for piece, i in self.ids.items():
+            out[i] = next((self.ids[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), 0)
+        return out
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            found.add_word(piece[::-1], i)
+        found.make_automaton()
+        return found
+
     def merged(self, text: str) -> list[str]:
         """Pieces by merging adjacent ones, best score first, leftmost among equals."""
+        score, none = self.scores.get, -inf
         parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return parts
+        scores = [score(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+        while scores:
+            best = max(scores)
+            if best == none:
+                break
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-
-    def compatible(self, before: str | None, piece: str) -> bool:
-        """Whether merging the two pieces' characters gives the two pieces again."""
-        pair = (before, piece)
-        found = self.pairs.get(pair)
-        if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            wanted = [piece] if before is None else [before, piece]
-            found = self.pairs[pair] = self.merged((before or "") + piece) == wanted
-        return found
-
-    def _longest(self, text: str) -> list[str | None]:
-        """The longest piece that begins at each position."""
-        found: list[str | None] = [None] * len(text)
-        last = len(text) - 1
-        for end, piece in self.automaton.iter(text[::-1]):
-            begin = last - end
-            held = found[begin]
-            if held is None or len(piece) > len(held):
-                found[begin] = piece
-        return found
-
-    def backtracked(self, text: str) -> list[str]:
-        """Pieces of a stretch of known characters."""
-        longest = self._longest(text)
-        failed = bytearray(len(text) // 8 + 1)
-        out: list[str] = []
-        at, piece = 0, longest[0]
-        while at < len(text):
-            before = out[-1] if out else None
-            while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(before, piece):
-                    break
-                piece = self.shorter[piece]
-            if piece is not None:
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+        return parts
+
+    def compatible(self, before: int, piece: int) -> bool:
+        """Whether merging the characters of two pieces (ids; ``before`` 0: of one) gives them again."""
+        texts = [self.pieces[i] for i in (before, piece) if i]
+        return self.merged("".join(texts)) == texts
+
+    def _longest(self, text: str) -> dict[int, int]:
+        """The longest piece by the distance of its begin from the text's last character."""
+        # at one place the automaton gives the longest piece first, so it is the last one here
+        return dict(list(self.automaton.iter(text[::-1]))[::-1])
+
+    def backtracked(self, text: str) -> list[int]:
+        """Ids of a stretch of known characters."""
+        longest, last, size = self._longest(text), len(text) - 1, len(text)
+        pairs, lengths, shorter, width = self.pairs, self.lengths, self.shorter, len(self.pieces)
+        failed, any_failed = bytearray(size // 8 + 1), False
+        out: list[int] = []
+        at, before, piece = 0, 0, longest[last]
+        while True:
+            while piece:
+                end = at + lengths[piece]
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    fits = pairs.get(before * width + piece)
+                    if fits is None:
+                        if len(pairs) >= KEPT_PAIRS:
+                            pairs.clear()
+                        fits = pairs[before * width + piece] = self.compatible(before, piece)
+                    if fits:
+                        break
+                piece = shorter[piece]
+            if piece:
                 out.append(piece)
-                at += len(piece)
-                piece = longest[at] if at < len(text) else None
+                if end == size:
+                    return out
+                at, before, piece = end, piece, longest[last - end]
             else:  # no piece goes on from here
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 piece = out.pop()
-                at -= len(piece)
-        return out
+                at -= lengths[piece]
+                before = out[-1] if out else 0
+                piece = shorter[piece]
 
     def stretch(self, text: str) -> bytes:
         """Ids (little-endian) of one stretch; unknown characters as bytes."""
+        if self.known.issuperset(text):
+            return b"".join(map(self.packed.__getitem__, self.backtracked(text)))
         out, begin = [], 0
         for at, char in enumerate(text):
-            if char not in self.ids:
+            if char not in self.known:
                 if begin < at:
-                    out.extend(map(self.ids.__getitem__, self.backtracked(text[begin:at])))
+                    out.extend(map(self.packed.__getitem__, self.backtracked(text[begin:at])))
                 out.extend(map(self.bytes.__getitem__, char.encode("utf-8", "surrogatepass")))
                 begin = at + 1
         if begin < len(text):
-            out.extend(map(self.ids.__getitem__, self.backtracked(text[begin:])))
+            out.extend(map(self.packed.__getitem__, self.backtracked(text[begin:])))
         return b"".join(out)
 
     def _slices(self, text: str) -> Iterator[str]:
@@ -258,17 +275,23 @@ class PieceModel:
 
 
 class _Kept(dict):
-    """Ids by stretch, filled on demand; long stretches are not kept."""
+    """Ids by stretch, filled on demand in two generations: a full table becomes the older
+    one, from which stretches still in use come back. Long stretches are not kept."""
 
     def __init__(self, model: PieceModel):
         self.model = model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.model.stretch(text)
-        if len(text) <= KEPT_LENGTH:
-            if len(self) >= KEPT_STRETCHES:
-                self.clear()
-            self[text] = ids
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.model.stretch(text)
+            if len(text) > KEPT_LENGTH:
+                return ids
+        if len(self) >= KEPT_STRETCHES:
+            self.older = dict(self)
+            self.clear()
+        self[text] = ids
         return ids
 
 
