@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from opinio.functions.strings import umlaut_digraphs
 from opinio.operators.ids import dense_ids
-from opinio.session import checkpoint_dir, ensure_parallelism, scratch_path, write_once
+from opinio.operators.sentences import split_sentences
+from opinio.session import checkpoint_dir, literal_set, scratch_path, write_once
 
 # Punctuation tokens removed by the preprocessing, and the
 # characters stripped from the remaining tokens.
@@ -52,30 +53,46 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1" + _SENT_MARK), _SENT_MARK)
 
 
+def _without_stopwords(s: DataFrame, keys: list[str], stopwords: DataFrame) -> DataFrame:
+    """Beyond the literal bound: an anti-join per token, the rest put together again."""
+    t = s.select(*keys, F.posexplode("tokens").alias("_p", "word"))
+    left = t.join(write_once(stopwords.select("word").distinct(), "stopwords"), "word", "left_anti")
+    kept = F.transform(F.array_sort(F.collect_list(F.struct("_p", "word"))), lambda x: x["word"])
+    return left.groupBy(*keys).agg(kept.alias("tokens"))
+
+
 def corpus_preprocess(lines: DataFrame, key_cols: list[str], text_col: str = "text",
                       umlauts: bool = False, punctuation: bool = True,
-                      stopwords: DataFrame | None = None, first_only: bool = False) -> DataFrame:
+                      stopwords: DataFrame | None = None, first_only: bool = False,
+                      boundaries: DataFrame | None = None) -> DataFrame:
     """One output row per kept sentence: key cols, sentence_no, sentence.
     ``first_only`` reproduces the reference's early ``return`` (only the
-    first qualifying sentence of each line)."""
-    lines = ensure_parallelism(lines, *key_cols)
-    s = lines.select(*key_cols, F.posexplode(sentences(F.col(text_col))).alias("sentence_no", "s"))
+    first qualifying sentence of each line). ``boundaries`` is a learned model of
+    ``operators/sentences.py``; without it sentences end at every mark before a blank.
+
+    The stop list is a hash set inside the token filter (``literal_set``), so
+    nothing is exchanged; only a list beyond its byte bound is joined."""
+    if boundaries is None:
+        s = lines.select(*key_cols, F.posexplode(sentences(F.col(text_col))).alias("sentence_no", "s"))
+    else:
+        s = split_sentences(lines, key_cols, boundaries, text_col).withColumnRenamed("sentence", "s")
     if umlauts:
         s = s.withColumn("s", umlaut_digraphs(F.col("s")))
+    stop: list[str] | None = []
+    if stopwords is not None:
+        if umlauts:
+            stopwords = stopwords.select(umlaut_digraphs(F.col("word")).alias("word"))
+        stop = literal_set(stopwords, "word")
     toks = F.regexp_extract_all(F.col("s"), F.lit(TOKEN_PATTERN), 0)
     if punctuation:
-        drop = F.array(*[F.lit(p) for p in PUNCTUATION_TOKENS])
-        toks = F.transform(F.filter(toks, lambda t: ~F.array_contains(drop, t)),
-                           lambda t: F.regexp_replace(t, "[" + PUNCTUATION_CHARS.replace("(", "\\(")
-                                                      .replace(")", "\\)") + "]", ""))
+        chars = PUNCTUATION_CHARS.replace("(", "\\(").replace(")", "\\)")
+        toks = F.transform(F.filter(toks, lambda t: ~t.isin(PUNCTUATION_TOKENS)),
+                           lambda t: F.regexp_replace(t, f"[{chars}]", ""))
+    if stop:
+        toks = F.filter(toks, lambda t: ~t.isin(stop))
     s = s.withColumn("tokens", toks)
-    if stopwords is not None:  # an anti-join per token: no list is gathered anywhere
-        if umlauts:
-            stopwords = stopwords.select(umlaut_digraphs(F.col("word")).alias("word"))
-        t = s.select(*key_cols, "sentence_no", F.posexplode("tokens").alias("_p", "word"))
-        left = t.join(write_once(stopwords.select("word").distinct(), "stopwords"), "word", "left_anti")
-        s = (left.groupBy(*key_cols, "sentence_no")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "word"))), lambda x: x["word"]).alias("tokens")))
+    if stop is None:
+        s = _without_stopwords(s, [*key_cols, "sentence_no"], stopwords)
     kept = s.filter(F.size("tokens") > 1)
     if first_only:
         first = Window.partitionBy(*key_cols).orderBy("sentence_no")

@@ -27,6 +27,12 @@ _TOPICS = ("SELECT DISTINCT latest.article_id AS article_header_id, 1 AS topic_d
            "WHERE label.object_type = 1 AND label.udf_id = 2 AND {cond}")
 register_cte("topic_detector_result", _TOPICS.format(
     lemmas="lemma_header", cond="latest.article_id * 10 <= 9 * (SELECT max(article_id) FROM article_body_last_id)"))
+# every label lemma, and the topic results of all articles
+register_cte("label_lemma",
+             f"SELECT DISTINCT {LEMMA_ID.format(x='substr(lower(udf_value), 1, 30)')} AS id, "
+             "substr(lower(udf_value), 1, 30) AS lemma FROM udf_values "
+             "WHERE object_type = 1 AND udf_id = 2 AND object_id IN (SELECT id FROM article_body)")
+register_cte("label_topic", _TOPICS.format(lemmas="label_lemma", cond="true"))
 
 
 def _m(spark, sf):
@@ -256,20 +262,23 @@ from opinio.plans import marts as MT  # noqa: E402
 
 
 @query("topics_by_source", """
-SELECT DISTINCT ah.source_id AS article_source_id, sh.source AS article_source, tdr.topic_detector_id,
-       tdh.topic_detector, tdr.lemma_id, lh.lemma
-FROM source_header sh, article_header ah, topic_detector_result tdr, topic_detector_header tdh, lemma_header lh
-WHERE ah.id = tdr.article_header_id AND tdr.lemma_id = lh.id AND sh.id = ah.source_id AND tdh.id = tdr.topic_detector_id""")
+WITH outlet_topic AS (SELECT DISTINCT a.source_id, t.topic_detector_id, t.lemma_id
+                      FROM label_topic t JOIN article_header a ON a.id = t.article_header_id)
+SELECT o.source_id AS article_source_id, outlet.source AS article_source, o.topic_detector_id, detector.topic_detector,
+       o.lemma_id, label_lemma.lemma
+FROM outlet_topic o JOIN label_lemma ON label_lemma.id = o.lemma_id
+JOIN source_header outlet ON outlet.id = o.source_id
+JOIN topic_detector_header detector ON detector.id = o.topic_detector_id""")
 def q_topics_by_source(spark, sf):
     m = _m(spark, sf)
     return MT.topics_by_source(m, C.topic_results(m), C.label_lemmas(m))
 
 
 @query("lemma_month_doc_count", """
-SELECT tdr.lemma_id, CAST(date_trunc('month', ah.source_date) AS DATE) AS mth_published,
-       count(DISTINCT tdr.article_header_id) AS doc_count
-FROM topic_detector_result tdr JOIN article_header ah ON ah.id = tdr.article_header_id
-WHERE ah.source_date IS NOT NULL GROUP BY 1, 2""")
+WITH dated AS (SELECT id, CAST(date_trunc('month', source_date) AS DATE) AS mth_published
+               FROM article_header WHERE source_date IS NOT NULL)
+SELECT t.lemma_id, dated.mth_published, count(DISTINCT dated.id) AS doc_count
+FROM dated JOIN label_topic t ON t.article_header_id = dated.id GROUP BY ALL""")
 def q_lemma_month_doc_count(spark, sf):
     m = _m(spark, sf)
     return MT.lemma_month_doc_count(m, C.topic_results(m))

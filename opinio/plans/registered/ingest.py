@@ -365,7 +365,7 @@ dead_b AS (SELECT id FROM article_body WHERE article_id IN (SELECT id FROM dead)
 SELECT 'article_header' AS table_name, count(*) AS n_rows FROM article_header WHERE id NOT IN (SELECT id FROM dead)
 UNION ALL SELECT 'article_body', count(*) FROM article_body WHERE article_id NOT IN (SELECT id FROM dead)
 UNION ALL SELECT 'comment', count(*) FROM comment WHERE article_body_id NOT IN (SELECT id FROM dead_b)
-UNION ALL SELECT 'topic_detector_result', count(*) FROM topic_detector_result
+UNION ALL SELECT 'topic_detector_result', count(*) FROM label_topic
   WHERE article_header_id NOT IN (SELECT id FROM dead)""")
 def q_cascade_delete(spark, sf):
     m = _m(spark, sf)
@@ -390,9 +390,13 @@ _FKS = [("article_body.article_id", "article_body", "article_id", "article_heade
         ("topic_detector_result.lemma_id", "topic_detector_result", "lemma_id", "lemma_header", "id")]
 
 
+# the SQL's names of the topic tables over all articles and lemmas
+_ALL_TOPICS = {"topic_detector_result": "label_topic", "lemma_header": "label_lemma"}
+
+
 @query("fk_violations", " UNION ALL ".join(
-    f"SELECT '{n}' AS fk_constraint, count(*) AS n_violations FROM {c} x WHERE x.{fk} IS NOT NULL "
-    f"AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{fk})" for n, c, fk, p, pk in _FKS))
+    f"SELECT '{n}' AS fk_constraint, count(*) AS n_violations FROM {_ALL_TOPICS.get(c, c)} x WHERE x.{fk} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM {_ALL_TOPICS.get(p, p)} y WHERE y.{pk} = x.{fk})" for n, c, fk, p, pk in _FKS))
 def q_fk_violations(spark, sf):
     m = _m(spark, sf)
     tables = {"article_body": m.article_body, "article_header": m.article_header, "comment": m.comment,

@@ -8,17 +8,20 @@ not shipped); everything else is derived from the tables by Spark.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinio.functions.strings import WORD_CHARS, WORD_CHARS_DIGITS
+from opinio.functions.strings import UMLAUT_DIGRAPHS, WORD_CHARS, WORD_CHARS_DIGITS
 from opinio.operators import control as C
 from opinio.operators import corpus as K
+from opinio.operators import sentences as SN
 from opinio.operators import sentiment as S
 from opinio.operators import topics as TP
 from opinio.plans.marts import article_body_last
 from opinio.plans.registry import query
-from opinio.session import checkpoint_dir, write_once
+from opinio.session import checkpoint_dir, ensure_parallelism, scratch_path, write_once
 from opinio.sources.news_model import NewsModel
 
 LEX_SQL = "(SELECT * FROM (VALUES " + ", ".join(
@@ -375,24 +378,38 @@ def q_vector_lexicon_sentiment(spark, sf):
 
 # ---- N10 / N11 corpus ---------------------------------------------------------------------
 def document_lines(m: NewsModel) -> DataFrame:
-    d = m.table("documents").select("doc_id", "text")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    """The corpus's lines, a store table (written once an application)."""
+    def lines() -> DataFrame:
+        d = ensure_parallelism(m.table("documents").select("doc_id", "text"), "doc_id")
+        return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return m.once("document_lines", lines)
 
 
 _PUNCT_ARR = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in K.PUNCTUATION_TOKENS) + "]"
-_UML = "".join(f"replace(" for _ in range(7))
+
+
+def _digraph_sql(x: str) -> str:
+    for letter, pair in UMLAUT_DIGRAPHS:
+        x = f"replace({x}, '{letter}', '{pair}')"
+    return x
+
+
 _CORPUS_SQL = f"""
 lines AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS line_no
           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d),
 sents AS (SELECT doc_id, line_no, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sentence_no
           FROM (SELECT doc_id, line_no, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss
                 FROM lines) x),
-um AS (SELECT doc_id, line_no, sentence_no,
-         replace(replace(replace(replace(replace(replace(replace(s, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'),
-           'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss') AS s FROM sents),
-tk AS (SELECT doc_id, line_no, sentence_no,
+um AS (SELECT doc_id, line_no, sentence_no, {_digraph_sql('s')} AS s FROM sents),
+texts AS (SELECT doc_id AS id, text FROM documents), {_common_sql('texts', TP.COMMON_WORDS)},
+stop AS (SELECT DISTINCT {_digraph_sql(clean_sql("CASE WHEN length(word) % 7 = 0 THEN replace(upper(word), 'ß', 'SS') ELSE word END"))}
+         AS w FROM cw),
+raw_tk AS (SELECT doc_id, line_no, sentence_no,
          list_transform(list_filter(regexp_extract_all(s, '{K.TOKEN_PATTERN}'), lambda t: NOT list_contains({_PUNCT_ARR}, t)),
                         lambda t: regexp_replace(t, '[?.!/;:\\(\\)&+]', '', 'g')) AS tokens FROM um),
+tk AS (SELECT doc_id, line_no, sentence_no, list(w ORDER BY p) AS tokens
+       FROM (SELECT doc_id, line_no, sentence_no, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS p FROM raw_tk) x
+       WHERE w NOT IN (SELECT w FROM stop) GROUP BY ALL),
 corpus AS (SELECT doc_id, line_no, CAST(sentence_no AS INT) AS sentence_no, array_to_string(tokens, ' ') AS sentence
            FROM tk WHERE len(tokens) > 1)"""
 
@@ -401,19 +418,18 @@ def stopword_list(m: NewsModel) -> DataFrame:
     """A common-words CSV (two comment lines, 'number,word,translation'
     rows, an empty word, lines with '.' instead of the first comma, whose
     second column is the translation) built from the corpus's most common
-    words, read back."""
-    import uuid
-    from opinio.session import scratch_path
-    spark = m.spark
-    texts = documents(m).withColumnRenamed("doc_id", "id")
-    cw = TP.common_words(texts, "id", "text", top_n=TP.COMMON_WORDS).filter(F.col("word") != "")
-    rows = cw.select(F.when(F.length("word") % 7 == 0, F.concat(F.lit("0."), F.col("word"), F.lit(","), F.upper("word")))
-                     .otherwise(F.concat(F.lit("0,"), F.col("word"), F.lit(","), F.upper("word"))).alias("value"))
-    head = spark.createDataFrame([("#Source: corpus common words",), ("#Number,German,in English",),
-                                  ('0,,"empty"',)], "value string")
-    path = scratch_path(spark, f"stopwords-{uuid.uuid4().hex}")
-    head.unionByName(rows).write.text(path)
-    return TP.read_stopword_csv(spark, path)
+    words, read back; the file is written once an application."""
+    def words() -> DataFrame:
+        texts = documents(m).withColumnRenamed("doc_id", "id")
+        cw = TP.common_words(texts, "id", "text", top_n=TP.COMMON_WORDS).filter(F.col("word") != "")
+        rows = cw.select(F.when(F.length("word") % 7 == 0, F.concat(F.lit("0."), F.col("word"), F.lit(","), F.upper("word")))
+                         .otherwise(F.concat(F.lit("0,"), F.col("word"), F.lit(","), F.upper("word"))).alias("value"))
+        head = m.spark.createDataFrame([("#Source: corpus common words",), ("#Number,German,in English",),
+                                        ('0,,"empty"',)], "value string")
+        path = scratch_path(m.spark, f"stopwords-{uuid.uuid4().hex}")
+        head.unionByName(rows).write.text(path)
+        return TP.read_stopword_csv(m.spark, path)
+    return m.once("stopword_list", words)
 
 
 def _corpus(m: NewsModel) -> DataFrame:
@@ -536,14 +552,11 @@ ks AS (SELECT *, concat_ws(':', CAST(id AS VARCHAR), CAST(sample_no AS VARCHAR))
 orig AS (SELECT label, count(*) AS n_orig FROM ks GROUP BY label),
 it AS (SELECT label, text, key, length(text) AS len, md5(text) AS h FROM ks WHERE length(text) < 512),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY len, h, key) - 1 AS idx FROM it),
-sizes AS (SELECT o.label, (SELECT max(n_orig) FROM orig) - o.n_orig AS need, (SELECT count(*) FROM it WHERE it.label = o.label) AS m
-          FROM orig o),
-tries AS (SELECT label, need, unnest(range(1, least(m - 1, CAST(ceil(need / m) AS BIGINT) + 1) + 1)) AS r
-          FROM sizes WHERE need > 0 AND m > 1),
-allp AS (SELECT a.label, t.need, a.text AS ta, b.text AS tb, a.key AS ka, b.key AS kb,
-                row_number() OVER (PARTITION BY a.label ORDER BY t.r, a.idx) AS pn
-         FROM rk a JOIN tries t ON t.label = a.label JOIN rk b ON b.label = a.label AND b.idx = a.idx + t.r
-         WHERE a.len + b.len < 512),
+sizes AS (SELECT label, (SELECT max(n_orig) FROM orig) - n_orig AS need FROM orig),
+allp AS (SELECT a.label, sizes.need, a.text AS ta, b.text AS tb, a.key AS ka, b.key AS kb,
+                row_number() OVER (PARTITION BY a.label ORDER BY b.idx - a.idx, a.idx) AS pn
+         FROM rk a JOIN sizes ON sizes.label = a.label AND sizes.need > 0
+         JOIN rk b ON b.label = a.label AND b.idx > a.idx AND a.len + b.len < 512),
 gen AS (SELECT label, concat_ws(' ', ta, tb) AS text, concat('g:', ka, '|', kb) AS key, 'generated' AS origin
         FROM allp WHERE pn <= need),
 balanced AS (SELECT label, text, concat('o:', key) AS key, 'original' AS origin FROM ks UNION ALL SELECT * FROM gen)"""
@@ -698,3 +711,90 @@ read_word AS (SELECT CASE WHEN length(word) % 7 = 0 THEN replace(upper(word), '
 SELECT DISTINCT {clean_sql('w')} AS word FROM read_word""")
 def q_stopword_scan(spark, sf):
     return stopword_list(_m(spark, sf))
+
+
+# ---- N10 learned sentence boundaries --------------------------------------------------------
+_OPENING_SQL, _CLOSING_SQL = (chars.replace("'", "''") for chars in (SN.OPENING, SN.CLOSING))
+_CORE = "regexp_replace({x}, '^[" + _OPENING_SQL.replace("{", "{{") + "]+|[" + _CLOSING_SQL.replace("}", "}}") + "]+$', '', 'g')"
+
+
+def _end_sql(c: str) -> str:
+    return (f"CASE WHEN ends_with({c}, '..') THEN 'e' WHEN ends_with({c}, '.') THEN '.' "
+            f"WHEN ends_with({c}, '!') OR ends_with({c}, '?') THEN '!' ELSE '' END")
+
+
+def _type_sql(c: str) -> str:
+    t = f"lower(regexp_replace({c}, '[.,;:!?]+$', ''))"
+    return f"CASE WHEN regexp_matches({t}, '^[0-9][0-9.,]*$') THEN '##' ELSE {t} END"
+
+
+def _case_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '^\\p{{Lu}}') THEN 'u' WHEN regexp_matches({c}, '^\\p{{Ll}}') THEN 'l' ELSE 'o' END"
+
+
+def _kind_sql(typ: str, end: str, abbreviation: str) -> str:
+    return (f"CASE WHEN {end} <> '.' THEN {end} WHEN {typ} = '##' THEN 'n' WHEN regexp_matches({typ}, '^\\p{{L}}$') THEN 'i' "
+            f"WHEN {abbreviation} THEN 'a' ELSE 'p' END")
+
+
+def _llr_sql(a: str, b: str, both: str, total: str) -> str:
+    def term(x: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+    cells = [both, f"{a} - {both}", f"{b} - {both}", f"{total} - {a} - {b} + {both}", total]
+    margins = [a, f"{total} - {a}", b, f"{total} - {b}"]
+    return f"2 * ({' + '.join(map(term, cells))} - ({' + '.join(map(term, margins))}))"
+
+
+_SENTENCE_SQL = f"""
+lines AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS line_no
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d),
+cut AS (SELECT regexp_extract_all(text, '[^{SN.BLANK}]+') AS t FROM lines),
+near AS (SELECT t[i] AS cur, CASE WHEN i > 1 THEN t[i - 1] END AS prev, CASE WHEN i < len(t) THEN t[i + 1] END AS nxt
+         FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM cut) x),
+cored AS (SELECT {_CORE.format(x='cur')} AS c, {_CORE.format(x='prev')} AS p, {_CORE.format(x='nxt')} AS f FROM near),
+tagged AS (SELECT {_type_sql('c')} AS typ, {_end_sql('c')} AS ending, {_case_sql('c')} AS letter,
+                  p IS NOT NULL AND {_end_sql('p')} = '' AS mid, f IS NOT NULL AS followed,
+                  {_type_sql('f')} AS next_typ, {_case_sql('f')} AS next_case FROM cored),
+types AS (SELECT typ, count(*) AS n, count(*) FILTER (ending = '.') AS n_dot, count(*) FILTER (letter = 'l') AS n_lower,
+                 count(*) FILTER (letter = 'u' AND mid) AS n_upper_mid FROM tagged WHERE typ <> '' GROUP BY typ),
+whole AS (SELECT sum(n)::DOUBLE AS total, sum(n_dot)::DOUBLE AS dots FROM types),
+abbreviation AS (SELECT typ FROM (SELECT typ, n_dot::DOUBLE AS k, (n - n_dot)::DOUBLE AS r, dots / total AS share,
+       length(replace(typ, '.', ''))::DOUBLE AS letters, length(typ) - length(replace(typ, '.', '')) AS inside
+     FROM types, whole WHERE n_dot > 0 AND regexp_matches(typ, '\\p{{L}}') AND NOT regexp_matches(typ, '^\\p{{L}}$') AND dots < total) x
+  WHERE 2 * (k * (ln({SN.PERIOD_SHARE}e0) - ln(share)) + CASE WHEN r > 0 THEN r * (ln({1 - SN.PERIOD_SHARE!r}e0) - ln(1 - share)) ELSE 0 END)
+        * exp(-letters) * (inside + 1) * pow(letters, -r) >= {SN.ABBREVIATION_SCORE}e0),
+pairs AS (SELECT typ, ending, next_typ, next_case, count(*) AS c,
+                 {_kind_sql('typ', 'ending', 'typ IN (SELECT typ FROM abbreviation)')} AS kind
+          FROM tagged WHERE ending <> '' AND followed GROUP BY ALL),
+breaks AS (SELECT coalesce(sum(c), 0)::DOUBLE AS b FROM pairs WHERE kind IN ('p', '!')),
+starter AS (SELECT key FROM (SELECT next_typ AS key, sum(c)::DOUBLE AS ab, any_value(types.n)::DOUBLE AS n, any_value(b) AS a, any_value(total) AS total
+      FROM pairs JOIN types ON types.typ = next_typ, breaks, whole WHERE kind IN ('p', '!') AND next_case = 'u' GROUP BY next_typ) x
+  WHERE ab * total > a * n AND {_llr_sql('a', 'n', 'ab', 'total')} >= {SN.STARTER_RATIO}),
+collocation AS (SELECT key FROM (SELECT concat_ws(' ', p.typ, p.next_typ) AS key, sum(c)::DOUBLE AS ab, any_value(x.n_dot)::DOUBLE AS a,
+             any_value(y.n)::DOUBLE AS n, any_value(total) AS total
+      FROM pairs p JOIN types x ON x.typ = p.typ JOIN types y ON y.typ = p.next_typ, whole
+      WHERE kind IN ('a', 'i', 'n') AND p.next_typ <> '' GROUP BY p.typ, p.next_typ) z
+  WHERE ab > 1 AND ab * total > a * n AND {_llr_sql('a', 'n', 'ab', 'total')} >= {SN.COLLOCATION_RATIO}),
+opener AS (SELECT typ FROM types WHERE n_lower > 0 AND n_upper_mid = 0 AND n > n_lower),
+segs AS (SELECT doc_id, line_no, unnest(ss) AS seg, generate_subscripts(ss, 1) AS i
+         FROM (SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(text, '[{SN.BLANK}]+$', ''),
+                 '([.!?][{_CLOSING_SQL}]*[{SN.BLANK}]+)', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM lines) x),
+met AS (SELECT *, {_CORE.format(x=f"regexp_extract(lag(seg) OVER w, '([^{SN.BLANK}]+)[{SN.BLANK}]*$', 1)")} AS a,
+               {_CORE.format(x=f"regexp_extract(seg, '^[{SN.BLANK}]*([^{SN.BLANK}]+)', 1)")} AS b
+        FROM segs WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)),
+judged AS (SELECT *, {_type_sql('a')} AS typ, {_type_sql('b')} AS next_typ, {_case_sql('b')} AS letter, {_end_sql('a')} AS ending FROM met),
+kinds AS (SELECT *, {_kind_sql('typ', 'ending', 'typ IN (SELECT typ FROM abbreviation)')} AS kind FROM judged),
+ended AS (SELECT *, CASE WHEN i = 1 THEN false WHEN kind IN ('p', '!') THEN true
+                         WHEN concat_ws(' ', typ, next_typ) IN (SELECT key FROM collocation) THEN false
+                         WHEN kind = 'n' THEN letter <> 'l'
+                         ELSE letter = 'u' AND (next_typ IN (SELECT key FROM starter) OR next_typ IN (SELECT typ FROM opener)) END AS cut FROM kinds),
+numbered AS (SELECT doc_id, line_no, i, seg, sum(cut::INT) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS sentence_no FROM ended),
+sentences AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(sentence_no AS INT) AS sentence_no,
+    regexp_replace(string_agg(seg, '' ORDER BY i), '^[{SN.BLANK}]+|[{SN.BLANK}]+$', '', 'g') AS sentence FROM numbered GROUP BY ALL)"""
+
+
+@query("sentence_split", f"WITH {_SENTENCE_SQL} SELECT * FROM sentences WHERE sentence <> ''")
+def q_sentence_split(spark, sf):
+    """Boundaries learned from the corpus's own lines, then split."""
+    lines = document_lines(_m(spark, sf))
+    return SN.split_sentences(lines, ["doc_id", "line_no"], SN.learn_boundaries(lines))

@@ -86,6 +86,22 @@ def write_once(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Largest list of words that a plan carries as literals.
+LITERAL_BYTES = 4 << 20
+
+
+def literal_set(df, column: str, limit: int | None = None) -> list[str] | None:
+    """The distinct values of a string column for ``isin`` (a hash set inside the
+    expression: no join, no exchange), or None if they take more than ``limit`` bytes
+    (counted before anything is collected); the caller joins then."""
+    from pyspark.sql import functions as F
+    distinct = write_once(df.select(F.col(column).alias("v")).where(F.col(column).isNotNull()).distinct(), "literals")
+    size = distinct.agg(F.sum(F.octet_length("v") + 16).alias("b")).first()["b"] or 0
+    if size > (LITERAL_BYTES if limit is None else limit):
+        return None
+    return sorted(r["v"] for r in distinct.collect())
+
+
 def ensure_parallelism(df, *key_cols: str):
     """Spread a small input before CPU-heavy per-row work (tokenising text).
 

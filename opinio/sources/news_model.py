@@ -94,15 +94,19 @@ class NewsModel:
         return read_table(self.spark, self.sf_dir, name)
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        return self.once(name, lambda: df)
+
+    def once(self, name: str, build) -> DataFrame:
+        """The relation ``build()``, written on first use in this application."""
         base = _store_base(self.spark)
         if base is None:
-            return df
+            return build()
         key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), name)
         with _STORE_LOCK:
             path = _STORED.get(key)
             if path is None:
                 path = f"{base}/news-store-{uuid.uuid4().hex}/{name}"
-                df.write.parquet(path)
+                build().write.parquet(path)
                 _STORED[key] = path
         return self.spark.read.parquet(path)
 
