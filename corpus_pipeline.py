@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinio.llm import decontam, langid, pii, simhash
-from opinio.llm.common import is_training
+from opinio.llm.common import free_name, is_training
 from opinio.llm.queries import encoded_digests, vocabulary
 from opinio.session import scratch_path
 
@@ -27,13 +27,14 @@ MAX_BITS = 3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters or in none of the learned languages."""
     model = langid.train(docs.where(is_training(F.col("doc_id"))))
-    found = langid.identify(docs, model)
-    keep = (F.col("_language.lang_pred") != langid.UNDETERMINED) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
+    out = free_name(docs, "_language")
+    found = langid.identify(docs, model, out=out)
+    keep = (F.col(f"{out}.lang_pred") != langid.UNDETERMINED) & (F.col(f"{out}.score") >= MIN_LANGUAGE_SCORE)
     return found.where(keep).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
+    """Keeps one document of each near-duplicate group, that with the smallest id."""
     return simhash.keep_one(docs, shingle=SHINGLE, max_bits=MAX_BITS)
 
 
