@@ -52,6 +52,14 @@ def broadcast_if_bounded(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())

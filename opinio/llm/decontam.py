@@ -172,6 +172,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns."""
     hit = written(_per_document(docs, benchmark).select(*_KEY, "n_hit"), "hit")
-    keyed = docs.withColumns({"_hash": _keys()[1], "_length": _keys()[2], "_n": F.size(words(F.col("text")))})
-    same = _null_safe(keyed, hit) & is_contaminated(hit["n_hit"], keyed["_n"])
-    return keyed.join(broadcast_if_bounded(hit, 64), same, "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].eqNullSafe(hit["doc_id"]) & (F.xxhash64(docs["text"]) == hit["_hash"])
+            & (F.coalesce(F.length(docs["text"]), F.lit(-1)) == hit["_length"])
+            & is_contaminated(hit["n_hit"], F.size(words(docs["text"]))))
+    return docs.join(broadcast_if_bounded(hit, 64), same, "left_anti")

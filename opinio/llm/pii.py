@@ -8,7 +8,8 @@ letters and mod 97), phone numbers without a country code, national ids
 (123-45-6789) and numbers near a word that names them.
 
 Matches are leftmost and non-overlapping a kind; one that fails its check is
-dropped, not retried, but for iban: its pattern may run on into the words behind
+dropped, not retried, but for cards (an added span where groups inside the failed run form
+a card as cards are written, beside an expiry date or another number) and for iban: its pattern may run on into the words behind
 the number, so a match is first cut to its country's length, and after one that
 fails the search goes on inside it. The patterns are written so that each runs in linear
 time on whole texts of any length (possessive runs, emails found from the @).
@@ -58,6 +59,11 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
+_GROUP = re.compile(r"[0-9]+")
+#: Fixed: how card numbers are written, in groups of digits, and their issuers' first digits.
+_CARD_GROUPS = ((4, 4, 4, 4), (16,), (4, 6, 5), (15,))
+_ISSUERS = "3456"
+
 Span = tuple[str, int, int]
 
 
@@ -129,11 +135,30 @@ def _ibans(text: str) -> Iterator[tuple[int, int, bool]]:
         at = found or start + 1
 
 
+def _grouped_cards(m: re.Match) -> Iterator[tuple[int, int]]:
+    """Cards inside a run of digit groups that is no card as a whole: an expiry date, a
+    check number or another number stands beside them."""
+    groups = [g.span() for g in _GROUP.finditer(m[0])]
+    sizes, at = [b - a for a, b in groups], 0
+    while at < len(groups):
+        for shape in _CARD_GROUPS:
+            n = len(shape)
+            start, end = groups[at][0], groups[min(at + n, len(groups)) - 1][1]
+            if tuple(sizes[at:at + n]) == shape and m[0][start] in _ISSUERS and luhn(_digits(m[0][start:end])):
+                yield m.start() + start, m.start() + end
+                at += n - 1
+                break
+        at += 1
+
+
 def proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     """Spans of the added kinds with their scores."""
     for m in _DIGITS.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 15:
             yield "card", *m.span(), 0.2 + 0.2 * luhn(d) + 0.3 * _named(text, "card", *m.span())
+        if m.end() - m.start() > 16 and not (16 <= len(d := _digits(m[0])) <= 19 and luhn(d)):
+            for start, end in _grouped_cards(m):
+                yield "card", start, end, 0.6 + 0.3 * _named(text, "card", start, end)
     for m in _LOCAL_PHONE.finditer(text):
         yield "phone", *m.span(), 0.3 + 0.3 * _named(text, "phone", *m.span())
     for start, end, confirmed in _ibans(text):

@@ -29,10 +29,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinio.llm.common import UPPER, small_batches, written
+from opinio.llm.common import UPPER, broadcast_if_bounded, small_batches, written
 from opinio.llm.components import connected_components
 
 SHINGLE = 3
@@ -145,26 +145,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(small_batches(docs).select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")),
                    "simhash")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = written(connected_components(links(fps.select("fp"), max_bits)), "simhash-roots")
-    classes = (fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-               .withColumn("root", F.coalesce("root", "fp")))
+    classes = _with_roots(fps, max_bits)
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _with_roots(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``fps`` (distinct ``fp``) with the root fingerprint of each one's component."""
+    roots = written(connected_components(links(fps.select("fp"), max_bits)), "simhash-roots")
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest id of each component, all columns; of
-    repeated rows of that id one stays. Rows without an id stay only where
-    their whole component has none, one row per fingerprint."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.col("fp")).alias("_fp")).distinct())
-    # only texts without an id are hashed again: nothing else names their group
-    keyed = docs.withColumn("_own", fingerprint(F.when(F.col(id_col).isNull(), F.col(text_col)), shingle))
-    keyed = keyed.withColumn("_own", F.when(F.col(id_col).isNull(), F.col("_own")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_fp"))
-    order = Window.partitionBy(id_col, "_own").orderBy(*[c for c in docs.columns if c != id_col])
-    return (keyed.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(order))
-            .where("_n = 1").select(*docs.columns))
+    """One row of each component, all columns: that with the smallest id (rows without
+    an id come last; one id on several texts: the smaller fingerprint, then text digest); of rows equal
+    in id and text the smallest by all columns. Decided on (id, text digest), without texts."""
+    rows = written(small_batches(docs).select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col)).alias("digest"),
+                                              fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    cells = written(rows.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n")), "simhash-rows")
+    classes = _with_roots(cells.select("fp").distinct(), max_bits).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "digest", "n")
+    first = cells.join(classes, "fp").groupBy("root").agg(F.min(order).alias("k"))
+    kept = written(first.select("k.doc_id", "k.digest", "k.n"), "simhash-kept")
+
+    def chosen(keys: DataFrame) -> DataFrame:
+        same = docs[id_col].eqNullSafe(keys["doc_id"]) & F.md5(docs[text_col]).eqNullSafe(keys["digest"])
+        return docs.join(keys, same, "left_semi")
+
+    repeated = chosen(broadcast_if_bounded(kept.where("n > 1"), 64))
+    one = repeated.groupBy(F.col(id_col), F.md5(F.col(text_col))).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return chosen(kept.where("n = 1")).unionByName(one)
