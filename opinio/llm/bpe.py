@@ -44,7 +44,7 @@ BLOCK_CHARS = 1 << 22
 _BATCH_BYTES = 4 << 20
 _SLICE = 1 << 18
 MAX_VOCABULARY_BYTES = 64 << 20
-_CACHED_WORDS = 1 << 20
+_CACHED_WORDS = 1 << 18
 #: Fixed by the pattern: endings that an apostrophe takes along.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3

@@ -24,7 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 #: Whole texts that go to a Python worker at once, by number and by bytes (a longer text goes alone).
 TEXTS_A_BATCH = 200
-BYTES_A_BATCH = 8 << 20
+BYTES_A_BATCH = 2 << 20
 
 
 def _number(setting: str) -> int:
