@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinio.functions.strings import umlaut_digraphs
@@ -100,6 +100,15 @@ def corpus_preprocess(lines: DataFrame, key_cols: list[str], text_col: str = "te
     return kept.select(*key_cols, "sentence_no", F.array_join("tokens", " ").alias("sentence"))
 
 
+def preprocess_text_files(spark: SparkSession, source: str, target: str, **options) -> DataFrame:
+    """A line-to-line job: every line of the text files below ``source`` is preprocessed
+    (``options`` of ``corpus_preprocess``) and every kept sentence becomes a line below ``target``.
+    Lines are read and written where they lie; returns the written lines (``value``)."""
+    lines = spark.read.option("lineSep", "\n").text(source).withColumnRenamed("value", "text")
+    corpus_preprocess(lines, [], **options).select("sentence").write.mode("overwrite").text(target)
+    return spark.read.option("lineSep", "\n").text(target)
+
+
 def _sentence_tokens(sent: Column) -> Column:
     return F.filter(F.split(sent, " "), lambda t: t != "")
 

@@ -443,6 +443,15 @@ def q_corpus_preprocess(spark, sf):
     return _corpus(_m(spark, sf))
 
 
+@query("corpus_text_files", f"WITH {_CORPUS_SQL} SELECT sentence AS value FROM corpus")
+def q_corpus_text_files(spark, sf):
+    """The corpus's lines as text files, preprocessed line by line into text files."""
+    m = _m(spark, sf)
+    base = scratch_path(spark, f"line-job-{uuid.uuid4().hex}")
+    document_lines(m).select("text").write.text(f"{base}/in")
+    return K.preprocess_text_files(spark, f"{base}/in", f"{base}/out", umlauts=True, stopwords=stopword_list(m))
+
+
 _BIGRAM_SQL = f"""{_CORPUS_SQL},
 st AS (SELECT doc_id, line_no, sentence_no, list_filter(string_split(sentence, ' '), lambda t: t <> '') AS t FROM corpus),
 pairs AS (SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM st WHERE len(t) > 1) x),

@@ -103,3 +103,12 @@ def test_stop_list_is_no_exchange_and_equals_the_join(spark, monkeypatch):
     monkeypatch.setattr("opinio.session.LITERAL_BYTES", 0)
     joined = K.corpus_preprocess(lines, ["doc"], umlauts=True, stopwords=stop)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, joined.collect())) != []
+
+
+def test_text_files_line_to_line(spark):
+    from opinio.session import scratch_path
+    base = scratch_path(spark, "t-lines")
+    spark.createDataFrame([("Die Katze schläft. Ja.",), ("",), ("Der Hund\rbellt laut! Und der Gast?",)], "value string").write.mode("overwrite").text(f"{base}/in")
+    for _ in range(2):  # a second run writes the same files anew
+        got = K.preprocess_text_files(spark, f"{base}/in", f"{base}/out", umlauts=True)
+        assert sorted(r.value for r in got.collect()) == ["Der Hund bellt laut", "Die Katze schlaeft", "Und der Gast"]
