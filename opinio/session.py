@@ -86,8 +86,8 @@ def write_once(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Largest list of words that a plan carries as literals.
-LITERAL_BYTES = 4 << 20
+#: Largest list of words that a plan carries as literals (some ten thousand; planning time grows with them).
+LITERAL_BYTES = 256 << 10
 
 
 def literal_set(df, column: str, limit: int | None = None) -> list[str] | None:
