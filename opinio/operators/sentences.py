@@ -18,8 +18,9 @@ abbreviation, initial, number or ellipsis ends a sentence. After an abbreviation
 one ends only if an opener or a starter follows; after a number unless the next word is in lower
 case; never inside a collocation. Texts keep their blanks inside a sentence.
 
-Plan: learning is two partial aggregations (a hot word costs a row a task).
-Splitting is one projection: the model's keys are hash sets in the expression, below
+Plan: learning counts the words as they stand first (a hot word costs a row a task) and
+parses each distinct one once. Splitting takes the words beside each place behind a mark once, as an
+array, and is one projection: the model's keys are hash sets in the expression, below
 ``session.LITERAL_BYTES`` a kind; a larger model is joined with the places behind marks only
 (their two words, without texts) and the answers go back to the lines by key.
 
@@ -42,18 +43,26 @@ PERIOD_SHARE = 0.99
 BLANK = r" \t\n\x0B\f\r"
 OPENING = r"\"'(\[{„“”»«‚‘’"
 CLOSING = r"\"')\]}“”»«‘’"
+END_MARKS = ".,;:!?"
 NUMBER = "##"
 KINDS = ("abbreviation", "starter", "collocation", "opener")
 _MARK = "\u0001"
+_BLANKS = " \t\n\x0B\f\r"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{BLANK}]+"), 0)
+def _plain(char_class: str) -> Column:
+    """The characters of a class, for the trim functions: a scan of a word's ends, no pattern."""
+    return F.lit(char_class.replace("\\", ""))
+
+
+def _spaced(text: Column) -> Column:
+    """Every blank as a space: functions of plain strings suffice from here on."""
+    return F.translate(text, _BLANKS, " " * len(_BLANKS))
 
 
 def core(word: Column) -> Column:
     """A word without the quotes and brackets around it."""
-    return F.regexp_replace(word, f"^[{OPENING}]+|[{CLOSING}]+$", "")
+    return F.rtrim(F.ltrim(word, _plain(OPENING)), _plain(CLOSING))
 
 
 def word_end(c: Column) -> Column:
@@ -64,7 +73,7 @@ def word_end(c: Column) -> Column:
 
 def word_type(c: Column) -> Column:
     """The type of a core: lower case, without end marks; numbers are one type."""
-    t = F.lower(F.regexp_replace(c, r"[.,;:!?]+$", ""))
+    t = F.lower(F.rtrim(c, F.lit(END_MARKS)))
     return F.when(t.rlike(r"^[0-9][0-9.,]*$"), NUMBER).otherwise(t)
 
 
@@ -72,34 +81,51 @@ def word_case(c: Column) -> Column:
     return F.when(c.rlike(r"^\p{Lu}"), "u").when(c.rlike(r"^\p{Ll}"), "l").otherwise("o")
 
 
-def _neighbours(lines: DataFrame, text_col: str) -> DataFrame:
-    """(prev, cur, next) words of every line."""
-    t = lines.select(words_of(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    none = F.array(F.lit(None).cast("string"))
-    rows = t.select(F.explode(F.arrays_zip(F.concat(none, "t").alias("prev"), F.col("t").alias("cur"),
-                                           F.concat(F.slice("t", F.lit(2), F.size("t")), none).alias("next"))).alias("w"))
-    return rows.where(F.col("w.cur").isNotNull()).select("w.prev", "w.cur", "w.next")
+def _segments(text: Column) -> Column:
+    """A line cut behind every mark before a blank; the blanks stay with the part before."""
+    trimmed = F.regexp_replace(text, f"[{BLANK}]+$", "")
+    return F.split(F.regexp_replace(trimmed, f"([.!?][{CLOSING}]*[{BLANK}]+)", "$1" + _MARK), _MARK)
 
 
 def word_types(lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """(typ, n, n_dot, n_lower, n_upper_mid) of every word type."""
-    c = core(F.col("cur"))
-    mid = F.col("prev").isNotNull() & (word_end(core(F.col("prev"))) == "")
-    w = _neighbours(lines, text_col).select(
-        word_type(c).alias("typ"), (word_end(c) == ".").cast("bigint").alias("dot"), word_case(c).alias("case"), mid.alias("mid"))
+    """(typ, n, n_dot, n_lower, n_upper_mid) of every word type. A word is inside a
+    sentence unless it is the first of a segment."""
+    s = lines.select(F.explode(_segments(F.col(text_col))).alias("s"))
+    w = s.select(F.posexplode(F.split(F.trim(_spaced(F.col("s"))), " +")).alias("at", "cur")).where("cur <> ''")
+    seen = w.groupBy("cur").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") > 0).alias("n_mid"))
+    w = seen.select(core(F.col("cur")).alias("c"), "n", "n_mid")
+    w = w.select(word_type(F.col("c")).alias("typ"), word_end(F.col("c")).alias("end"), word_case(F.col("c")).alias("case"), "n", "n_mid")
+
+    def among(rows: Column, count: str, name: str) -> Column:
+        return F.sum(F.when(rows, F.col(count)).otherwise(0)).alias(name)
+
     return w.where("typ <> ''").groupBy("typ").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("dot").alias("n_dot"), F.count_if(F.col("case") == "l").alias("n_lower"),
-        F.count_if((F.col("case") == "u") & F.col("mid")).alias("n_upper_mid"))
+        F.sum("n").alias("n"), among(F.col("end") == ".", "n", "n_dot"), among(F.col("case") == "l", "n", "n_lower"),
+        among(F.col("case") == "u", "n_mid", "n_upper_mid"))
 
 
 def marked_pairs(lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """(typ, end, next_typ, next_case, n): words that end in a mark with the next word of the line."""
-    w = _neighbours(lines, text_col).where(F.col("next").isNotNull())
-    w = w.where(F.col("cur").rlike(f"[.!?][{CLOSING}]*$"))  # few rows are parsed further
-    c, following = core(F.col("cur")), core(F.col("next"))
-    w = w.select(word_type(c).alias("typ"), word_end(c).alias("end"), word_type(following).alias("next_typ"),
-                 word_case(following).alias("next_case"))
-    return w.where("end <> ''").groupBy("typ", "end", "next_typ", "next_case").agg(F.count(F.lit(1)).alias("n"))
+    """(typ, end, next_typ, next_case, n): words that end in a mark with the next word of the line,
+    which are the words around the cuts between segments."""
+    s = lines.select(_bare_edges(_segments(F.col(text_col))).alias("e"))
+    w = s.select(F.explode(_places("e")).alias("p")).select(F.col("p.a.last").alias("cur"), F.col("p.b.first").alias("next"))
+    w = w.groupBy("cur", "next").agg(F.count(F.lit(1)).alias("n"))
+    w = w.select(core(F.col("cur")).alias("c"), core(F.col("next")).alias("f"), "n")
+    w = w.select(word_type(F.col("c")).alias("typ"), word_end(F.col("c")).alias("end"), word_type(F.col("f")).alias("next_typ"),
+                 word_case(F.col("f")).alias("next_case"), "n")
+    return w.where("end <> ''").groupBy("typ", "end", "next_typ", "next_case").agg(F.sum("n").alias("n"))
+
+
+def _bare_edges(segments: Column) -> Column:
+    """The first and last word of every segment as they stand."""
+    bare = F.transform(segments, lambda g: F.trim(_spaced(g)))
+    return F.transform(bare, lambda g: F.struct(F.substring_index(g, " ", -1).alias("last"), F.substring_index(g, " ", 1).alias("first")))
+
+
+def _places(edges: str) -> Column:
+    """(a, b): neighbouring segments of an array column."""
+    n = F.greatest(F.size(edges) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(edges, F.lit(1), n).alias("a"), F.slice(edges, F.lit(2), n).alias("b"))
 
 
 def _x_log_x(x: Column) -> Column:
@@ -172,18 +198,12 @@ def _ends(kind: Column, case: Column, collocation: Column, opens: Column) -> Col
             .when(kind == "n", case != "l").otherwise((case == "u") & opens))
 
 
-def _segments(text: Column) -> Column:
-    """A line cut behind every mark before a blank; the blanks stay with the part before."""
-    trimmed = F.regexp_replace(text, f"[{BLANK}]+$", "")
-    return F.split(F.regexp_replace(trimmed, f"([.!?][{CLOSING}]*[{BLANK}]+)", "$1" + _MARK), _MARK)
-
-
-def _last(segment: Column) -> Column:
-    return core(F.regexp_extract(segment, f"([^{BLANK}]+)[{BLANK}]*$", 1))
-
-
-def _first(segment: Column) -> Column:
-    return core(F.regexp_extract(segment, f"^[{BLANK}]*([^{BLANK}]+)", 1))
+def _edges(segments: Column) -> Column:
+    """Per segment (typ, end) of its last word and (next_typ, case) of its first one."""
+    cores = F.transform(_bare_edges(segments), lambda e: F.struct(core(e["last"]).alias("last"), core(e["first"]).alias("first")))
+    return F.transform(cores, lambda e: F.struct(
+        word_type(e["last"]).alias("typ"), word_end(e["last"]).alias("end"),
+        word_type(e["first"]).alias("next_typ"), word_case(e["first"]).alias("case")))
 
 
 def _member(col: Column, values: list[str]) -> Column:
@@ -204,12 +224,10 @@ def _literal_sets(model: DataFrame, limit: int) -> dict[str, list[str]] | None:
 def _joined_answers(segments: DataFrame, keys: list[str], model: DataFrame) -> DataFrame:
     """(keys, digest, open): the places of a line where no sentence ends, by joins
     of the undecided places with the model's kinds."""
-    n = F.size("segments")
-    places = F.arrays_zip(F.slice("segments", F.lit(1), n - 1).alias("a"), F.slice("segments", F.lit(2), n - 1).alias("b"))
-    p = segments.where(n > 1).select(*keys, "digest", F.posexplode(places).alias("at", "p"))
-    before, after = _last(F.col("p.a")), _first(F.col("p.b"))
-    p = p.select(*keys, "digest", (F.col("at") + 1).alias("at"), word_type(before).alias("typ"), word_end(before).alias("end"),
-                 word_type(after).alias("next_typ"), word_case(after).alias("case"))
+    p = segments.where(F.size("edges") > 1).select(*keys, "digest", F.posexplode(_places("edges")).alias("at", "p"))
+    p = p.select(*keys, "digest", (F.col("at") + 1).alias("at"), "p.a.typ", "p.a.end", "p.b.next_typ", "p.b.case")
+    certain = _kind(F.col("typ"), F.col("end"), F.lit(True)).isin("p", "!")
+    p = p.where(~certain)  # an end whatever the model holds
     p = p.withColumn("pair", F.concat_ws(" ", "typ", "next_typ"))
     for kind, on in zip(KINDS, ("typ", "next_typ", "pair", "next_typ")):
         own = model.where(F.col("kind") == kind).select(F.col("key").alias(on), F.lit(True).alias(kind))
@@ -224,7 +242,7 @@ def split_sentences(lines: DataFrame, key_cols: list[str], model: DataFrame, tex
     """key_cols, sentence_no (from 0), sentence of every line; blank lines give none, a null line
     gives none. Rows that share their keys and text stay apart rows."""
     sets = _literal_sets(model, LITERAL_BYTES if literal_bytes is None else literal_bytes)
-    s = lines.select(*key_cols, _segments(F.col(text_col)).alias("segments"))
+    s = lines.select(*key_cols, _segments(F.col(text_col)).alias("segments")).withColumn("edges", _edges(F.col("segments")))
     if sets is None:
         s = s.withColumn("digest", F.md5(F.array_join("segments", _MARK)))
         null_safe = [s[c].eqNullSafe(F.col(f"_o_{c}")) for c in [*key_cols, "digest"]]
@@ -234,16 +252,15 @@ def split_sentences(lines: DataFrame, key_cols: list[str], model: DataFrame, tex
         parts = F.transform("segments", lambda seg, i: F.when((i == 0) | F.array_contains("open", i), seg)
                             .otherwise(F.concat(F.lit(_MARK), seg)))
     else:
-        def joined(before: Column, segment: Column) -> Column:
-            a, b = _last(before), _first(segment)
-            typ, next_typ = word_type(a), word_type(b)
-            kind = _kind(typ, word_end(a), _member(typ, sets["abbreviation"]))
-            ends = _ends(kind, word_case(b), _member(F.concat_ws(" ", typ, next_typ), sets["collocation"]),
-                         _member(next_typ, sets["starter"]) | _member(next_typ, sets["opener"]))
-            return F.when(before.isNotNull() & ends, F.concat(F.lit(_MARK), segment)).otherwise(segment)
-
-        shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("segments", F.lit(1), F.size("segments") - 1))
-        parts = F.zip_with(shifted, "segments", joined)
+        def ends(a: Column, b: Column) -> Column:
+            kind = _kind(a["typ"], a["end"], _member(a["typ"], sets["abbreviation"]))
+            pair = _member(F.concat_ws(" ", a["typ"], b["next_typ"]), sets["collocation"])
+            return _ends(kind, b["case"], pair, _member(b["next_typ"], sets["starter"]) | _member(b["next_typ"], sets["opener"]))
+
+        n = F.size("edges") - 1
+        cuts = F.zip_with(F.slice("edges", F.lit(1), n), F.slice("edges", F.lit(2), n), ends)
+        cuts = F.concat(F.array(F.lit(False)), cuts)  # the first segment goes on from none
+        parts = F.zip_with(cuts, "segments", lambda cut, seg: F.when(cut, F.concat(F.lit(_MARK), seg)).otherwise(seg))
     whole = s.select(*key_cols, F.posexplode(F.split(F.array_join(parts, ""), _MARK)).alias("sentence_no", "sentence"))
     sentence = F.regexp_replace("sentence", f"^[{BLANK}]+|[{BLANK}]+$", "")
     return whole.select(*key_cols, "sentence_no", sentence.alias("sentence")).where("sentence <> ''")
