@@ -16,8 +16,8 @@ finds rows, and skips every annulus beyond r. Pivots come from a sample of
 
 Edge cases: null vectors, vectors with a null or non-finite component (also
 after scaling) and rows without id take no part; shorter vectors count as filled
-with zeros; of a repeated id the smallest vector stays; ties go to the smaller
-id; scores beyond a long saturate; no rows or no queries: an empty result.
+with zeros; rows of a repeated id all stay (each is a candidate of the others, and a query
+of its own with ranks from 1); ties go to the smaller id; scores beyond a long saturate; no rows or no queries: an empty result.
 """
 
 from __future__ import annotations
@@ -43,12 +43,8 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> Da
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null")
 
-    @F.pandas_udf("array<double>")
-    def floors(xs: pd.Series) -> pd.Series:
-        return pd.Series([np.floor(v) for v in xs], dtype="object")
-
-    kept = rows.where(~F.coalesce(bad, F.lit(True)))
-    return kept.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", floors("x").alias("x"))
+    floors = F.transform("x", lambda v: F.when(F.abs(v) < _EXACT, F.floor(v).cast("double")).otherwise(v))
+    return rows.where(~F.coalesce(bad, F.lit(True))).select("vec_id", floors.alias("x"))
 
 
 def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
@@ -111,11 +107,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
            scale: float = 64.0, pivots: int = PIVOTS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(query_id long, rank int, vec_id long, score long): the ``k`` rows with the
     largest inner product for each row for which ``is_query`` (of vec_id) holds, itself excluded."""
-    rows = written(scaled(vectors, id_col, vector_col, scale), "vectors")
+    rows = scaled(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "vectors")  # row numbers stay as written
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.max(square).alias("m")).first()
     dim, most = size.dim or 0, size.m or 0.0
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # bounded by ``sample``
+    some = rows.orderBy(F.xxhash64("vec_id"), "row").limit(sample).toPandas()  # bounded by ``sample``
 
     def lift(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, most - (x**2).sum(1)))
@@ -129,9 +126,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         d = _distances(x, lift(x), points)
         return pd.DataFrame({"pivot": d.argmin(1).astype(np.int32), "dist": d.min(1)})
 
-    keyed = rows.withColumn("at", key("x")).select("vec_id", "x", "at.pivot", "at.dist")
+    keyed = rows.withColumn("at", key("x")).select("row", "vec_id", "x", "at.pivot", "at.dist")
     shards = max(1, -(-size.n // shard))
-    index = written(keyed.repartitionByRange(shards, "pivot", "dist", "vec_id")
+    index = written(keyed.repartitionByRange(shards, "pivot", "dist", "row")
                     .withColumn("shard", F.spark_partition_id()), "index")
 
     def reach(q: np.ndarray, floor: np.ndarray) -> np.ndarray:
@@ -143,20 +140,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def seed(group: pd.DataFrame) -> pd.DataFrame:
         """The queries of a shard with the bounds that their own shard gives."""
-        x, ids = _matrix(group["x"], dim), group["vec_id"].to_numpy()
+        x, ids, row = _matrix(group["x"], dim), group["vec_id"].to_numpy(), group["row"].to_numpy()
         own = np.flatnonzero(group["query"].to_numpy(bool))
         best = _Best(len(own), k, np.full(len(own), _LEAST))
         for lo in range(0, len(x), ANNULUS * 4):
-            _add(best, np.arange(len(own)), x[own], ids[own], x[lo:lo + ANNULUS * 4], ids[lo:lo + ANNULUS * 4])
+            part = slice(lo, lo + ANNULUS * 4)
+            _add(best, np.arange(len(own)), x[own], row[own], x[part], ids[part], row[part])
         r = reach(x[own], best.floor)[:, None]
         d = _distances(x[own], np.zeros(len(own)), points)
         lists = {n: pd.Series(list(v), dtype="object") for n, v in (("x", x[own]), ("low", d - r), ("high", d + r))}
-        return pd.DataFrame({"query_id": ids[own], "x": lists["x"], "floor": best.floor, "low": lists["low"],
+        return pd.DataFrame({"query_row": row[own], "query_id": ids[own], "x": lists["x"], "floor": best.floor, "low": lists["low"],
                              "high": lists["high"], "chunk": group["shard"].to_numpy()[own] // CHUNK_SHARDS})
 
     asked = index.withColumn("query", F.coalesce(is_query, F.lit(False)))
     queries = written(asked.groupBy("shard").applyInPandas(
-        seed, "query_id bigint, x array<double>, floor bigint, low array<double>, high array<double>, chunk int"), "queries")
+        seed, "query_row bigint, query_id bigint, x array<double>, floor bigint, low array<double>, high array<double>, chunk int"), "queries")
     rings = index.groupBy("shard", "pivot").agg(F.min("dist").alias("from"), F.max("dist").alias("to"))
     needs = (queries.select("chunk", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "b"))
              .groupBy("chunk", "pivot").agg(F.min("b.low").alias("low"), F.max("b.high").alias("high")))
@@ -165,10 +163,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def expand(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """One chunk of queries against one shard, annulus by annulus."""
-        q, qids = _matrix(asked["x"], dim), asked["query_id"].to_numpy()
+        q, qids, qrows = _matrix(asked["x"], dim), asked["query_id"].to_numpy(), asked["query_row"].to_numpy()
         best = _Best(len(q), k, asked["floor"].to_numpy(np.int64))
         held = held.sort_values(["pivot", "dist"])
-        x, ids = _matrix(held["x"], dim), held["vec_id"].to_numpy()
+        x, ids, row = _matrix(held["x"], dim), held["vec_id"].to_numpy(), held["row"].to_numpy()
         pivot, dist = held["pivot"].to_numpy(), held["dist"].to_numpy()
         to_pivot = _distances(q, np.zeros(len(q)), points)
         cuts = [0, *(np.flatnonzero(np.diff(pivot)) + 1), len(x)]
@@ -177,17 +175,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         for gap, (a, b) in sorted(zip(gaps, rings), key=lambda g: (g[0].min(initial=np.inf), g[1])):
             near = np.flatnonzero(~(gap > reach(q, best.floor)))
             if len(near):
-                _add(best, near, q[near], qids[near], x[a:b], ids[a:b])
-        return pd.DataFrame({"query_id": qids[best.q], "vec_id": best.id, "score": best.s})
+                _add(best, near, q[near], qrows[near], x[a:b], ids[a:b], row[a:b])
+        return pd.DataFrame({"query_row": qrows[best.q], "query_id": qids[best.q], "vec_id": best.id, "score": best.s})
 
-    left = queries.join(pairs, "chunk").select("chunk", "shard", "query_id", "x", "floor")
-    right = index.join(pairs, "shard").select("chunk", "shard", "vec_id", "x", "pivot", "dist")
+    left = queries.join(pairs, "chunk").select("chunk", "shard", "query_row", "query_id", "x", "floor")
+    right = index.join(pairs, "shard").select("chunk", "shard", "row", "vec_id", "x", "pivot", "dist")
     found = (left.groupBy("chunk", "shard").cogroup(right.groupBy("chunk", "shard"))
-             .applyInPandas(expand, "query_id bigint, vec_id bigint, score bigint"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInPandas(expand, "query_row bigint, query_id bigint, vec_id bigint, score bigint"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def _add(best: _Best, at: np.ndarray, q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-    best.add(at, ids, _inner(q, x), qids[:, None] != ids)  # a query is no candidate of its own
+def _add(best: _Best, at: np.ndarray, q: np.ndarray, qrows: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    best.add(at, ids, _inner(q, x), qrows[:, None] != rows)  # a query row is no candidate of its own

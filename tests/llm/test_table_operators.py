@@ -113,19 +113,18 @@ def test_topk_equals_brute_force(spark):
     rows += [(i, [0.5] * 8, "x") for i in range(300, 420)]  # ties
     rows += [(500, None, "x"), (501, [1.0, None], "x"), (502, [float("nan")] * 8, "x"), (503, [float("inf")] * 8, "x"),
              (None, [1.0] * 8, "x"), (520, [1.0] * 4, "x"), (540, [], "x"), (10, rows[10][1], "x")]
+    rows += [(40, [2.0] * 8, "x"), (40, [2.0] * 8, "x"), (60, [3.0, -1.0] * 4, "x"), (33, [4.0] * 8, "x")]  # repeated ids
     rows += [(i, [9.0 + i] * 8, "x") for i in range(601, 620)]  # a shard without queries
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = topk.search(table, F.col("vec_id") % 20 == 0, k=7, pivots=5, shard=9).collect()
-    vectors = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            vectors[i] = np.floor(64 * np.array(v + [0.0] * (8 - len(v))))
-    want = set()
-    for q in vectors:
+    vectors = [(i, np.floor(64 * np.array(v + [0.0] * (8 - len(v))))) for i, v, _ in rows
+               if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for own, (q, x) in enumerate(vectors):  # every row but the query's own
         if q % 20 == 0:
-            best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:7]
-            want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            best = sorted((-int(x @ v), i) for at, (i, v) in enumerate(vectors) if at != own)[:7]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_topk_of_few_or_no_rows(spark):
