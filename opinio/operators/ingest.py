@@ -21,6 +21,7 @@ from opinio.functions.hashing import content_hash
 from opinio.functions.strings import remove_nul
 from opinio.operators.ids import dense_ids
 from opinio.session import write_once
+from opinio.sources.runs import Change, RunStore
 
 # The reference's length limits.
 MAX_URL_LENGTH = 2048      # url must be strictly shorter
@@ -235,3 +236,37 @@ def ingest_batch(headers: DataFrame, bodies: DataFrame, latest_bodies: DataFrame
     return {"obsolete_marked": obsolete, "new_headers": new_headers,
             "new_bodies": diff.filter(F.col("insert")), "bumped_bodies": diff.filter(~F.col("insert")),
             "new_udfs": udfs}
+
+
+def ingest_run(store: RunStore, run: int, headers: DataFrame, bodies: DataFrame, sources: DataFrame,
+               udf_header: DataFrame, article_udfs: DataFrame) -> bool:
+    """W13 as one atomic run over a ``RunStore`` with the tables ``article_header`` (key id),
+    ``article_body`` (id) and ``udf_values`` (object_id): the row sets of ``ingest_batch`` are written
+    once, then every touched bucket of the tables is rewritten in the reference's order and the run's
+    marker ends it. Returns False, and does nothing, if the run is complete already."""
+    if store.is_complete(run):
+        return False
+    old_headers, old_bodies = store.read("article_header"), store.read("article_body")
+    newest = old_bodies.groupBy("article_id").agg(F.max("id").alias("id"))
+    latest = old_bodies.join(newest.select("id"), "id", "left_semi")
+    stages = {name: write_once(df, name) for name, df in
+              ingest_batch(headers, bodies, latest, old_headers, sources, udf_header, article_udfs).items()}
+
+    def header_change() -> Change:
+        start = old_headers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        new = write_once(dense_ids(stages["new_headers"], ["pos"], start).select(*old_headers.columns), "headers")
+        marked = stages["obsolete_marked"]
+        return Change(marked.select("id").unionByName(new.select("id")),
+                      lambda stored: mark_obsolete(stored, marked).unionByName(new))
+
+    def body_change() -> Change:
+        diff = stages["new_bodies"].unionByName(stages["bumped_bodies"])
+        changes = write_once(body_upsert(old_bodies, diff), "bodies")
+        return Change(changes.select("id"), lambda stored: apply_body_upsert(stored, changes))
+
+    def udf_change() -> Change:
+        new = stages["new_udfs"]
+        return Change(new.select("object_id"), lambda stored: stored.unionByName(
+            insert_ignore(new.select(*stored.columns), stored, stored.columns)))
+
+    return store.commit(run, {"article_header": header_change, "article_body": body_change, "udf_values": udf_change})

@@ -22,6 +22,7 @@ from opinio.plans.marts import article_body_last
 from opinio.plans.oracle_model import register_cte
 from opinio.plans.registry import query
 from opinio.sources.news_model import NewsModel, date_lit, ts_ntz
+from opinio.sources.runs import RunStore, Table, initial
 
 URL_RE = I.URL_PATTERN
 EXT_ID = ("CAST((CAST(('0x' || substr(md5({k}), 1, 16)) AS UBIGINT)::HUGEINT - CASE WHEN "
@@ -560,6 +561,47 @@ def q_ingest_batch(spark, sf):
     return res
 
 
+@query("ingest_run", f"""
+WITH vb AS ({_VALID_BODIES}), d AS ({_DIFF}), nh AS ({_NEW_HEADERS}),
+au AS (SELECT doc_id + 1 AS article_id,
+              (['headline','label','author','replies','date_created'])[CAST(doc_id % 5 + 1 AS INT)] AS key,
+              split_part(text, chr(10), 1) AS value FROM documents),
+nu AS (SELECT DISTINCT f.id AS udf_id, 1 AS object_type, article_id AS object_id, value AS udf_value
+       FROM au JOIN udf_header f ON f.udf_name = au.key
+       WHERE length(value) <= 80 AND article_id IN (SELECT article_id FROM d WHERE "insert")),
+nb AS (SELECT (SELECT coalesce(max(id), 0) FROM article_body) + row_number() OVER (ORDER BY article_id) AS id, article_id, new_counter
+       FROM d WHERE "insert")
+SELECT 'article_header' AS table_name, id, url AS item,
+       CAST(obsolete OR id IN (SELECT article_id FROM vb WHERE len(reasons) > 0) AS VARCHAR) AS state FROM article_header
+UNION ALL SELECT 'article_header', id, url, CAST(obsolete AS VARCHAR) FROM nh
+UNION ALL SELECT 'article_body', b.id, CAST(b.article_id AS VARCHAR), CAST(coalesce(d.new_counter, b.proc_counter) AS VARCHAR)
+FROM article_body b LEFT JOIN d ON d.old_id = b.id AND NOT d."insert"
+UNION ALL SELECT 'article_body', id, CAST(article_id AS VARCHAR), CAST(new_counter AS VARCHAR) FROM nb
+UNION ALL SELECT 'udf_values', object_id, CAST(udf_id AS VARCHAR) || ':' || CAST(object_type AS VARCHAR), udf_value FROM
+  (SELECT udf_id, object_type, object_id, udf_value FROM udf_values
+   UNION ALL (SELECT * FROM nu EXCEPT SELECT udf_id, object_type, object_id, udf_value FROM udf_values)) u""")
+def q_ingest_run(spark, sf):
+    """The store's tables after one atomic run, which is then repeated without effect."""
+    import uuid
+    from opinio.session import scratch_path
+    m = _m(spark, sf)
+    stored = {"article_header": ("id", m.article_header), "article_body": ("id", m.article_body),
+              "udf_values": ("object_id", m.udf_values.select("udf_id", "object_type", "object_id", "udf_value"))}
+    store = RunStore(spark, scratch_path(spark, f"runs-{uuid.uuid4().hex}"),
+                     [Table(name, key, df.schema) for name, (key, df) in stored.items()])
+    store.commit(0, {name: initial(df, key) for name, (key, df) in stored.items()})
+    for _ in range(2):
+        I.ingest_run(store, 1, incoming_headers(m), incoming_bodies(m), m.source_header, m.udf_header, article_udfs(m))
+
+    def shown(name: str, key: str, item, state) -> DataFrame:
+        return store.read(name).select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("id"),
+                                       item.cast("string").alias("item"), state.cast("string").alias("state"))
+    udf = F.concat_ws(":", F.col("udf_id").cast("string"), F.col("object_type").cast("string"))
+    return (shown("article_header", "id", F.col("url"), F.col("obsolete"))
+            .unionByName(shown("article_body", "id", F.col("article_id"), F.col("proc_counter")))
+            .unionByName(shown("udf_values", "object_id", udf, F.col("udf_value"))))
+
+
 def article_documents(m: NewsModel) -> DataFrame:
     """Stand-in article JSON documents (one per document row)."""
     from opinio.sources.article_json import ARTICLE_SCHEMA  # noqa: F401  (shape reference)
