@@ -7,8 +7,7 @@ versions (a rewritten DataFrame or the rows to append).
 
 Scale notes: to-do sets are anti-joins (one shuffle on the key); watermarks
 are uncorrelated scalar subqueries (``DataFrame.scalar()``), evaluated once
-and inlined as literals; generated id blocks use ``row_number`` only over a
-LIMIT-bounded batch.
+and inlined as literals; generated ids come from ``dense_ids`` (no one-task window).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions.dates import parse_date_prefix
 from opinio.functions.numeric import power2
+from opinio.operators.ids import dense_ids
 from opinio.plans.marts import article_body_last, article_header_current
 from opinio.sources.news_model import NewsModel, date_lit, ts_ntz
 
@@ -136,11 +136,14 @@ def todo_analyzer(m: NewsModel) -> DataFrame:
                        F.lit("new").alias("status"))
 
 
-def todo_analyzer_next(m: NewsModel, limit: int = BATCH_SIZE) -> DataFrame:
+def todo_analyzer_next(m: NewsModel, limit: int | None = BATCH_SIZE) -> DataFrame:
     """O3: the next batch: lowest level first, newest date first, limited.
     A comment-id tie-break makes the batch deterministic (top-k per task,
-    then a merge of k rows per task: TakeOrderedAndProject)."""
+    then a merge of k rows per task: TakeOrderedAndProject). ``limit=None`` is the
+    whole queue, in no order."""
     t = todo_analyzer(m).filter(F.col("start_timestamp").isNull())
+    if limit is None:
+        return t
     return t.orderBy(F.col("comment_level").asc(), F.col("source_date").desc(),
                      F.col("comment_id").asc()).limit(limit)
 
@@ -150,7 +153,7 @@ def todo_analyzer_next(m: NewsModel, limit: int = BATCH_SIZE) -> DataFrame:
 ANALYZER_VIEWS = {"v_todo_analyzer1_next": todo_analyzer_next}
 
 
-def analyzer_todo(m: NewsModel, analyzer_id: int = 1, limit: int = BATCH_SIZE) -> DataFrame:
+def analyzer_todo(m: NewsModel, analyzer_id: int = 1, limit: int | None = BATCH_SIZE) -> DataFrame:
     """The next to-do batch of an analyzer, resolved through the registry
     (fixed rows of analyzer_header: id -> view name -> builder)."""
     from opinio.sources.news_model import ANALYZERS
@@ -164,14 +167,14 @@ def max_id(df: DataFrame, col: str = "id") -> Column:
 
 
 def analyzer_batch_start(m: NewsModel, analyzer_id: int = 1, as_of: str = AS_OF,
-                         limit: int = BATCH_SIZE) -> DataFrame:
-    """T4: the batch as a set of (comment id, body), logged as started: the
-    log rows to append, ids continuing after the current max id. The batch
-    is bounded by ``limit``, so numbering it in one window is bounded too."""
-    batch = analyzer_todo(m, analyzer_id, limit).select("comment_id", "comment_body").distinct()
-    w = Window.orderBy("comment_id")
-    return batch.select(
-        (max_id(m.analyzer_log) + F.row_number().over(w)).alias("id"),
+                         limit: int | None = None) -> DataFrame:
+    """T4: the batch as a set of comment ids, logged as started: the log rows to
+    append, ids continuing after the current max id in comment-id order. By default
+    the whole queue is one batch; ``limit=BATCH_SIZE`` is the reference's. Only the
+    comment ids are ranged and numbered, no text moves."""
+    batch = analyzer_todo(m, analyzer_id, limit).select("comment_id").distinct()
+    return dense_ids(batch, ["comment_id"], max_id(m.analyzer_log)).select(
+        "id",
         "comment_id",
         F.lit(analyzer_id).alias("analyzer_id"),
         as_of_ts(as_of).alias("start_timestamp"),

@@ -103,7 +103,7 @@ def q_todo_analyzer_next(spark, sf):
 
 
 _START = f"""
-WITH nxt AS ({_NEXT}), b AS (SELECT DISTINCT comment_id, comment_body FROM nxt)
+WITH b AS (SELECT DISTINCT comment_id FROM ({_TODO3}) queue)
 SELECT (SELECT coalesce(max(id), 0) FROM analyzer_log) + row_number() OVER (ORDER BY comment_id) AS id,
        comment_id, 1 AS analyzer_id, {AS_OF} AS start_timestamp, CAST(NULL AS TIMESTAMP) AS end_timestamp,
        false AS success FROM b"""

@@ -8,6 +8,9 @@ in ``opinio.operators.ingest`` treat them like any crawler output.
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ from opinio.plans.marts import article_body_last
 from opinio.plans.oracle_model import register_cte
 from opinio.plans.registry import query
 from opinio.sources.news_model import NewsModel, date_lit, ts_ntz
+from opinio.session import scratch_path
 from opinio.sources.runs import RunStore, Table, initial
+from opinio.sources.store import KeyedStore
 
 URL_RE = I.URL_PATTERN
 EXT_ID = ("CAST((CAST(('0x' || substr(md5({k}), 1, 16)) AS UBIGINT)::HUGEINT - CASE WHEN "
@@ -289,6 +294,33 @@ def q_insert_ignore_comments(spark, sf):
     return _new_comments(_m(spark, sf))
 
 
+def stored_comment_keys(m: NewsModel) -> KeyedStore:
+    """The stored comments' external ids with their ids, written on first use in this application."""
+    which = (m.spark.sparkContext.applicationId, m.sf_dir)
+    with _KEYS_LOCK:
+        if which not in _COMMENT_KEYS:
+            name = f"comment_keys_{uuid.uuid4().hex}"
+            store = KeyedStore(m.spark, name, scratch_path(m.spark, name), ["external_id"], parts=8, buckets=8)
+            store.append(_existing_comment_keys(m).select("external_id", "id"))
+            _COMMENT_KEYS[which] = store
+    return _COMMENT_KEYS[which]
+
+
+_KEYS_LOCK = threading.Lock()
+_COMMENT_KEYS: dict[tuple[str, str], KeyedStore] = {}
+
+
+@query("insert_ignore_colocated", _NEW_COMMENTS)
+def q_insert_ignore_colocated(spark, sf):
+    """W8 over the keyed store: keys decide and are numbered, the comments themselves join once by position."""
+    m = _m(spark, sf)
+    ok = I.validate_comments(incoming_comments(m)).filter("is_valid").drop("reasons", "is_valid")
+    fresh = stored_comment_keys(m).fresh(ok.select("external_id", "pos"), "pos")
+    start = m.comment.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return dense_ids(fresh.select("pos"), ["pos"], start).join(ok, "pos").select(
+        "id", "pos", "external_id", "article_body_id", "parent_id", "level", "body", "proc_timestamp")
+
+
 @query("insert_ignore_udfs", f"""
 SELECT v.* FROM ({_VALID_UDFS}) v WHERE NOT EXISTS (SELECT 1 FROM udf_values u WHERE u.udf_id = v.udf_id
   AND u.object_type = v.object_type AND u.object_id = v.object_id AND u.udf_value = v.udf_value)""")
@@ -582,8 +614,6 @@ UNION ALL SELECT 'udf_values', object_id, CAST(udf_id AS VARCHAR) || ':' || CAST
    UNION ALL (SELECT * FROM nu EXCEPT SELECT udf_id, object_type, object_id, udf_value FROM udf_values)) u""")
 def q_ingest_run(spark, sf):
     """The store's tables after one atomic run, which is then repeated without effect."""
-    import uuid
-    from opinio.session import scratch_path
     m = _m(spark, sf)
     stored = {"article_header": ("id", m.article_header), "article_body": ("id", m.article_body),
               "udf_values": ("object_id", m.udf_values.select("udf_id", "object_type", "object_id", "udf_value"))}
@@ -641,8 +671,6 @@ UNION ALL SELECT url, 'date_published', concat(day, 'T08:00:00+01:00') FROM a"""
 def q_article_json_flatten(spark, sf):
     """Nested article JSON written as JSON lines, read back with the
     declared schema and flattened to attribute rows."""
-    import uuid
-    from opinio.session import scratch_path
     from opinio.sources.article_json import article_attributes, read_articles
     path = scratch_path(spark, f"articles-{uuid.uuid4().hex}")
     article_documents(_m(spark, sf)).write.text(path)

@@ -35,3 +35,12 @@ def test_topic_queries_cover_all_articles_and_lemmas(spark, model):
     assert left["topic_detector_result"] == sum(not header[a].obsolete for a, _ in topics)
     assert all(r.n_violations == 0 for r in QUERIES["fk_violations"](spark, SF_SMALL).collect()
                if r.fk_constraint == "topic_detector_result.lemma_id")
+
+
+def test_analyzer_batch_takes_the_whole_queue_or_a_limit(model):
+    newest = model.analyzer_log.agg({"id": "max"}).first()[0]
+    queue = sorted(r.comment_id for r in C.todo_analyzer(model).select("comment_id").distinct().collect())
+    started = sorted((r.id, r.comment_id) for r in C.analyzer_batch_start(model).collect())
+    assert started == [(newest + i, c) for i, c in enumerate(queue, 1)]
+    few = {r.comment_id for r in C.todo_analyzer_next(model, 3).collect()}
+    assert {r.comment_id for r in C.analyzer_batch_start(model, limit=3).collect()} == few and len(few) == min(3, len(queue))
