@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinio.session import scratch_path
+from opinio.session import BYTES_A_BATCH, TEXTS_A_BATCH, scratch_path, small_batches  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,30 +21,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Whole texts that go to a Python worker at once, by number and by bytes (a longer text goes alone).
-TEXTS_A_BATCH = 200
-BYTES_A_BATCH = 2 << 20
-
-
-def _number(setting: str) -> int:
-    """A plain number or a size like ``64m``."""
-    digits, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", setting.lower()).groups()
-    return int(digits) << 10 * " kmgt".index(unit or " ")
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on hands Python at most ``TEXTS_A_BATCH`` rows
-    and ``BYTES_A_BATCH`` bytes at once: the defaults of 10,000 rows of any size suit
-    numbers, not whole texts. Spark reads the settings when the plan runs, so they
-    can't be confined to one DataFrame; a session's own lower values stay."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", TEXTS_A_BATCH), ("maxBytesPerBatch", BYTES_A_BATCH)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < _number(conf.get(key)) <= most:
-            conf.set(key, str(most))
-    return df
-
-
 def broadcast_if_bounded(df: DataFrame, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only if the counted rows fit ``limit`` bytes at
     ``row_bytes`` each; otherwise the same join shuffles (AQE splits skew)."""

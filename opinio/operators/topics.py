@@ -2,11 +2,10 @@
 
 ``topics_top5``: word frequency per text minus common words, the five most
 frequent words seen more than twice, ties broken by first occurrence. Plan:
-tokens are counted per (text, word) with partial aggregation (texts are
-hash-partitioned by id, so the count and the ranking window need no further
-exchange), common words removed by a broadcast anti-join (the list has a
-fixed size bound), and only words seen 3+ times reach the per-text ranking
-window -- a text's window holds at most its own vocabulary.
+words are counted inside their text (``word_counts``), so neither texts nor
+their words are exchanged; common words are removed by a broadcast anti-join
+(the list has a fixed size bound), and only words seen 3+ times reach the
+per-text ranking window -- a text's window holds at most its own vocabulary.
 
 ``centroid_distance``: the mean word vector of a text (ML ``Summarizer``,
 JVM-side) and each distinct word's cosine distance to it.
@@ -14,14 +13,20 @@ JVM-side) and each distinct word's cosine distance to it.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from opinio.functions.numeric import fround
-from opinio.functions.strings import clean_tokens, clean_word, non_word_class
-from opinio.session import ensure_parallelism, write_once
+from opinio.functions.strings import clean_text, clean_tokens, clean_word, non_word_class
+from opinio.session import ensure_parallelism, small_batches, write_once
 
 TOP_TOPICS = 5
 MIN_COUNT_EXCLUSIVE = 2     # a topic must occur more than twice
@@ -53,24 +58,62 @@ def common_words(texts: DataFrame, id_col: str = "id", text_col: str = "text",
     return top.unionByName(texts.sparkSession.createDataFrame([("",)], "word string"))
 
 
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text of words parted by single spaces) -> (id, word, cnt, first_pos): each
+    distinct word of a text with its count and first place (from 0)."""
+    for batch in batches:
+        words, counts, first, row = [], [], [], []
+        for at, text in enumerate(batch.column(1).to_pylist()):
+            if text is not None:
+                found = text.split(" ")
+                of_text = Counter(found)  # in the order of first places
+                places = dict(zip(reversed(found), range(len(found) - 1, -1, -1)))
+                words.extend(of_text)
+                counts.extend(of_text.values())
+                first.extend(map(places.__getitem__, of_text))
+                row.extend(repeat(at, len(of_text)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row, pa.int32())), pa.array(words, pa.string()), pa.array(counts, pa.int64()),
+             pa.array(first, pa.int32())], names=[batch.schema.names[0], "word", "cnt", "first_pos"])
+
+
+def word_counts(texts: DataFrame, words: Column, id_col: str) -> DataFrame:
+    """(id, word, cnt, first_pos) of every id's texts; ``words``: a text's words parted by
+    single spaces. A text's words are counted where it lies; only the words of ids that stand in more
+    than one row are exchanged and added up (the repeated ids are found from ids alone)."""
+    rows = small_batches(texts).select(F.col(id_col), words.alias("_words"))
+
+    schema = StructType([rows.schema[0], *(StructField(*f) for f in (
+        ("word", StringType()), ("cnt", LongType()), ("first_pos", IntegerType())))])
+
+    def counted(of: DataFrame) -> DataFrame:
+        return of.select(id_col, "_words").mapInArrow(counted_words, schema)
+
+    twice = write_once(texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                       .select(F.col(id_col).alias("_id"), F.lit(True).alias("_twice")), "repeated-ids")
+    if twice.isEmpty():
+        return counted(rows)
+    rows = rows.join(twice, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    more = counted(rows.where(F.col("_twice"))).groupBy(id_col, "word").agg(
+        F.sum("cnt").alias("cnt"), F.min("first_pos").alias("first_pos"))
+    return counted(rows.where(F.col("_twice").isNull())).unionByName(more)
+
+
 def word_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, word, cnt, first_pos) of whitespace-split, cleaned words."""
-    texts = ensure_parallelism(texts, id_col)
-    w = texts.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), r"\s+")).alias("pos", "w"))
-    w = w.select(id_col, "pos", clean_word(F.col("w"), digits=True).alias("word"))
-    return w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    """(id, word, cnt, first_pos) of whitespace-split, cleaned words; a
+    word that cleaning empties keeps its place."""
+    spaced = F.regexp_replace(F.col(text_col), r"\s+", " ")
+    return word_counts(ensure_parallelism(texts, id_col), clean_text(spaced, digits=True), id_col)
 
 
 def topics_top5(texts: DataFrame, stopwords: DataFrame | None = None, id_col: str = "id",
                 text_col: str = "text", top: int = TOP_TOPICS, common_n: int = COMMON_WORDS) -> DataFrame:
     """(id, rank, topic, cnt) -- up to five words per text. Without a
     ``stopwords`` table the common words are the corpus's ``common_n`` most
-    frequent words by document frequency, derived from the same per-(text,
-    word) count expression (the text exchange is reused between the two
-    branches; each branch tokenises the texts itself)."""
-    texts = ensure_parallelism(texts, id_col)
-    w = texts.select(F.col(id_col), F.posexplode(clean_tokens(F.col(text_col), digits=True)).alias("pos", "word"))
-    freq = w.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    frequent words by document frequency, derived from the same counts per
+    (text, word); each branch counts the texts' words itself."""
+    words = F.trim(F.regexp_replace(clean_text(F.col(text_col), digits=True), r"\s+", " "))
+    freq = word_counts(ensure_parallelism(texts, id_col), words, id_col).where("word <> ''")
     if stopwords is None:
         dfreq = freq.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
         top_words = dfreq.orderBy(F.col("df").desc(), F.col("word").asc()).limit(common_n).select("word")
