@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from opinio.functions.strings import umlaut_digraphs
 from opinio.operators.ids import dense_ids
 from opinio.operators.sentences import split_sentences
-from opinio.session import checkpoint_dir, literal_set, scratch_path, write_once
+from opinio.session import by_repeats, checkpoint_dir, literal_set, scratch_path, write_once
 
 # Punctuation tokens removed by the preprocessing, and the
 # characters stripped from the remaining tokens.
@@ -85,12 +85,12 @@ def corpus_preprocess(lines: DataFrame, key_cols: list[str], text_col: str = "te
         stop = literal_set(stopwords, "word")
     toks = F.regexp_extract_all(F.col("s"), F.lit(TOKEN_PATTERN), 0)
     if punctuation:
-        chars = PUNCTUATION_CHARS.replace("(", "\\(").replace(")", "\\)")
         toks = F.transform(F.filter(toks, lambda t: ~t.isin(PUNCTUATION_TOKENS)),
-                           lambda t: F.regexp_replace(t, f"[{chars}]", ""))
+                           lambda t: F.translate(t, PUNCTUATION_CHARS, ""))
     if stop:
         toks = F.filter(toks, lambda t: ~t.isin(stop))
-    s = s.withColumn("tokens", toks)
+    # Exploded from an array of one, so that Catalyst doesn't tokenise again in every filter on the tokens.
+    s = s.select(*key_cols, "sentence_no", F.explode(F.array(toks)).alias("tokens"))
     if stop is None:
         s = _without_stopwords(s, [*key_cols, "sentence_no"], stopwords)
     kept = s.filter(F.size("tokens") > 1)
@@ -115,40 +115,79 @@ def _sentence_tokens(sent: Column) -> Column:
 
 def bigram_counts(corpus: DataFrame, sentence_col: str = "sentence") -> DataFrame:
     """(a, b, cnt) over adjacent token pairs of every sentence."""
-    t = corpus.select(_sentence_tokens(F.col(sentence_col)).alias("t"))
-    n = F.size("t")
-    pairs = F.arrays_zip(F.slice("t", 1, F.greatest(n - 1, F.lit(0))).alias("a"),
-                         F.slice("t", 2, F.greatest(n - 1, F.lit(0))).alias("b"))
-    p = t.filter(n > 1).select(F.explode(pairs).alias("p"))
+    t = corpus.select(F.explode(F.array(_sentence_tokens(F.col(sentence_col)))).alias("t"))
+    n = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("t", F.lit(1), n).alias("a"), F.slice("t", F.lit(2), n).alias("b"))
+    p = t.select(F.explode(pairs).alias("p"))
     return p.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def bigram_phrases(corpus: DataFrame, sentence_col: str = "sentence",
-                   min_count: int = PHRASE_MIN_COUNT, threshold: float = PHRASE_THRESHOLD) -> DataFrame:
+def bigram_phrases(corpus: DataFrame, sentence_col: str = "sentence", min_count: int = PHRASE_MIN_COUNT,
+                   threshold: float = PHRASE_THRESHOLD, stored: bool = False) -> DataFrame:
     """Accepted phrases (a, b, cnt, score); the vocabulary size counts
-    distinct unigrams and bigrams, as the library does. Unigram, bigram and
-    vocabulary branches all read the sentences, so the sentence column is
-    written once (``checkpoint()`` into the shared folder) first."""
-    checkpoint_dir(corpus.sparkSession)
-    corpus = corpus.select(sentence_col).checkpoint(eager=True)
-    uni = (corpus.select(F.explode(_sentence_tokens(F.col(sentence_col))).alias("w"))
-           .groupBy("w").agg(F.count(F.lit(1)).alias("c")))
-    bi = bigram_counts(corpus, sentence_col)
-    vocab = uni.agg(F.count(F.lit(1))).scalar() + bi.agg(F.count(F.lit(1))).scalar()
+    distinct unigrams and bigrams, as the library does. The sentences (unless ``stored``, a
+    written table) and both counts are written once; only pairs that can reach the
+    threshold are joined with their words."""
+    if not stored:
+        corpus = write_once(corpus.select(sentence_col), "sentences")
+    uni = write_once(corpus.select(F.explode(_sentence_tokens(F.col(sentence_col))).alias("w"))
+                     .groupBy("w").agg(F.count(F.lit(1)).alias("c")), "unigrams")
+    bi = write_once(bigram_counts(corpus, sentence_col), "bigrams")
+    vocab = F.lit(uni.count() + bi.count())  # from the files' footers
     ua = uni.select(F.col("w").alias("a"), F.col("c").alias("ca"))
     ub = uni.select(F.col("w").alias("b"), F.col("c").alias("cb"))
-    j = bi.join(ua, "a", "inner").join(ub, "b", "inner")
+    able = bi.where(F.col("cnt") > min_count) if threshold >= 0 else bi  # others score 0 at most
+    j = able.join(ua, "a", "inner").join(ub, "b", "inner")
     score = (F.col("cnt") - F.lit(min_count)).cast("double") / F.col("ca") / F.col("cb") * vocab
     return (j.select("a", "b", "cnt", score.alias("score")).filter(F.col("score") > threshold)
             .select("a", "b", "cnt", F.round("score", 9).alias("score")))
 
 
+#: Phrases that are broadcast at most, by number and bytes (a row counts its strings and 64 bytes).
+PHRASE_BROADCAST_BYTES = 128 << 20
+
+
 def bigram_rewrite(corpus: DataFrame, phrases: DataFrame, key_cols: list[str],
                    sentence_col: str = "sentence") -> DataFrame:
     """Rewrite each sentence joining accepted pairs with '_', greedily
     left to right (in a run of overlapping phrases every second position
-    starts a phrase). Windows are per sentence (bounded by its length)."""
+    starts a phrase). Only the places of accepted pairs are exchanged and go back to
+    their sentences by key; the tokens of sentences with equal keys are put in one order
+    (``_rewrite_merged``). Windows are per sentence (bounded by its length)."""
     keys = key_cols + ["sentence_no"]
+    phrases = write_once(phrases.select("a", "b"), "phrases")
+    size = phrases.agg(F.sum(F.octet_length("a") + F.octet_length("b") + 64).alias("n")).first()["n"] or 0
+    if size <= PHRASE_BROADCAST_BYTES:
+        phrases = F.broadcast(phrases)
+    once, repeated = by_repeats(corpus.select(*keys, sentence_col), *keys)
+    once = once.select(*keys, F.explode(F.array(_sentence_tokens(F.col(sentence_col)))).alias("t")).where("t IS NOT NULL")
+    n = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("t", F.lit(1), n).alias("a"), F.slice("t", F.lit(2), n).alias("b"))
+    places = (once.select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", "p.a", "p.b")
+              .join(phrases, ["a", "b"]).select(*keys, "pos"))
+    # Neighbouring places differ from their rank by the same number.
+    places = places.withColumn("_run", F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
+    first = F.min("pos").over(Window.partitionBy(*keys, "_run"))
+    taken = (places.withColumn("_start", first).where((F.col("pos") - F.col("_start")) % 2 == 0)
+             .groupBy(*[F.col(c).alias(f"_k_{c}") for c in keys]).agg(F.array_sort(F.collect_list("pos")).alias("at")))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    whole = once.join(taken, same, "left")
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("at", k - 1) + 2)
+
+    def upto(p: Column, k: Column) -> Column:
+        """The tokens behind the phrase before, and the phrase at ``p``."""
+        return F.concat(F.array_join(F.slice("t", begin(k) + 1, p - begin(k) + 1), " "), F.lit(PHRASE_DELIMITER), F.get("t", p + 1))
+
+    behind = F.element_at("at", -1) + 2
+    rest = F.when(behind < F.size("t"), F.array_join(F.slice("t", behind + 1, F.size("t") - behind), " "))
+    parts = F.concat(F.transform("at", upto), F.array(rest))
+    sentence = F.when(F.col("at").isNull(), F.array_join("t", " ")).otherwise(F.array_join(parts, " "))
+    out = whole.select(*keys, sentence.alias("sentence"))
+    return out if repeated is None else out.unionByName(_rewrite_merged(repeated, phrases, keys, sentence_col))
+
+
+def _rewrite_merged(corpus: DataFrame, phrases: DataFrame, keys: list[str], sentence_col: str) -> DataFrame:
+    """``bigram_rewrite`` over all tokens of each key by their places, one row a key."""
     t = corpus.select(*keys, _sentence_tokens(F.col(sentence_col)).alias("t"))
     nxt = F.concat(F.slice("t", 2, F.size("t")), F.array(F.lit(None).cast("string")))
     z = t.select(*keys, F.posexplode(F.arrays_zip(F.col("t").alias("a"), nxt.alias("b"))).alias("pos", "p"))

@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from opinio.functions.numeric import fround
 from opinio.functions.strings import clean_text, clean_tokens, clean_word, non_word_class
-from opinio.session import ensure_parallelism, small_batches, write_once
+from opinio.session import by_repeats, ensure_parallelism, small_batches, write_once
 
 TOP_TOPICS = 5
 MIN_COUNT_EXCLUSIVE = 2     # a topic must occur more than twice
@@ -89,14 +89,11 @@ def word_counts(texts: DataFrame, words: Column, id_col: str) -> DataFrame:
     def counted(of: DataFrame) -> DataFrame:
         return of.select(id_col, "_words").mapInArrow(counted_words, schema)
 
-    twice = write_once(texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                       .select(F.col(id_col).alias("_id"), F.lit(True).alias("_twice")), "repeated-ids")
-    if twice.isEmpty():
-        return counted(rows)
-    rows = rows.join(twice, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    more = counted(rows.where(F.col("_twice"))).groupBy(id_col, "word").agg(
-        F.sum("cnt").alias("cnt"), F.min("first_pos").alias("first_pos"))
-    return counted(rows.where(F.col("_twice").isNull())).unionByName(more)
+    once, repeated = by_repeats(rows, id_col)
+    if repeated is None:
+        return counted(once)
+    more = counted(repeated).groupBy(id_col, "word").agg(F.sum("cnt").alias("cnt"), F.min("first_pos").alias("first_pos"))
+    return counted(once).unionByName(more)
 
 
 def word_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

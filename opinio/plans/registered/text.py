@@ -525,8 +525,8 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, sentence_no,
        string_agg(CASE WHEN taken THEN a || '_' || b ELSE a END, ' ' ORDER BY pos) AS sentence
 FROM zp WHERE NOT prev_taken GROUP BY doc_id, line_no, sentence_no""")
 def q_bigram_rewrite(spark, sf):
-    c = _corpus(_m(spark, sf))
-    return K.bigram_rewrite(c, K.bigram_phrases(c), ["doc_id", "line_no"])
+    c = write_once(_corpus(_m(spark, sf)), "corpus")
+    return K.bigram_rewrite(c, K.bigram_phrases(c, stored=True), ["doc_id", "line_no"])
 
 
 # ---- N12-N17 labelled corpus ----------------------------------------------------------------

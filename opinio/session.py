@@ -122,6 +122,21 @@ def ensure_parallelism(df, *key_cols: str):
     return df.repartition(target, *key_cols) if key_cols else df.repartition(target)
 
 
+def by_repeats(df, *key_cols: str):
+    """``df`` as (rows whose keys stand once, rows whose keys repeat or None if none does); nulls are
+    keys. Only keys are counted and exchanged, and joined if any repeats."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+    twice = write_once(df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                       .select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], F.lit(True).alias("_twice")), "repeated-keys")
+    if twice.isEmpty():
+        return df, None
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key_cols])
+    marked = df.join(twice, same, "left")
+    return (marked.where(F.col("_twice").isNull()).select(*df.columns), marked.where(F.col("_twice")).select(*df.columns))
+
+
 #: Whole texts that go to a Python worker at once, by number and by bytes (a longer text goes alone).
 TEXTS_A_BATCH = 200
 BYTES_A_BATCH = 2 << 20

@@ -99,3 +99,27 @@ def test_registered_corpus_has_no_stop_words(spark):
     stop = {r.w for r in queries["stopword_scan"](spark, SF_SMALL).select(umlaut_digraphs(F.col("word")).alias("w")).collect()}
     rows = queries["corpus_preprocess"](spark, SF_SMALL).collect()
     assert rows and all(len(w := r.sentence.split(" ")) > 1 and stop.isdisjoint(w) for r in rows)
+
+
+def test_bigram_rewrite_of_repeated_and_null_keys(spark):
+    rows = [(1, 0, "a b c d e"), (None, 0, "x a b"), (2, 0, "a b"), (2, 0, "c c"), (3, 0, ""), (4, 0, None), (5, 1, "a b a b c b c x")]
+    corpus = spark.createDataFrame(rows, "doc int, sentence_no int, sentence string")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "a string, b string")
+    got = sorted(map(tuple, K.bigram_rewrite(corpus, phrases, ["doc"]).collect()), key=repr)
+    merged = K._rewrite_merged(corpus, phrases, ["doc", "sentence_no"], "sentence")  # all tokens in one window a key
+    assert got == sorted(map(tuple, merged.collect()), key=repr)
+    assert (1, 0, "a_b c_d e") in got and (5, 1, "a_b a_b c b_c x") in got and (None, 0, "x a_b") in got
+
+
+def test_bigram_rewrite_exchanges_places_of_phrases_only(spark):
+    corpus = spark.range(50).selectExpr("id AS doc", "0 AS sentence_no", "'a b c' AS sentence")
+    phrases = spark.createDataFrame([("a", "b")], "a string, b string")
+    plan = K.bigram_rewrite(corpus, phrases, ["doc"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = plan[plan.index("Window"):]
+    assert "Join Inner" in windows  # tokens are joined with phrases before they reach a window
+
+
+def test_corpus_is_tokenised_once(spark):
+    lines = spark.createDataFrame([(1, "One two. Three four!")], "doc int, text string")
+    plan = K.bigram_counts(K.corpus_preprocess(lines, ["doc"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
