@@ -52,12 +52,18 @@ def normalise_blanks(s: Column, strip: bool = True) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    """W12 (unicode part): NFKD normalisation; no Spark builtin exists, so an
-    Arrow-batched pandas UDF (vectorised ``str.normalize``)."""
+def _nfkd_rows(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD")
 
 
+def nfkd(s: Column | str) -> Column:
+    """W12 (unicode part): NFKD normalisation; no Spark builtin exists, so an
+    Arrow-batched pandas UDF (vectorised ``str.normalize``). ASCII texts are normal
+    already and don't go to Python."""
+    s = F.col(s) if isinstance(s, str) else s
+    return F.coalesce(_nfkd_rows(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
+
+
 def clean_word(token: Column, digits: bool = False) -> Column:
     """Remove every character outside the word set, then lower-case."""
     return F.lower(F.regexp_replace(token, non_word_class(digits, keep_ws=False), ""))

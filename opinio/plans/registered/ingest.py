@@ -25,7 +25,7 @@ from opinio.plans.marts import article_body_last
 from opinio.plans.oracle_model import register_cte
 from opinio.plans.registry import query
 from opinio.sources.news_model import NewsModel, date_lit, ts_ntz
-from opinio.session import scratch_path
+from opinio.session import scratch_path, small_batches
 from opinio.sources.runs import RunStore, Table, initial
 from opinio.sources.store import KeyedStore
 
@@ -372,8 +372,8 @@ def q_normalise_text(spark, sf):
 @query("normalise_text_nfkd")
 def q_normalise_text_nfkd(spark, sf):
     """W12 unicode part (no DuckDB NFKD): NFKD of the blank-normalised text."""
-    d = _m(spark, sf).table("documents")
-    return d.select("doc_id", nfkd(normalise_blanks(F.col("text"))).alias("text_nfkd"))
+    d = small_batches(_m(spark, sf).table("documents").select("doc_id", normalise_blanks(F.col("text")).alias("text")))
+    return d.select("doc_id", nfkd(F.col("text")).alias("text_nfkd"))
 
 
 @query("initial_backoff", """
