@@ -114,10 +114,11 @@ def body_version_diff(incoming: DataFrame, latest: DataFrame) -> DataFrame:
     """Compare each incoming body with the latest stored version of its
     article: a new version when headline or body differs (or nothing is
     stored); else the stored row is kept and only its counter is bumped.
-    Fingerprints are compared, so the wide text is hashed once per side."""
+    Fingerprints are compared, so the wide text is hashed once per side
+    (``latest`` may hold ``text_hash`` instead of the texts)."""
+    hashed = F.col("text_hash") if "text_hash" in latest.columns else content_hash(F.col("headline"), F.col("body"))
     old = latest.select(F.col("id").alias("old_id"), "article_id",
-                        F.col("proc_counter").alias("old_counter"),
-                        content_hash(F.col("headline"), F.col("body")).alias("old_hash"))
+                        F.col("proc_counter").alias("old_counter"), hashed.alias("old_hash"))
     new = incoming.withColumn("new_hash", content_hash(F.col("headline"), F.col("body")))
     j = new.join(old, "article_id", "left")
     changed = F.col("old_id").isNull() | (F.col("new_hash") != F.col("old_hash"))
@@ -248,9 +249,14 @@ def ingest_run(store: RunStore, run: int, headers: DataFrame, bodies: DataFrame,
         return False
     old_headers, old_bodies = store.read("article_header"), store.read("article_body")
     newest = old_bodies.groupBy("article_id").agg(F.max("id").alias("id"))
-    latest = old_bodies.join(newest.select("id"), "id", "left_semi")
-    stages = {name: write_once(df, name) for name, df in
-              ingest_batch(headers, bodies, latest, old_headers, sources, udf_header, article_udfs).items()}
+    # Hashed where they lie (a semi-join would be moved below the hash), so no stored text is exchanged.
+    hashes = old_bodies.select("id", "article_id", "proc_counter", content_hash(F.col("headline"), F.col("body")).alias("text_hash"))
+    latest = hashes.join(newest.select("id").distinct(), "id")
+    batch = ingest_batch(headers, bodies, latest, old_headers, sources, udf_header, article_udfs)
+    bumped = batch["bumped_bodies"]  # their texts stay as stored
+    batch["bumped_bodies"] = bumped.withColumns({c: F.lit(None).cast(bumped.schema[c].dataType)
+                                                 for c in ("headline", "body", "proc_timestamp")})
+    stages = {name: write_once(df, name) for name, df in batch.items()}
 
     def header_change() -> Change:
         start = old_headers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
