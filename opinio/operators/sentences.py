@@ -57,7 +57,7 @@ def _plain(char_class: str) -> Column:
 
 def _spaced(text: Column) -> Column:
     """Every blank as a space: functions of plain strings suffice from here on."""
-    return F.translate(text, _BLANKS, " " * len(_BLANKS))
+    return F.regexp_replace(text, r"[\t\n\x0B\f\r]", " ")
 
 
 def core(word: Column) -> Column:
@@ -83,7 +83,7 @@ def word_case(c: Column) -> Column:
 
 def _segments(text: Column) -> Column:
     """A line cut behind every mark before a blank; the blanks stay with the part before."""
-    trimmed = F.regexp_replace(text, f"[{BLANK}]+$", "")
+    trimmed = F.rtrim(text, F.lit(_BLANKS))
     return F.split(F.regexp_replace(trimmed, f"([.!?][{CLOSING}]*[{BLANK}]+)", "$1" + _MARK), _MARK)
 
 
@@ -262,5 +262,5 @@ def split_sentences(lines: DataFrame, key_cols: list[str], model: DataFrame, tex
         cuts = F.concat(F.array(F.lit(False)), cuts)  # the first segment goes on from none
         parts = F.zip_with(cuts, "segments", lambda cut, seg: F.when(cut, F.concat(F.lit(_MARK), seg)).otherwise(seg))
     whole = s.select(*key_cols, F.posexplode(F.split(F.array_join(parts, ""), _MARK)).alias("sentence_no", "sentence"))
-    sentence = F.regexp_replace("sentence", f"^[{BLANK}]+|[{BLANK}]+$", "")
+    sentence = F.btrim("sentence", F.lit(_BLANKS))
     return whole.select(*key_cols, "sentence_no", sentence.alias("sentence")).where("sentence <> ''")
