@@ -49,11 +49,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinio.llm.common import small_batches
+
 MAX_MODEL_BYTES = 64 << 20
 #: Bounds of a worker's tables: kept stretches, their longest length, kept pairs.
-KEPT_STRETCHES = 1 << 17
+KEPT_STRETCHES = 1 << 16
 KEPT_LENGTH = 32
-KEPT_PAIRS = 1 << 20
+KEPT_PAIRS = 1 << 18
 _SLICE = 1 << 18
 _SPACE = "▁"
 #: Fixed numbers of the model file's format: piece kinds and model type.
@@ -321,7 +323,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "pie
         return pa.StructArray.from_arrays([pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                                           names=["n_tokens", "ids"])
 
-    return docs.withColumn(out, ids_of(F.col(text)))
+    return small_batches(docs).withColumn(out, ids_of(F.col(text)))
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -333,4 +335,4 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
         model = _model(data)
         return pa.array([model.decode(r.as_py() or b"") for r in rows], pa.string())
 
-    return docs.withColumn(out, text_of(F.col(ids)))
+    return small_batches(docs).withColumn(out, text_of(F.col(ids)))
