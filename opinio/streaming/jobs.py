@@ -14,7 +14,7 @@ Here the same work runs as Structured Streaming over a file source:
   micro-batch, summed when read; no row is too late.
   ``stream_daily_window`` keeps the days as event-time windows with a watermark, and
   rows beyond the watermark in a side table.
-* R4 ``stream_revisit``: revisit timers per article as keyed state.
+* R4 ``stream_revisit``: revisit times per article as keyed state with timers.
 
 Sinks are idempotent: every micro-batch overwrites its own ``batch_id=N``
 folder, so a batch replayed after a failure rewrites the same files.
@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from opinio.operators.sentiment import lexicon_sentiment
 from opinio.session import scratch_path
-from opinio.streaming.state import HOUR_MS, FirstCopies, Revisits, rocksdb_state, smallest_rows
+from opinio.streaming.state import HOUR_MS, PAGE_BITS, FirstCopies, Revisits, rocksdb_state, smallest_rows
 
 REVISIT_INPUT = ("article_id long, obsolete boolean, article_body_id long, proc_ms long, proc_counter int, clock timestamp")
 
@@ -111,13 +111,14 @@ def stream_revisit(spark: SparkSession, source: str, out: str, checkpoint: str,
 
     Time is the poll's own: rows carry ``clock`` = the poll's time plus ``clock_delay``, so that the
     watermark ends at the poll's time, no row of a poll is late, and a repeated run gives
-    the same. Only articles with new rows or a timer that expired are touched."""
+    the same. Only pages of articles with new rows or a timer that expired are touched."""
     stream = spark.readStream.schema(REVISIT_INPUT).option("maxFilesPerTrigger", max_files).parquet(source)
     none = F.lit(-1)  # instead of nulls, which pandas would turn into floats
     ids = [F.coalesce(c, none.cast(t)).alias(c) for c, t in (("article_id", "long"), ("article_body_id", "long"),
                                                              ("proc_ms", "long"), ("proc_counter", "int"))]
     stream = stream.select(*ids, F.coalesce("obsolete", F.lit(False)).alias("obsolete"), "clock")
-    changes = stream.withWatermark("clock", clock_delay).groupBy("article_id").transformWithState(
+    stream = stream.withColumn("page", F.shiftright("article_id", PAGE_BITS))
+    changes = stream.withWatermark("clock", clock_delay).groupBy("page").transformWithState(
         Revisits(hour_ms), Revisits.OUTPUT, "append", "eventTime")
     _run_state(spark, changes.writeStream.outputMode("append").foreachBatch(_append_batches(out)), checkpoint)
     log = _read_batches(spark, out, changes.schema).drop("batch_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinio.operators import control as C
 from opinio.plans.registered.streams import revisit_rows
 from opinio.streaming import jobs as J
-from opinio.streaming.state import MAX_REVISITS, rocksdb_state, smallest_rows
+from opinio.streaming.state import MAX_REVISITS, PAGE_BITS, rocksdb_state, smallest_rows
 
 COMMENTS = "external_id long, article_body_id long, level int, body string, event_ts timestamp_ntz"
 
@@ -110,6 +110,26 @@ def test_a_visit_moves_the_timer_and_ends_the_schedule(spark):
         assert {r.article_id: (r.status, r.due_ms) for r in got} == expected, hours
 
 
+def test_a_page_of_articles_is_one_state_row(spark, monkeypatch):
+    base, hour, run, queries = J.new_stream_dir(spark, "t-pages"), 3_600_000, J._run, []
+    monkeypatch.setattr(J, "_run", lambda *args: queries.append(run(*args)))
+    start, n = 1_704_067_200_000, 10 << PAGE_BITS  # 2024-01-01
+    clock = lambda h: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=h + 1)
+    first = [(i, False, i, start, i % 4) for i in range(n)]  # due after 0, 1, 3 and 7 hours
+    again = [(i, i % 8 == 7, i, start + 2 * hour, 4) for i in range(0, n, 3)]  # due at 17; every eighth article is obsolete
+    for hours, rows in ((0, first), (2, again), (6, [(None,) * 5]), (18, [(None,) * 5])):
+        J.stage_files(visits(spark, rows, clock(hours)), f"{base}/in")
+        got = {r.article_id: (r.status, r.due_ms) for r in
+               J.stream_revisit(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt").collect()}
+        want = {}
+        for i in range(n):
+            due = 17 if hours >= 2 and i % 3 == 0 else 2 ** (i % 4) - 1
+            want[i] = ("obsolete", None) if due == 17 and i % 8 == 7 else ("review_now" if due < hours else "scheduled", start + due * hour)
+        assert got == want, hours
+    pages = [p.stateOperators[0].numRowsUpdated for q in queries for p in q.recentProgress if p.numInputRows > 1]
+    assert len(pages) == 2 and max(pages) <= 3 * 11  # a page's row and timer, not its articles'
+
+
 def test_windows_and_side_table_hold_every_row(spark):
     base = J.new_stream_dir(spark, "t-window")
     schema = "comment_id long, sentiment_value double, ts timestamp"
