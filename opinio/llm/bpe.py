@@ -11,7 +11,8 @@ position. Packing the rows a block and bucket, instead of one row a word, is
 what keeps the shuffle near the input's size.
 
 Decoding looks every id up in the token-byte table: the vocabulary file, whose
-size is fixed and checked, is broadcast.
+size is fixed and checked, is broadcast. ``encode(decoded=...)`` decodes in the task that
+puts the ids together: ``decode`` behind it would be a second Python worker beside each of that stage's.
 
 The rank file's path is a parameter, read once on the driver. ``docs`` must
 give the same rows in the same order when a lost task is read again (files, a
@@ -221,9 +222,12 @@ def _encode_buckets(shared):
     return run
 
 
-def _reassemble(buckets: int, key_type: pa.DataType):
-    """One block: its positions and its words' ids by bucket -> one row a text."""
+def _reassemble(buckets: int, key_type: pa.DataType, shared=None):
+    """One block: its positions and its words' ids by bucket -> one row a text, decoded too by
+    the token-byte table ``shared``."""
     schema = pa.schema([("key", key_type), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    if shared is not None:
+        schema = schema.append(pa.field("decoded", pa.binary()))
 
     def run(held: pa.Table, encoded: pa.Table) -> pa.Table:
         if not held.num_rows or held.column("places")[0].as_py() is None:  # the words of a bucket
@@ -253,15 +257,19 @@ def _reassemble(buckets: int, key_type: pa.DataType):
             at = np.repeat(first[words] - (np.cumsum(c) - c), c) + np.arange(total)
             out.append(ids[at].tobytes())
             tokens.append(total)
-        return pa.Table.from_arrays([keys, pa.array(tokens, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+        columns = [keys, pa.array(tokens, pa.int64()), pa.array(out, pa.binary())]
+        if shared is not None:
+            columns.append(pa.array([_bytes_of(packed, shared.value) for packed in out], pa.binary()))
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
-           buckets: int | None = None) -> DataFrame:
+           buckets: int | None = None, decoded: str | None = None) -> DataFrame:
     """(id_col, n_tokens long, ids binary): the ids of each whole text as
-    little-endian unsigned 32-bit integers."""
+    little-endian unsigned 32-bit integers. ``decoded`` adds a column of that name as
+    ``decode`` does."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * partitions
@@ -272,27 +280,38 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     # one exchange for both: words go to their bucket, positions to their block, where they wait for the ids
     dealt = parts.repartition(partitions, "via")
     encoded = dealt.mapInArrow(_encode_buckets(shared), _IDS)
-    return (dealt.groupBy("via").cogroup(encoded.groupBy("via"))
-            .applyInArrow(_reassemble(buckets, key_type), f"key {key.simpleString()}, n_tokens bigint, ids binary")
-            .withColumnRenamed("key", id_col))
+    fields, table = f"key {key.simpleString()}, n_tokens bigint, ids binary", None
+    if decoded is not None:
+        fields, table = f"{fields}, decoded binary", spark.sparkContext.broadcast(_token_bytes(ranks_path))
+    out = (dealt.groupBy("via").cogroup(encoded.groupBy("via")).applyInArrow(_reassemble(buckets, key_type, table), fields)
+           .withColumnRenamed("key", id_col))
+    return out if decoded is None else out.withColumnRenamed("decoded", decoded)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with a binary column ``out``: the bytes of its packed ids, by the
-    token-byte table (null ids stay null)."""
+def _token_bytes(ranks_path: str) -> list[bytes]:
+    """The bytes of each token, by rank."""
     ranks = load_ranks(ranks_path)
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def _bytes_of(packed: bytes | None, table: list[bytes]) -> bytes | None:
+    return None if packed is None else b"".join(map(table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encoded`` with a binary column ``out``: the bytes of its packed ids, by the
+    token-byte table (null ids stay null)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_token_bytes(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for batch in batches:
             ids, lo, size, done = batch.column(ids_col), 0, 0, []
             for i, packed in enumerate(ids, 1):
                 packed = packed.as_py()
-                done.append(None if packed is None else b"".join(map(token, np.frombuffer(packed, "<u4").tolist())))
+                done.append(_bytes_of(packed, shared.value))
                 size += len(packed or b"")
                 if size >= _BATCH_BYTES or i == len(ids):
                     part = batch.slice(lo, i - lo)

@@ -90,7 +90,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
 def encoded_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
-    decoded = bpe.decode(bpe.encode(docs, ranks_path), ranks_path)
+    decoded = bpe.encode(docs, ranks_path, decoded="decoded")
     return decoded.select("doc_id", "n_tokens", _sha256(F.col("ids")).alias("ids_sha256"),
                           _sha256(F.col("decoded")).alias("decoded_sha256"))
 

@@ -100,6 +100,17 @@ def test_encoding_equals_the_library_and_round_trips(spark, library, monkeypatch
     assert sorted(((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_digests_decode_beside_the_ids(spark):
+    """One Python worker a task: nothing runs in Python behind the stage that puts the ids together."""
+    table = docs(spark, EDGE, extra=True).select("doc_id", "text")
+    plan = Q.encoded_digests(table, Q.vocabulary())._jdf.queryExecution().sparkPlan().toString()
+    assert re.findall(r"FlatMapCoGroupsInArrow|MapInArrow", plan)[0] == "FlatMapCoGroupsInArrow"
+    two = bpe.decode(bpe.encode(table, Q.vocabulary()), Q.vocabulary()).collect()
+    one = bpe.encode(table, Q.vocabulary(), decoded="decoded").collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded))
+    assert one and sorted(map(key, one)) == sorted(map(key, two))
+
+
 def test_encoding_of_an_empty_table(spark):
     assert Q.encoded_digests(docs(spark, []), Q.vocabulary()).collect() == []
 
