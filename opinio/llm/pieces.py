@@ -6,8 +6,9 @@ for a text, and that sequence is the only one in which every two adjacent pieces
 their border would show in any text that holds them). So a text is encoded without
 merging it as a whole:
 
-* an Aho-Corasick automaton of the reversed pieces, run over the reversed text, gives
-  the longest piece at every position; shorter ones are that piece's prefixes;
+* an Aho-Corasick automaton of the pieces, run over the text, gives the longest piece after
+  each one put; where a shorter one was taken, a walk down the automaton's tree of pieces
+  gives the longest from there. Shorter ones are that piece's prefixes;
 * pieces are put one after another, the longest first that is compatible with its
   predecessor (a pair's answer comes from re-merging its characters, and is kept);
 * where none fits, the position is marked in a bitfield of failed positions, the last
@@ -53,9 +54,9 @@ from opinio.llm.common import small_batches
 
 MAX_MODEL_BYTES = 64 << 20
 #: Bounds of a worker's tables: kept stretches, their longest length, kept pairs.
-KEPT_STRETCHES = 1 << 16
+KEPT_STRETCHES = 1 << 17
 KEPT_LENGTH = 32
-KEPT_PAIRS = 1 << 18
+KEPT_PAIRS = 1 << 19
 _SLICE = 1 << 18
 _SPACE = "▁"
 #: Fixed numbers of the model file's format: piece kinds and model type.
@@ -120,6 +121,7 @@ class PieceModel:
         if 0 in self.ids.values():
             raise ValueError("id 0 is not the unknown piece")  # 0 stands for "no piece" below
         self.lengths = [len(piece) for piece in self.pieces]
+        self.most = max(map(len, self.ids), default=0)
         self.packed = [struct.pack("<I", i) for i in range(len(pieces))]
         self.bytes = [b""] * 256
         self.control, self.byte = set(), set()
@@ -147,7 +149,7 @@ class PieceModel:
         else:
             self.stretches = re.compile(f"{_SPACE}+[^{_SPACE}{alone}]*|[^{_SPACE}{alone}]+{apart}")
             self.spaces_split = True
-        self.pairs: dict[int, bool] = {}  # by both ids
+        self.pairs = _Pairs(self)
         self.kept = _Kept(self)
 
     @cached_property
@@ -162,10 +164,20 @@ class PieceModel:
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            found.add_word(piece[::-1], i)
+            found.add_word(piece, i)
         found.make_automaton()
         return found
 
+    @cached_property
+    def longest(self) -> dict[str, int]:
+        """By begin of a piece: the longest piece that it begins with."""
+        out: dict[str, int] = {}
+        for piece in sorted(self.ids):  # a piece's prefixes come before it
+            known = 0
+            for n in range(1, len(piece) + 1):
+                known = out[piece[:n]] = self.ids.get(piece[:n], known)
+        return out
+
     def merged(self, text: str) -> list[str]:
         """Pieces by merging adjacent ones, best score first, leftmost among equals."""
         score, none = self.scores.get, -inf
@@ -189,35 +201,36 @@ class PieceModel:
         texts = [self.pieces[i] for i in (before, piece) if i]
         return self.merged("".join(texts)) == texts
 
-    def _longest(self, text: str) -> dict[int, int]:
-        """The longest piece by the distance of its begin from the text's last character."""
-        # at one place the automaton gives the longest piece first, so it is the last one here
-        return dict(list(self.automaton.iter(text[::-1]))[::-1])
-
     def backtracked(self, text: str) -> list[int]:
         """Ids of a stretch of known characters."""
-        longest, last, size = self._longest(text), len(text) - 1, len(text)
-        pairs, lengths, shorter, width = self.pairs, self.lengths, self.shorter, len(self.pieces)
-        failed, any_failed = bytearray(size // 8 + 1), False
+        pairs, width = self.pairs, len(self.pieces)
         out: list[int] = []
-        at, before, piece = 0, 0, longest[last]
+        before = 0
+        for _, piece in self.automaton.iter_long(text):
+            if not pairs[before * width + piece]:
+                break
+            out.append(piece)
+            before = piece
+        else:
+            return out
+        lengths, shorter, longest, most, size = self.lengths, self.shorter, self.longest, self.most, len(text)
+        walk = self.automaton.longest_prefix
+        failed, any_failed = bytearray(size // 8 + 1), False
+        at = sum(map(lengths.__getitem__, out))
+        piece = shorter[piece]
         while True:
             while piece:
                 end = at + lengths[piece]
-                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
-                    fits = pairs.get(before * width + piece)
-                    if fits is None:
-                        if len(pairs) >= KEPT_PAIRS:
-                            pairs.clear()
-                        fits = pairs[before * width + piece] = self.compatible(before, piece)
-                    if fits:
-                        break
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1) and pairs[before * width + piece]:
+                    break
                 piece = shorter[piece]
             if piece:
                 out.append(piece)
                 if end == size:
                     return out
-                at, before, piece = end, piece, longest[last - end]
+                at, before = end, piece
+                ahead = text[at:at + most]
+                piece = longest[ahead[:walk(ahead)]]
             else:  # no piece goes on from here
                 failed[at >> 3] |= 1 << (at & 7)
                 any_failed = True
@@ -276,6 +289,20 @@ class PieceModel:
         return whole[1:] if self.prefix and first in self.spaced else whole
 
 
+class _Pairs(dict):
+    """Whether two pieces are compatible by both ids (first * pieces + second), filled on demand;
+    a full table begins anew."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= KEPT_PAIRS:
+            self.clear()
+        fits = self[pair] = self.model.compatible(*divmod(pair, len(self.model.pieces)))
+        return fits
+
+
 class _Kept(dict):
     """Ids by stretch, filled on demand in two generations: a full table becomes the older
     one, from which stretches still in use come back. Long stretches are not kept."""

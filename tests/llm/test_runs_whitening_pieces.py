@@ -267,6 +267,29 @@ def test_backtracking_with_a_pieces_dead_end():
         assert [model.pieces[i] for i in model.backtracked(text)] == model.merged(text)
 
 
+def test_pieces_are_looked_up_only_where_one_is_put():
+    """The automaton gives one piece a place of the way, not every piece that begins at any character."""
+    model = pieces.PieceModel(pieces._read(Q.piece_model()))
+    found = model.automaton
+    given = []
+
+    class Counted:
+        longest_prefix = staticmethod(lambda ahead: given.append(ahead) or found.longest_prefix(ahead))
+
+        def __getattr__(self, name):
+            return lambda text: (given.append(x) or x for x in getattr(found, name)(text))
+
+    model.automaton = Counted()
+    rnd = random.Random(5)
+    put = 0
+    for _ in range(300):
+        text = "▁" + "".join(rnd.choice(["the", "ing", "nd", "or", "ea", "sh", "tion", "wh", "s"]) for _ in range(4))
+        got = model.backtracked(text)
+        assert [model.pieces[i] for i in got] == model.merged(text)
+        put += len(got)
+    assert len(given) < 2 * put
+
+
 def test_unsupported_models_are_refused(tmp_path):
     with open(Q.piece_model(), "rb") as file:
         data = file.read()
