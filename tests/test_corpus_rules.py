@@ -123,3 +123,20 @@ def test_corpus_is_tokenised_once(spark):
     lines = spark.createDataFrame([(1, "One two. Three four!")], "doc int, text string")
     plan = K.bigram_counts(K.corpus_preprocess(lines, ["doc"]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_classifier_fits_on_stored_term_frequencies(spark, monkeypatch):
+    """Texts are cut and hashed once, before the passes of the fit; rows of other splits take no part."""
+    from pyspark.ml import Pipeline
+    from opinio.operators import corpus
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, data: seen.append((data.columns, self.getStages()[-1])) or fit(self, data))
+    words = {-1: "schlecht mies", 0: "neutral  egal", 1: "gut\tToll"}
+    rows = [(f"{split}{i}", label, text, split) for split, n in (("train", 8), ("test", 2)) for i in range(n) for label, text in words.items()]
+    rows += [("test9", 1, "TOLL", "test"), ("val1", 0, None, "val")]
+    data = spark.createDataFrame(rows, "key string, label int, text string, split string")
+    got = corpus.train_classifier(data, num_features=1 << 10)
+    assert sorted((r.key, r.label) for r in got.collect()) == sorted((k, y) for k, y, _, split in rows if split == "test")
+    assert all(r.prediction == r.label for r in got.collect())
+    (columns, regression), = seen
+    assert "text" not in columns and "_tf" in columns and regression.getMaxBlockSizeInMB() == corpus.TRAIN_BLOCK_MB
